@@ -1,0 +1,16 @@
+"""Awkward documents that every operator must take."""
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def awkward(spark):
+    long = "\n".join(f"line {i} of a very long text with words w{i % 97} and more" for i in range(4000))
+    same = "this line stands in several documents and is long enough"
+    texts = [None, "", " \t\n ", "a", "word " * 60, long, long + " end", same, same + "\n" + same, "x\n" + same.upper() + " \r", "ünïcode ß 漢字 🙂 \x1c   İ Σας", same, "one two three four five six seven eight nine ten " * 30]
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 2 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7]]  # repeated rows
+    return spark.createDataFrame(rows, DDL)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DDL)
