@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from guardspark.llm.bpe import op3_bpe
 from guardspark.llm.decontaminate import op6_decontaminate
 from guardspark.llm.hilbert_shards import op4_hilbert_shards
 from guardspark.llm.line_dedup import OP8_SQL, op8_line_dedup
@@ -11,6 +12,7 @@ from guardspark.llm.simhash import op9_simhash
 
 def queries() -> dict:
     return {
+        "op3_bpe": op3_bpe,
         "op4_hilbert_shards": op4_hilbert_shards,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
