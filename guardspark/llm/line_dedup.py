@@ -44,7 +44,8 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lost = scratch.table(held.join(shared, ["a", "b"]).where(F.col("_id") != F.col("_last")).groupBy("_id").agg(F.collect_set("a").alias("_lost")), "lost")
     scratch.drop(held, shared)
     kept = F.filter(F.col("_lines"), lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("_lost"), F.xxhash64(line_key(x)))))
-    with_lines = df.join(lost, F.col(id_col) == F.col("_id"), "left").withColumn("_lines", lines)
+    # A merge join at every size: the list of lost keys grows with the input.
+    with_lines = df.join(lost.hint("merge"), F.col(id_col) == F.col("_id"), "left").withColumn("_lines", lines)
     kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(kept)
     return with_lines.withColumn("_kept", kept).withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), "kept_text": F.array_join("_kept", "\n")}).drop("_lines", "_kept", "_lost", "_id")
 
