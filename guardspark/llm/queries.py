@@ -8,6 +8,7 @@ from guardspark.llm.hilbert_shards import op4_hilbert_shards
 from guardspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from guardspark.llm.quality_rules import OP7_SQL, op7_quality_rules
 from guardspark.llm.simhash import op9_simhash
+from guardspark.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 
