@@ -9,12 +9,14 @@ from guardspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from guardspark.llm.quality_rules import OP7_SQL, op7_quality_rules
 from guardspark.llm.simhash import op9_simhash
 from guardspark.llm.toxicity import op10_toxicity
+from guardspark.llm.weak_quality import op5_weak_quality
 
 
 def queries() -> dict:
     return {
         "op3_bpe": op3_bpe,
         "op4_hilbert_shards": op4_hilbert_shards,
+        "op5_weak_quality": op5_weak_quality,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
         "op8_line_dedup": op8_line_dedup,
