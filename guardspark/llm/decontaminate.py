@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardspark.llm.bitmaps import bitmap, member
 from guardspark.llm.scratch import Scratch
 
 SEED_WORDS = 5
@@ -128,16 +129,6 @@ def _item_words(items: DataFrame, id_col: str, text_col: str, seed: int) -> Data
     return items.select(id_col, text_col).mapInArrow(run, f"item {kind}, item_words array<bigint>, n int, seeds array<bigint>")
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Which remainders the seeds have; the driver gets 4 kB for each 32,768."""
-    bit = F.pmod("seed", F.lit(BITMAP_BITS)) + 1
-    parts = seeds.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for p in parts:
-        out[(p.k - 1) * 4096 : p.k * 4096] = np.frombuffer(bytes(p.bits), np.uint8)
-    return out
-
-
 def _stretches(lengths: list[int], bitmap):
     """For each document with possible seeds: the words in them, zeros between
     stretches, and the seeds' distinct hashes."""
@@ -151,8 +142,7 @@ def _stretches(lengths: list[int], bitmap):
                 need, got = np.zeros(len(w), bool), []
                 for n in lengths:
                     h = windows(w, n)
-                    at = h & (BITMAP_BITS - 1)
-                    hit = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
+                    hit = np.flatnonzero(member(bits, h, BITMAP_BITS))
                     got.append(h[hit])
                     for j in range(n):
                         need[hit + j] = True
@@ -190,7 +180,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     items = scratch.table(_item_words(items, item_col, text_col, seed).dropDuplicates(["item"]), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # 1 to ``seed``
     seeds = items.select("item", F.size("item_words").alias("size"), "n", F.posexplode("seeds").alias("at", "seed"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
+    bitmap = spark.sparkContext.broadcast(bitmap(seeds, "seed", BITMAP_BITS))
     kind = docs.schema[doc_col].dataType.simpleString()
     found = docs.select(doc_col, text_col).mapInArrow(_stretches(lengths, bitmap), f"doc {kind}, doc_words array<bigint>, seeds array<bigint>")
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
