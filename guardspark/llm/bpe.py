@@ -7,7 +7,10 @@ places in a list of its distinct units and sends the list out by hash bucket;
 in a bucket every distinct unit is encoded once, whatever the number of tasks
 that hold it; the ids come back and are put in their positions.  What is
 shuffled are distinct units of a task and coded documents, both compressed,
-never occurrences of words.  Decoding looks up each id in the table of pieces,
+never occurrences of words.  The texts are read twice, for the lists and for
+the documents; a checksum of the lists makes sure that both reads agree, so an
+input that is not the same at every read must be written to a table first.
+Decoding looks up each id in the table of pieces,
 unit by unit, and joins them in order.
 
 Defined results: a null text has no ids and decodes to an empty text; texts
@@ -19,7 +22,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +32,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.scratch import Scratch, shuffle_width
+from guardspark.llm.scratch import shuffle_width
 
 #: White space of the tokenizer's patterns, as a class.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Characters of text that a task codes with one list of units.
-CHUNK = 12_000_000
+CHUNK = 8_000_000
 #: Between units in a list; it is no byte of UTF-8.
 END = b"\xff"
 
 
+@lru_cache(1)  # a worker parses a tokenizer once
 def load(source: str):
     """A tokenizer from its JSON, without truncation and padding."""
     from tokenizers import Tokenizer
@@ -64,6 +70,7 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(1)
 def pieces(source: str) -> list[bytes]:
     """The bytes of each id."""
     model, of = json.loads(source), byte_of_char()
@@ -96,55 +103,74 @@ def _unpack(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-CODED = "chunk string, bucket int, docs array<{id}>, counts array<int>, data binary, lens binary"
+CODED = "chunk string, bucket int, docs array<{id}>, counts array<int>, data binary, lens binary, check long"
+NAMES = ["chunk", "bucket", "docs", "counts", "data", "lens", "check"]
 
 
-def _coder(id_type: pa.DataType, buckets: int, specials: list[str]):
-    """Documents to coded documents (bucket -1) and lists of units by bucket."""
+class _Places(dict):
+    """A number for each unit, in the order of their first use."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+def _coder(id_type: pa.DataType, buckets: int, specials: list[str], lists: bool):
+    """Chunks of documents: their lists of distinct units by bucket, or the
+    documents as places in those lists (bucket -1).  Both passes see the same
+    rows in the same order; ``check`` tells if they did not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
-        names = ["chunk", "bucket", "docs", "counts", "data", "lens"]
         part, n_chunks = TaskContext.get().partitionId(), 0
-        docs, counts, codes, size, place = [], [], [], 0, {}
+        new_place = set if lists else _Places
+        docs, counts, codes, size, place = [], [], [], 0, new_place()
 
         def flush() -> pa.RecordBatch:
-            units = [u.encode() for u in place]
-            bucket = np.fromiter((zlib.crc32(u) % buckets for u in units), np.int64, len(units))
+            names = sorted(place)
+            units = [u.encode() for u in names]
+            bucket = np.fromiter(map(zlib.crc32, units), np.int64, len(units)) % buckets
             order = np.argsort(bucket, kind="stable")
-            new = np.empty(len(units), np.uint32)
-            new[order] = np.arange(len(units), dtype=np.uint32)
-            coded = new[np.concatenate(codes)] if units else np.zeros(0, np.uint32)
-            used, first = np.unique(bucket[order], return_index=True)
-            lists = [_pack(END.join(units[i] for i in order[a:b])) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
-            n = 1 + len(used)
+            check = zlib.crc32(b"".join(units))
+            if lists:
+                used, first = np.unique(bucket[order], return_index=True)
+                data = [_pack(END.join([units[i] for i in order[a:b].tolist()])) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
+                own, n_units = None, None
+            else:
+                new = np.empty(len(units), np.uint32)
+                new[np.fromiter(map(place.__getitem__, names), np.int64, len(names))[order]] = np.arange(len(units), dtype=np.uint32)
+                coded = new[np.concatenate(codes)] if codes else new
+                # Bytes of one rank stand together: the higher ones are nearly all alike.
+                used, data, own, n_units = [-1], [_pack(coded.view(np.uint8).reshape(-1, 4).T.copy())], docs, counts
+            n = len(data)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{part}-{n_chunks}"] * n),
-                    pa.array([-1, *used], pa.int32()),
-                    pa.array([docs, *[None] * (n - 1)], pa.list_(id_type)),
-                    pa.array([counts, *[None] * (n - 1)], pa.list_(pa.int32())),
-                    pa.array([_pack(coded), *lists], pa.binary()),
-                    pa.array([None] * n, pa.binary()),
+                    pa.array(used, pa.int32()),
+                    pa.array([own] * n, pa.list_(id_type)),
+                    pa.array([n_units] * n, pa.list_(pa.int32())),
+                    pa.array(data, pa.binary()),
+                    pa.nulls(n, pa.binary()),
+                    pa.array([check] * n, pa.int64()),
                 ],
-                names=names,
+                names=NAMES,
             )
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = t.as_py() or ""
                 units = units_of(text, cut)
-                for u in units:
-                    if u not in place:
-                        place[u] = len(place)
-                codes.append(np.fromiter(map(place.__getitem__, units), np.uint32, len(units)))
+                if lists:
+                    place.update(units)
+                else:
+                    codes.append(np.fromiter(map(place.__getitem__, units), np.uint32, len(units)))
+                    counts.append(len(units))
                 docs.append(i)
-                counts.append(len(units))
                 size += len(text)
                 if size >= CHUNK:
                     yield flush()
                     n_chunks += 1
-                    docs, counts, codes, size, place = [], [], [], 0, {}
+                    docs, counts, codes, size, place = [], [], [], 0, new_place()
         if docs:
             yield flush()
 
@@ -156,18 +182,19 @@ def _encoder(source):
 
     def run(table: pa.Table) -> pa.Table:
         tok = load(source.value)
+        code = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
         lists = [_unpack(x.as_py()).split(END) for x in table.column("data")]
         distinct = list(set().union(*lists))
         ids, lens = {}, {}
-        for k in range(0, len(distinct), 8192):
-            part = distinct[k : k + 8192]
+        for k in range(0, len(distinct), 2048):
+            part = distinct[k : k + 2048]
             for u, e in zip(part, tok.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True):
-                x = np.array(e.ids, np.uint32)
-                ids[u], lens[u] = x.tobytes(), len(x)
+                x = e.ids
+                ids[u], lens[u] = array(code, x).tobytes(), len(x)
         back = [_pack(b"".join([ids[u] for u in units])) for units in lists]
         sizes = [_pack(np.array([lens[u] for u in units], np.uint32)) for units in lists]
-        none = pa.nulls(len(lists))
-        return pa.table([table.column("chunk"), table.column("bucket"), none.cast(table.schema.field("docs").type), none.cast(table.schema.field("counts").type), pa.array(back, pa.binary()), pa.array(sizes, pa.binary())], names=table.schema.names)
+        new = {"data": pa.array(back, pa.binary()), "lens": pa.array(sizes, pa.binary())}
+        return pa.table([new.get(c, table.column(c)) for c in NAMES], names=NAMES)
 
     return run
 
@@ -179,13 +206,15 @@ def _assembler(id_type: pa.DataType, id_col: str, source):
         piece = pieces(source.value)
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         doc, lists = rows[0], rows[1:]
-        flat = np.frombuffer(b"".join(_unpack(r["data"]) for r in lists), np.uint32).astype(np.int32)
+        if doc["bucket"] >= 0 or any(r["check"] != doc["check"] for r in lists):
+            raise ValueError("the input's rows or their order changed between two reads; write it to a table first")
+        flat = np.frombuffer(b"".join(_unpack(r["data"]) for r in lists), np.uint16 if len(piece) <= 1 << 16 else np.uint32).astype(np.int32)
         lens = np.frombuffer(b"".join(_unpack(r["lens"]) for r in lists), np.uint32).astype(np.int64)
         ends = np.cumsum(lens)
         starts = ends - lens
         by_id = [piece[i] for i in flat.tolist()]
         decoded = [b"".join(by_id[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        codes = np.frombuffer(_unpack(doc["data"]), np.uint32).astype(np.int64)
+        codes = np.frombuffer(_unpack(doc["data"]), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
         n = lens[codes]
         to = np.cumsum(n)
         ids = flat[np.arange(to[-1] if len(to) else 0) - np.repeat(to - n - starts[codes], n)]
@@ -202,15 +231,15 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     byte-level tokenizer at ``path`` encodes and decodes it."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    spark = df.sparkSession
     source = spark.sparkContext.broadcast(text)  # the tokenizer's own file
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type, kind = to_arrow_type(df.schema[id_col].dataType), df.schema[id_col].dataType.simpleString()
     schema = CODED.format(id=kind)
-    coded = scratch.table(df.select(id_col, text_col).mapInArrow(_coder(id_type, shuffle_width(spark), special_tokens(text)), schema), "coded")
-    lists = coded.where("bucket >= 0").groupBy("bucket").applyInArrow(_encoder(source), schema)
-    chunks = coded.where("bucket < 0").unionByName(lists)
+    texts, width, specials = df.select(id_col, text_col), shuffle_width(spark), special_tokens(text)
+    lists = texts.mapInArrow(_coder(id_type, width, specials, True), schema).groupBy("bucket").applyInArrow(_encoder(source), schema)
+    chunks = texts.mapInArrow(_coder(id_type, width, specials, False), schema).unionByName(lists)
     return chunks.groupBy("chunk").applyInArrow(_assembler(id_type, id_col, source), f"{id_col} {kind}, ids array<int>, decoded string")
 
 
