@@ -9,6 +9,7 @@ from guardspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from guardspark.llm.quality_rules import OP7_SQL, op7_quality_rules
 from guardspark.llm.simhash import op9_simhash
 from guardspark.llm.suffix_dedup import op1_suffix_dedup
+from guardspark.llm.token_files import op2_token_files
 from guardspark.llm.toxicity import op10_toxicity
 from guardspark.llm.weak_quality import op5_weak_quality
 
@@ -16,6 +17,7 @@ from guardspark.llm.weak_quality import op5_weak_quality
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_token_files": op2_token_files,
         "op3_bpe": op3_bpe,
         "op4_hilbert_shards": op4_hilbert_shards,
         "op5_weak_quality": op5_weak_quality,
