@@ -129,12 +129,12 @@ def _item_words(items: DataFrame, id_col: str, text_col: str, seed: int) -> Data
     return items.select(id_col, text_col).mapInArrow(run, f"item {kind}, item_words array<bigint>, n int, seeds array<bigint>")
 
 
-def _stretches(lengths: list[int], bitmap):
+def _stretches(lengths: list[int], seed_bits):
     """For each document with possible seeds: the words in them, zeros between
     stretches, and the seeds' distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits = seed_bits.value
         for b in batches:
             ids, words, seeds = [], [], []
             for i, t in zip(b.column(0), b.column(1), strict=True):
@@ -180,9 +180,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     items = scratch.table(_item_words(items, item_col, text_col, seed).dropDuplicates(["item"]), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # 1 to ``seed``
     seeds = items.select("item", F.size("item_words").alias("size"), "n", F.posexplode("seeds").alias("at", "seed"))
-    bitmap = spark.sparkContext.broadcast(bitmap(seeds, "seed", BITMAP_BITS))
+    seed_bits = spark.sparkContext.broadcast(bitmap(seeds, "seed", BITMAP_BITS))
     kind = docs.schema[doc_col].dataType.simpleString()
-    found = docs.select(doc_col, text_col).mapInArrow(_stretches(lengths, bitmap), f"doc {kind}, doc_words array<bigint>, seeds array<bigint>")
+    found = docs.select(doc_col, text_col).mapInArrow(_stretches(lengths, seed_bits), f"doc {kind}, doc_words array<bigint>, seeds array<bigint>")
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
     places = scratch.table(seeds.groupBy("seed", "item", "size", "n").agg(F.collect_list("at").alias("at")), "seeds")
     pairs = found.select("row", F.explode("seeds").alias("seed")).join(places, "seed").groupBy("row", "item", "size", "n").agg(F.collect_list("at").alias("at"))

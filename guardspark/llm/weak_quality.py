@@ -40,6 +40,8 @@ SYMBOLS = frozenset("#*$%&|<>")
 def _shape(word: str) -> str:
     """Letters, capitals and digits as a, A and 0, runs as one; other
     characters as they are."""
+    if word.isalpha() and word.islower():
+        return "a"
     out = []
     for c in word:
         c = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
@@ -49,7 +51,7 @@ def _shape(word: str) -> str:
 
 
 #: Columns of the word table.
-SHAPE, SYMBOL, DECORATED, SHOUTED, EXCLAIMED, LETTERS, CAPITALS, LENGTH, HASH = range(9)
+SYMBOL, DECORATED, SHOUTED, EXCLAIMED, LETTERS, CAPITALS, LENGTH, SHAPE = range(8)
 
 
 class _Words(dict):
@@ -57,18 +59,20 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.table = np.zeros((1024, 9), np.int64)
+        self.table, self.hashes = np.zeros((1024, 8), np.int32), np.zeros(1024, np.int64)
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table, self.hashes = np.concatenate([self.table, self.table]), np.concatenate([self.hashes, self.hashes])
         place = xxhash.xxh32_intdigest(("shape " + _shape(word)).encode()) & (DIM - 1)
-        symbols = sum(c in SYMBOLS for c in word)
-        row = (place, symbols, symbols > 0, len(word) > 1 and word.upper() == word != word.lower(), word.count("!"), sum(map(str.isalpha, word)), sum(map(str.isupper, word)), len(word), xxhash.xxh64_intdigest(word.encode()) >> 1)
+        symbols = 0 if word.isalpha() else sum(c in SYMBOLS for c in word)
+        letters = len(word) if word.isalpha() else sum(map(str.isalpha, word))
+        capitals = 0 if word.islower() else sum(map(str.isupper, word))
         self[word] = i = len(self)
-        self.table[i] = row
+        self.table[i] = (symbols, symbols > 0, len(word) > 1 and word.upper() == word != word.lower(), word.count("!"), letters, capitals, len(word), place)
+        self.hashes[i] = xxhash.xxh64_intdigest(word.encode()) >> 1
         return i
 
 
@@ -92,7 +96,7 @@ class Measures:
     counts: np.ndarray
 
 
-def measure(text: str | None, words: _Words) -> Measures:
+def measure(text: str | None, words: _Words, with_shapes: bool = True) -> Measures:
     text = text or ""
     if len(words) > REMEMBERED:
         words.clear()
@@ -100,7 +104,7 @@ def measure(text: str | None, words: _Words) -> Measures:
     n = len(found)
     rows = np.fromiter(map(words.__getitem__, found), np.int64, n)
     a = words.table[rows]
-    h = a[:, HASH]
+    h = words.hashes[rows]
     repeated = echoed = 0.0
     if n > 3:
         m = np.int64(0x5851F42D4C957F2D)
@@ -110,7 +114,9 @@ def measure(text: str | None, words: _Words) -> Measures:
         repeated = float((np.r_[same, False] | np.r_[False, same]).mean())
         echoed = float((h[1:] == h[:-1]).mean())
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    shapes, counts = np.unique(a[:, SHAPE], return_counts=True)
+    shapes = counts = np.zeros(0, np.int64)
+    if with_shapes:
+        shapes, counts = np.unique(a[:, SHAPE], return_counts=True)
     total = a.sum(axis=0, dtype=np.float64)
     per = lambda c: float(total[c]) / max(n, 1)
     return Measures(n, per(SYMBOL), per(DECORATED), per(SHOUTED), per(EXCLAIMED), float(total[LETTERS] / max(total[LENGTH], 1)), float(total[CAPITALS] / max(total[LETTERS], 1)), repeated, echoed, len(set(found)) / max(n, 1), 1 - len(set(lines)) / max(len(lines), 1), shapes, counts)
@@ -203,7 +209,7 @@ def features(m: Measures) -> tuple[np.ndarray, np.ndarray]:
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([pattern(measure(t.as_py(), words)) for t in b.column(0)], pa.int32())], names=["pattern"])
+        yield pa.RecordBatch.from_arrays([pa.array([pattern(measure(t.as_py(), words, False)) for t in b.column(0)], pa.int32())], names=["pattern"])
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
