@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.config import LAYERS, EngineConfig
@@ -46,13 +46,18 @@ def hybrid_reason(p: Column, s: Column, blocked: Column, c: Column, verdict: Col
     return F.concat_ws(" | ", parts, F.format_string("composite=%.3f→%s", c, verdict))
 
 
-def hybrid(pattern: Column, semantic: Column, cfg: EngineConfig) -> Column:
-    """Composite, verdict, both maxima and contributions, reason."""
-    p, s, blocked = max_confidence(pattern), max_confidence(semantic), F.coalesce(pattern["verdict"] == "block", F.lit(False))
-    c = composite(p, s, blocked, cfg)
-    v = composite_verdict(c, cfg)
+def with_hybrid(df: DataFrame, scored: Column, cfg: EngineConfig) -> DataFrame:
+    """Adds ``hybrid`` - composite, verdict, both maxima and contributions,
+    reason - where ``scored``.  Step by step in plain columns, so that no
+    expression is written out more than once."""
+    df = df.withColumns({"_on": scored, "_p": max_confidence(F.col("pattern")), "_s": max_confidence(F.col("semantic")), "_b": F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False))})
+    p, s, blocked, c = F.col("_p"), F.col("_s"), F.col("_b"), F.col("_c")
+    df = df.withColumn("_c", composite(p, s, blocked, cfg))
+    df = df.withColumn("_v", composite_verdict(c, cfg))
+    df = df.withColumn("_r", hybrid_reason(p, s, blocked, c, F.col("_v"), cfg))
     from_p, from_s = contributions(p, s, blocked, cfg)
-    return F.struct(c.alias("composite"), v.alias("verdict"), from_p.alias("pattern_contribution"), from_s.alias("semantic_contribution"), p.alias("pattern_max"), s.alias("semantic_max"), hybrid_reason(p, s, blocked, c, v, cfg).alias("reason"))
+    whole = F.struct(c.alias("composite"), F.col("_v").alias("verdict"), from_p.alias("pattern_contribution"), from_s.alias("semantic_contribution"), p.alias("pattern_max"), s.alias("semantic_max"), F.col("_r").alias("reason"))
+    return df.withColumn("hybrid", F.when(F.col("_on"), whole)).drop("_on", "_p", "_s", "_b", "_c", "_v", "_r")
 
 
 def hybrid_finding(h: Column) -> Column:

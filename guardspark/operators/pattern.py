@@ -59,6 +59,13 @@ def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat"
     return F.expr(rule_findings_sql(text, rules, mode))
 
 
+def with_layer(df: DataFrame, name: str, findings: str) -> DataFrame:
+    """A layer's struct from its findings.  The verdict is a plain column
+    first: a struct of references is free to be taken apart again."""
+    df = df.withColumn("_verdict", strictest(F.transform(findings, lambda f: f["verdict"])))
+    return df.withColumn(name, F.struct(F.col("_verdict").alias("verdict"), F.col(findings).alias("findings"))).drop("_verdict")
+
+
 def layer_of(findings: Column) -> Column:
     return F.struct(strictest(F.transform(findings, lambda f: f["verdict"])).alias("verdict"), findings.alias("findings"))
 
@@ -69,7 +76,7 @@ def pattern(df: DataFrame, cfg: EngineConfig, rules: Iterable[Rule] = RULES) ->
     df = df.withColumn("_one", F.when(F.size("scan_texts") == 1, F.col("scan_texts")[0]))
     many = F.expr(f"flatten(transform(CASE WHEN size(scan_texts) > 1 THEN scan_texts ELSE CAST(array() AS array<string>) END, t -> {rule_findings_sql('t', rules, cfg.rules_mode)}))")
     df = df.withColumn("_found", F.when(F.col("_one").isNotNull(), rule_findings("_one", rules, cfg.rules_mode)).otherwise(many))
-    return df.withColumn("pattern", layer_of(F.col("_found"))).drop("_one", "_found")
+    return with_layer(df, "pattern", "_found").drop("_one", "_found")
 
 
 def redact(text: Column) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
-from guardspark.schemas import SEVERITY_VERDICT, finding, no_findings, strictest
+from guardspark.operators.pattern import with_layer
+from guardspark.schemas import SEVERITY_VERDICT, finding, no_findings
 
 MAX_BROADCAST = 16_000_000
 CATEGORIES = ("T-PI-D", "T-PI-I", "T-JB", "T-EXT", "T-EXF", "T-TOOL", "T-AGT", "T-ENC", "T-DOS", "T-OUT", "T-MEM", "T-CASC", "T-NG")
@@ -102,4 +103,4 @@ def semantic(df: DataFrame, corpus: DataFrame, cfg: EngineConfig, id_col: str =
     made = finding("semantic", F.format_string("SEM-%03d", F.col("rank")), category, severity, similarity_verdict(F.col("similarity"), cfg), F.col("similarity"), said, F.concat(F.lit("category="), F.coalesce("category", F.lit("?")), F.lit(" source="), F.coalesce("source", F.lit("?"))), F.concat(F.lit("Review prompt for "), category, F.lit(" intent")))
     lists = found.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", made.alias("f")))), lambda x: x["f"]).alias("_sem"))
     df = df.join(lists, id_col, "left").withColumn("_sem", F.coalesce("_sem", no_findings()))
-    return df.withColumn("semantic", F.struct(strictest(F.transform("_sem", lambda f: f["verdict"])).alias("verdict"), F.col("_sem").alias("findings"))).drop("_sem")
+    return with_layer(df, "semantic", "_sem").drop("_sem")

@@ -63,5 +63,7 @@ def structural(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     each = F.transform(F.arrays_zip("texts", "_plain", "_clean", "_ratio"), lambda x: text_findings(x["texts"], x["_plain"], x["_clean"], x["_ratio"], cfg))
     empty = F.array(finding("structural", "STRUCT-001", "T-NG", "high", "block", 1.0, "Empty request", None, "Send a prompt or messages"))
     df = df.withColumn("_found", F.when(F.size("texts") == 0, empty).otherwise(F.flatten(each)))
-    layer = F.struct(strictest(F.transform("_found", lambda f: f["verdict"])).alias("verdict"), F.col("_found").alias("findings"), F.array_join("_clean", "\n").alias("sanitized"))
-    return df.withColumn("structural", layer).drop("_plain", "_ratio", "_clean", "_found")
+    # Plain columns first: a struct of references is free to be taken apart again.
+    df = df.withColumns({"_verdict": strictest(F.transform("_found", lambda f: f["verdict"])), "_text": F.array_join("_clean", "\n")})
+    layer = F.struct(F.col("_verdict").alias("verdict"), F.col("_found").alias("findings"), F.col("_text").alias("sanitized"))
+    return df.withColumn("structural", layer).drop("_plain", "_ratio", "_clean", "_found", "_verdict", "_text")

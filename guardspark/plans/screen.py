@@ -8,15 +8,16 @@ before, so the same functions serve batches and streams.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.config import LAYERS, EngineConfig
 from guardspark.functions.text import action_text, raw_text, texts_to_scan
 from guardspark.operators.actions import response, response_confidence
-from guardspark.operators.hybrid import arbitrate, hybrid, hybrid_finding
+from guardspark.operators.hybrid import arbitrate, hybrid_finding, with_hybrid
 from guardspark.operators.judge import JudgeClient, ask, gate, judge_layer
-from guardspark.operators.pattern import PII_RULES, layer_of, pattern, redact, rule_findings
+from guardspark.operators.pattern import PII_RULES, layer_of, pattern, redact, rule_findings, with_layer
 from guardspark.operators.semantic import semantic
 from guardspark.operators.structural import structural
 from guardspark.schemas import no_findings
@@ -40,7 +41,8 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
     """Requests with ``verdict``, ``layer``, ``reason``, ``findings``,
     ``confidence``, ``layers_used`` and ``response``, and one struct for each
     layer, null where it did not run.  With a corpus requests need an
-    ``embedding``."""
+    ``embedding``; the layers before the search are then persisted (spilling to
+    disk), so this form is for batches."""
     df = requests.withColumns({"texts": texts_to_scan(F.col("messages"), F.col("prompt")), "raw_text": raw_text(F.col("messages"), F.col("prompt"))})
     df = structural(df, cfg).withColumn("structural", F.when(_wanted("structural", cfg), F.col("structural")))
     sanitized = F.coalesce(F.col("structural")["sanitized"], F.lit(""))
@@ -49,10 +51,12 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
     # Rows without a pattern layer have nothing to scan.
     df = df.withColumn("run_pattern", run_pattern).withColumn("scan_texts", F.when(F.col("run_pattern"), F.col("scan_texts")).otherwise(F.array().cast("array<string>")))
     df = pattern(df, cfg)
-    exf_only = layer_of(F.filter(F.col("pattern")["findings"], lambda f: f["category"] == "T-EXF"))
-    df = df.withColumn("pattern", F.when(F.col("run_pattern"), F.when(F.col("output_only"), exf_only).otherwise(F.col("pattern")))).drop("run_pattern")
+    kept = F.when(F.col("output_only"), F.filter(F.col("pattern")["findings"], lambda f: f["category"] == "T-EXF")).otherwise(F.col("pattern")["findings"])
+    df = with_layer(df.withColumn("_kept", kept), "pattern", "_kept").withColumn("pattern", F.when(F.col("run_pattern"), F.col("pattern"))).drop("run_pattern", "_kept")
     layers, hybrid_ = ["structural", "pattern"], F.lit(None).cast("struct<composite: double, verdict: string, pattern_contribution: double, semantic_contribution: double, pattern_max: double, semantic_max: double, reason: string>")
     if corpus is not None:
+        # The search and the rows it joins both start here: the layers so far are computed once.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df = df.withColumn("ran_semantic", _wanted("semantic", cfg) & ~_stopped(layers, cfg))
         df = df.withColumn("run_semantic", F.col("ran_semantic") & F.col("embedding").isNotNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False)))
         df = semantic(df, corpus, cfg).withColumn("semantic", F.when(F.col("ran_semantic"), F.col("semantic"))).drop("run_semantic", "ran_semantic")
@@ -61,10 +65,10 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
         for n in layers:
             any_ = any_ + F.coalesce(F.size(F.col(n)["findings"]), F.lit(0))
         scored = F.col("pattern").isNotNull() & F.col("semantic").isNotNull() & (any_ > 0) & ~_stopped(["semantic"], cfg)
-        df = df.withColumn("hybrid", F.when(scored, hybrid(F.col("pattern"), F.col("semantic"), cfg)))
+        df = with_hybrid(df, scored, cfg)
         hybrid_ = F.col("hybrid")
     if client is not None and corpus is not None:
-        df = df.withColumn("ask_judge", _wanted("judge", cfg) & ~_stopped(layers, cfg))
+        df = df.persist(StorageLevel.MEMORY_AND_DISK).withColumn("ask_judge", _wanted("judge", cfg) & ~_stopped(layers, cfg))
         asked = df.where(F.col("ask_judge") & gate(F.col("semantic"), None, cfg))
         answers = ask(asked, client, cfg)
         df = df.join(answers, "request_id", "left")
