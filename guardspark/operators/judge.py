@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
@@ -95,18 +95,25 @@ def breaker_replay(outcomes: DataFrame, key: str, ts_col: str, ok_col: str, fail
     """What the circuit breaker of each key does with calls in order of time:
     ``state`` before each call, and whether it is let through.  It opens after
     ``failures`` failed calls in a row, is half open after ``wait`` seconds,
-    and a success then closes it.  A key is one model endpoint; its calls of
-    one micro-batch are folded together."""
-    calls = F.array_sort(F.collect_list(F.struct(F.col(ts_col).cast("double").alias("ts"), F.col(ok_col).alias("ok"))))
-    kind = "struct<fails: int, open_at: double, out: array<struct<ts: double, state: string, allowed: boolean>>>"
-    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("double").alias("open_at"), F.array().cast("array<struct<ts: double, state: string, allowed: boolean>>").alias("out")).cast(kind)
+    and a success then closes it.  After a success that comes ``wait`` seconds
+    or more behind the call before it the breaker is closed whatever was
+    before: a key's calls are cut there and the runs folded by themselves."""
+    by_time = Window.partitionBy(key).orderBy("ts", "ok")
+    calls = outcomes.select(key, F.col(ts_col).cast("double").alias("ts"), F.coalesce(ok_col, F.lit(False)).alias("ok"))
+    calls = calls.withColumn("_settled", (F.col("ok") & F.coalesce(F.col("ts") - F.lag("ts").over(by_time) >= wait, F.lit(False))).cast("int"))
+    calls = calls.withColumn("_run", F.coalesce(F.sum("_settled").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    calls = calls.withColumn("_seq", F.row_number().over(by_time) - 1)
+    run = F.array_sort(F.collect_list(F.struct("_seq", "ts", "ok")))
+    row = "struct<seq: int, ts: double, state: string, allowed: boolean>"
+    kind = f"struct<fails: int, open_at: double, out: array<{row}>>"
+    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("double").alias("open_at"), F.array().cast(f"array<{row}>").alias("out")).cast(kind)
 
     def step(a: Column, x: Column) -> Column:
         state = F.when(a["open_at"].isNull(), "closed").when(x["ts"] - a["open_at"] >= wait, "half_open").otherwise("open")
         on = state != "open"
         fails = F.when(on & x["ok"], 0).when(on, a["fails"] + 1).otherwise(a["fails"])
         opened = F.when(on & x["ok"], F.lit(None)).when(on & (fails >= failures), x["ts"]).otherwise(a["open_at"])
-        return F.struct(fails.cast("int").alias("fails"), opened.cast("double").alias("open_at"), F.concat(a["out"], F.array(F.struct(x["ts"].alias("ts"), state.alias("state"), on.alias("allowed")))).alias("out")).cast(kind)
+        return F.struct(fails.cast("int").alias("fails"), opened.cast("double").alias("open_at"), F.concat(a["out"], F.array(F.struct(x["_seq"].alias("seq"), x["ts"].alias("ts"), state.alias("state"), on.alias("allowed")))).alias("out")).cast(kind)
 
-    folded = outcomes.groupBy(key).agg(F.aggregate(calls, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.posexplode("out").alias("seq", "o")).select(key, "seq", "o.*")
+    folded = calls.groupBy(key, "_run").agg(F.aggregate(run, start, step, lambda a: a["out"]).alias("out"))
+    return folded.select(key, F.explode("out").alias("o")).select(key, "o.*")

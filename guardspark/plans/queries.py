@@ -399,6 +399,32 @@ def judge_parse(spark, sf_dir):
     return out.select("conv_id", "turn", F.coalesce("r.verdict", F.lit("unparsed")).alias("verdict"), F.coalesce("r.confidence", F.lit(-1.0)).alias("confidence"), F.coalesce("r.is_malicious", F.lit(False)).alias("is_malicious"))
 
 
+#: What comes of each reply, of a timeout and of a failed call: the layer's
+#: verdict, and rule, severity and confidence of its finding.
+JUDGED = (
+    ("block", "JUDGE-001", "high", 0.9),
+    ("sanitize", "JUDGE-001", "medium", 1.0),
+    ("allow", None, None, None),
+    ("escalate", None, None, None),
+    ("allow", "JUDGE-PARSE", "low", 0.0),
+    ("allow", "JUDGE-PARSE", "low", 0.0),
+    ("allow", "JUDGE-TIMEOUT", "low", 0.0),
+    ("allow", "JUDGE-ERR", "low", 0.0),
+)
+
+
+@query("SELECT conv_id, turn, v.verdict, v.rule_id, v.severity, v.confidence FROM conversations JOIN (VALUES " + ", ".join(f"({i}, {_q(v)}, " + ", ".join("NULL" if x is None else _q(x) for x in (r, s)) + f", {'NULL' if c is None else c}::DOUBLE)" for i, (v, r, s, c) in enumerate(JUDGED)) + f") AS v(k, verdict, rule_id, severity, confidence) ON (conv_id + turn) % {len(JUDGED)} = v.k")
+def judge_verdict(spark, sf_dir):
+    """The judge layer on replies, timeouts and failed calls."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(JUDGED))).cast("int")
+    content = F.get(F.array(*(F.lit(r[0]) for r in REPLIES)), k)
+    error = F.when(k == len(REPLIES), "timeout").when(k == len(REPLIES) + 1, "ConnectionError: refused")
+    layer = judge.judge_layer(content, error)
+    out = _read(spark, sf_dir, "conversations").select("conv_id", "turn", layer.alias("l"))
+    f = F.get("l.findings", F.lit(0))
+    return out.select("conv_id", "turn", "l.verdict", f["rule_id"].alias("rule_id"), f["severity"].alias("severity"), f["confidence"].alias("confidence"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) / 1e6 AS ts, value > 60 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, value > 60) AS rn FROM events),
 r AS (

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
+from guardspark.operators import judge
 from guardspark.operators.corpus import build_corpus, map_category, map_severity
 from guardspark.operators.ratelimit import rate_limit
 from guardspark.sources import io
@@ -91,3 +92,37 @@ def test_corpus_and_files(spark, tmp_path):
     io.write_audit(days, str(tmp_path / "log"))
     assert io.drop_old_audit(spark, str(tmp_path / "log"), "2024-03-01", 0) == []
     assert io.drop_old_audit(spark, str(tmp_path / "log"), "2024-03-01", 30) == ["event_date=2024-01-01"]
+
+
+def plain_breaker(calls, failures, wait):
+    fails, open_at, out = 0, None, []
+    for ts, ok in sorted(calls):
+        state = "closed" if open_at is None else "half_open" if ts - open_at >= wait else "open"
+        out.append((ts, state, state != "open"))
+        if state == "open":
+            continue
+        fails = 0 if ok else fails + 1
+        open_at = None if ok else ts if fails >= failures else open_at
+    return out
+
+
+def test_breaker_in_runs_as_in_one_pass(spark):
+    rnd, rows, want = random.Random(5), [], {}
+    for key, gap in (("a", 5), ("b", 40), ("c", 200)):
+        ts, calls = 0.0, []
+        for _ in range(150):
+            ts += rnd.choice((0, 1, gap))
+            calls.append((ts, rnd.random() < 0.4))
+        rows += [(key, *c) for c in calls]
+        want[key] = [(i, *x) for i, x in enumerate(plain_breaker(calls, 3, 60))]
+    rnd.shuffle(rows)
+    out = judge.breaker_replay(spark.createDataFrame(rows, "key string, at double, good boolean"), "key", "at", "good")
+    got = {}
+    for r in out.orderBy("key", "seq").collect():
+        got.setdefault(r.key, []).append((r.seq, r.ts, r.state, r.allowed))
+    assert got == want
+    assert {s for v in got.values() for _, _, s, _ in v} == {"closed", "half_open", "open"}
+
+
+def test_breaker_on_no_calls(spark):
+    assert judge.breaker_replay(spark.createDataFrame([], "key string, at double, good boolean"), "key", "at", "good").count() == 0
