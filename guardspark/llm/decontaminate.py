@@ -12,7 +12,9 @@ passage put back in another order is caught as well.
 
 An item shorter than five words is its own seed.  Defined results: null and
 empty texts match nothing, items without words never do; repeated rows are
-judged one by one; null ids stay null; further columns are dropped.
+judged one by one; null ids stay null, of items too; further columns are
+dropped.  Items that share an id or have none are told apart by their words:
+each distinct text is matched, and gives rows of its own.
 """
 
 from __future__ import annotations
@@ -173,25 +175,27 @@ def _tiler(doc_type: str, item_type: str):
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", seed: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each document row and item with at least ``coverage`` of the
+    """One row for each document row and item text with at least ``coverage`` of the
     item's words in tiles: ``doc_id``, ``item_id``, ``coverage``, ``n_tiles``,
     ``longest``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    items = scratch.table(_item_words(items, item_col, text_col, seed).dropDuplicates(["item"]), "items")
+    items = _item_words(items, item_col, text_col, seed).dropDuplicates(["item", "item_words"])
+    # Ids may repeat or be null: the joins go by a number of their own.
+    items = scratch.table(items.withColumn("no", F.monotonically_increasing_id()), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # 1 to ``seed``
-    seeds = items.select("item", F.size("item_words").alias("size"), "n", F.posexplode("seeds").alias("at", "seed"))
+    seeds = items.select("no", F.size("item_words").alias("size"), "n", F.posexplode("seeds").alias("at", "seed"))
     seed_bits = spark.sparkContext.broadcast(bitmap(seeds, "seed", BITMAP_BITS))
     kind = docs.schema[doc_col].dataType.simpleString()
     found = docs.select(doc_col, text_col).mapInArrow(_stretches(lengths, seed_bits), f"doc {kind}, doc_words array<bigint>, seeds array<bigint>")
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
-    places = scratch.table(seeds.groupBy("seed", "item", "size", "n").agg(F.collect_list("at").alias("at")), "seeds")
-    pairs = found.select("row", F.explode("seeds").alias("seed")).join(places, "seed").groupBy("row", "item", "size", "n").agg(F.collect_list("at").alias("at"))
+    places = scratch.table(seeds.groupBy("seed", "no", "size", "n").agg(F.collect_list("at").alias("at")), "seeds")
+    pairs = found.select("row", F.explode("seeds").alias("seed")).join(places, "seed").groupBy("row", "no", "size", "n").agg(F.collect_list("at").alias("at"))
     # The words of the item that its shared seeds reach: no tiling covers more.
     starts = F.sort_array(F.flatten("at"))
     reach = F.aggregate(starts, F.struct((-F.col("n")).alias("last"), F.lit(0).alias("sum")), lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.col("n"), p - a["last"])).alias("sum")), lambda a: a["sum"])
-    pairs = scratch.table(pairs.where(reach >= F.lit(coverage) * F.col("size")).select("row", "item"), "pairs")
+    pairs = scratch.table(pairs.where(reach >= F.lit(coverage) * F.col("size")).select("row", "no"), "pairs")
     run, schema = _tiler(kind, items.schema["item"].dataType.simpleString())
-    tiled = pairs.join(found.select("row", "doc", "doc_words"), "row").join(items.select("item", "item_words", "n"), "item").mapInArrow(run, schema)
+    tiled = pairs.join(found.select("row", "doc", "doc_words"), "row").join(items.select("no", "item", "item_words", "n"), "no").mapInArrow(run, schema)
     return tiled.where(F.col("coverage") >= coverage)
 
 

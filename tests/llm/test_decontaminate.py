@@ -73,6 +73,14 @@ def test_reordered_and_partial(spark):
     assert got == [(0, 0, 1.0), (0, 0, 1.0), (3, 0, 1.0), (4, 3, 1.0)]
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    texts = ["one two three four five six", "red green blue pink grey brown", "mon tue wed thu fri sat"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in d.contamination(docs, items).orderBy("doc_id").collect()]
+    assert got == [(0, 1), (1, 1), (2, None)]
+
+
 def test_awkward_rows(spark):
     items = spark.createDataFrame([(0, "this line stands in several documents and is long enough")], "item_id long, text string")
     got = sorted(r.doc_id for r in d.contamination(awkward(spark), items).collect())
