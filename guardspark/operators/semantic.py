@@ -90,6 +90,12 @@ def category_distribution(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def embedding_failed() -> Column:
+    """The layer's struct for a text without an embedding: it blocks."""
+    f = finding("semantic", "SEM-EMB-001", "T-NG", "high", "block", 1.0, "Embedding computation failed: no embedding", None, "Check the embedder and its model")
+    return F.struct(F.lit("block").alias("verdict"), F.array(f).alias("findings"))
+
+
 def semantic(df: DataFrame, corpus: DataFrame, cfg: EngineConfig, id_col: str = "request_id") -> DataFrame:
     """From ``embedding`` to ``semantic``: verdict and findings by rank.  Rows
     that a layer before has blocked are not searched."""

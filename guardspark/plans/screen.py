@@ -18,7 +18,7 @@ from guardspark.operators.actions import response, response_confidence
 from guardspark.operators.hybrid import arbitrate, hybrid_finding, with_hybrid
 from guardspark.operators.judge import JudgeClient, ask, gate, judge_layer
 from guardspark.operators.pattern import PII_RULES, layer_of, pattern, redact, rule_findings, with_layer
-from guardspark.operators.semantic import semantic
+from guardspark.operators.semantic import embedding_failed, semantic
 from guardspark.operators.structural import structural
 from guardspark.schemas import no_findings
 
@@ -59,7 +59,10 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df = df.withColumn("ran_semantic", _wanted("semantic", cfg) & ~_stopped(layers, cfg))
         df = df.withColumn("run_semantic", F.col("ran_semantic") & F.col("embedding").isNotNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False)))
-        df = semantic(df, corpus, cfg).withColumn("semantic", F.when(F.col("ran_semantic"), F.col("semantic"))).drop("run_semantic", "ran_semantic")
+        df = semantic(df, corpus, cfg)
+        # A text that could not be embedded is not searched: that blocks.
+        lost = (F.col("raw_text") != "") & F.col("embedding").isNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False))
+        df = df.withColumn("semantic", F.when(F.col("ran_semantic"), F.when(lost, embedding_failed()).otherwise(F.col("semantic")))).drop("run_semantic", "ran_semantic")
         layers.append("semantic")
         any_ = F.lit(0)
         for n in layers:

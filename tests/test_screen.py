@@ -112,6 +112,14 @@ def unit(a, b):
     return [a, b, float(np.sqrt(max(0, 1 - a * a - b * b)))]
 
 
+def test_a_text_without_embedding_is_blocked(spark):
+    rows = [(*request("lost", "hello"), None), (*request("found", "hello"), unit(0.1, 0.1)), (*request("off", "hello", scanners=["structural"]), None)]
+    df, corpus = vectors(spark, rows)
+    got = {r.request_id: r for r in screen(df, EngineConfig(semantic_enabled=True), corpus).collect()}
+    assert got["lost"].verdict == "block" and rules(got["lost"])[0] == "SEM-EMB-001"
+    assert got["found"].verdict == got["off"].verdict == "allow"
+
+
 def test_semantic_hybrid_and_judge(spark):
     class Client:
         def ask(self, text):
