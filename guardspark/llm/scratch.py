@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="guardspark-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -37,11 +40,19 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
 
-    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write ``df`` and return the table read back, with ``path`` on it."""
+    def table(self, df: DataFrame, name: str, arrow_rows: int | None = None, **options: str) -> DataFrame:
+        """Write ``df`` and return the table read back, with ``path`` on it.
+        ``arrow_rows``: rows that tasks hand to Python at once, where rows are
+        long; the session's own number holds again afterwards."""
         self._n += 1
         path = f"{self.root}/{self._n:02d}-{name}"
-        df.write.options(**options).parquet(path)
+        own = self.spark.conf.get(ARROW_ROWS)
+        try:
+            if arrow_rows:
+                self.spark.conf.set(ARROW_ROWS, arrow_rows)
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(ARROW_ROWS, own)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
