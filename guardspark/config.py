@@ -25,6 +25,7 @@ class EngineConfig:
     judge_low: float = 0.30
     judge_high: float = 0.70
     judge_chars: int = 2000
+    judge_timeout: float = 5.0  # seconds of a call
     audit_enabled: bool = True
     retention_days: int = 30
     tokenize_pii: bool = True

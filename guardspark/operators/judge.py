@@ -6,19 +6,43 @@ Parsing of its replies and the circuit breaker are plain expressions and folds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
+from guardspark.operators.folds import fold_in_order
 from guardspark.schemas import JUDGE_REPLY, finding, no_findings
 
 FAILURES_TO_OPEN, OPEN_SECONDS = 3, 60
 
 
+class Breaker:
+    """Opens after ``failures`` failed calls in a row, is half open ``wait``
+    seconds after the last of them; a success then closes it."""
+
+    def __init__(self, failures: int = FAILURES_TO_OPEN, wait: float = OPEN_SECONDS):
+        self.failures, self.wait, self.failed, self.open_at = failures, wait, 0, None
+
+    def state(self, now: float) -> str:
+        if self.open_at is None:
+            return "closed"
+        return "half_open" if now - self.open_at >= self.wait else "open"
+
+    def record(self, now: float, ok: bool) -> None:
+        """The outcome of a call that was let through."""
+        self.failed = 0 if ok else self.failed + 1
+        if ok:
+            self.open_at = None
+        elif self.failed >= self.failures:
+            self.open_at = now
+
+
 class JudgeClient(Protocol):
     """Answers a text with JSON: is_malicious, verdict, confidence, reasoning.
     May raise ``TimeoutError`` or any other exception."""
@@ -47,45 +71,67 @@ def extract_json(content: Column) -> Column:
 def parse_reply(content: Column) -> Column:
     """is_malicious, verdict, confidence and reasoning of a reply, or null.
     Unknown verdicts allow; a malicious text is never just allowed."""
-    json = extract_json(content)
-    r = F.from_json(json, JUDGE_REPLY)
+    found = extract_json(content)
+    r = F.from_json(found, JUDGE_REPLY)
     bad = F.coalesce(r["is_malicious"], F.lit(False))
     verdict = F.lower(F.trim(r["verdict"]))
     known = F.when(verdict.isin("allow", "block", "sanitize", "escalate", "quarantine"), verdict).otherwise("allow")
     confidence = F.least(F.greatest(F.coalesce(r["confidence"], F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
-    return F.when(json.isNotNull(), F.struct(bad.alias("is_malicious"), F.when(bad & (known == "allow"), "sanitize").otherwise(known).alias("verdict"), confidence.alias("confidence"), F.coalesce(r["reasoning"], F.lit("")).alias("reasoning")))
+    return F.when(found.isNotNull(), F.struct(bad.alias("is_malicious"), F.when(bad & (known == "allow"), "sanitize").otherwise(known).alias("verdict"), confidence.alias("confidence"), F.coalesce(r["reasoning"], F.lit("")).alias("reasoning")))
 
 
 def judge_severity(verdict: Column) -> Column:
     return F.when(verdict == "block", "high").when(verdict == "sanitize", "medium").otherwise("low")
 
 
+def holds_json(reply: str | None) -> bool:
+    """Whether there is an object in a reply, for the breaker's count."""
+    start, end = (reply or "").find("{"), (reply or "").rfind("}")
+    try:
+        return isinstance(json.loads(reply[start : end + 1]), dict) if 0 <= start < end else False
+    except ValueError:
+        return False
+
+
 def judge_layer(content: Column, error: Column) -> Column:
     """The layer's struct from a reply or an error.  Failures allow: the
-    verdict from before the judge stands."""
+    verdict from before the judge stands; so does a row that an open breaker
+    skipped, without a finding."""
     r = parse_reply(content)
     failed = lambda rule, said: F.struct(F.lit("allow").alias("verdict"), F.array(finding("judge", rule, "T-NG", "low", "allow", 0.0, said)).alias("findings"))
     found = F.when(r["is_malicious"], F.array(finding("judge", "JUDGE-001", "T-PI-D", judge_severity(r["verdict"]), r["verdict"], r["confidence"], r["reasoning"], None, "Judged malicious"))).otherwise(no_findings())
-    return F.when(error == "timeout", failed("JUDGE-TIMEOUT", "The judge did not answer in time")).when(error.isNotNull(), failed("JUDGE-ERR", error)).when(r.isNull(), failed("JUDGE-PARSE", "The judge's answer is no JSON")).otherwise(F.struct(r["verdict"].alias("verdict"), found.alias("findings")))
+    skipped = F.struct(F.lit("allow").alias("verdict"), no_findings().alias("findings"))
+    return F.when(error == "skipped", skipped).when(error == "timeout", failed("JUDGE-TIMEOUT", "The judge did not answer in time")).when(error.isNotNull(), failed("JUDGE-ERR", error)).when(r.isNull(), failed("JUDGE-PARSE", "The judge's answer is no JSON")).otherwise(F.struct(r["verdict"].alias("verdict"), found.alias("findings")))
 
 
-def ask(gated: DataFrame, client: JudgeClient, cfg: EngineConfig, id_col: str = "request_id", text_col: str = "raw_text") -> DataFrame:
-    """``id_col``, ``content`` and ``error`` for every row."""
+def ask(gated: DataFrame, client: JudgeClient, cfg: EngineConfig, id_col: str = "request_id", text_col: str = "raw_text", clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """``id_col``, ``content`` and ``error`` for every row.  Each task has a
+    circuit breaker of its own: while it is open rows are not asked and get the
+    error ``skipped``.  A reply that does not parse counts as a failed call, as
+    timeouts and errors do.  A call that takes longer than
+    ``judge_timeout`` counts as timed out, even if its client still answers."""
     kind, limit = gated.schema[id_col].dataType.simpleString(), cfg.judge_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        breaker = Breaker()
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            began = clock()
+            if breaker.state(began) == "open":
+                return None, "skipped"
+            try:
+                said, error = client.ask(text[:limit]), None
+            except TimeoutError:
+                said, error = None, "timeout"
+            except Exception as e:  # a failed call never loses the row
+                said, error = None, f"{type(e).__name__}: {e}"
+            if clock() - began > cfg.judge_timeout:
+                said, error = None, "timeout"
+            breaker.record(clock(), error is None and holds_json(said))
+            return said, error
+
         for b in batches:
-            content, error = [], []
-            for t in b.column(1).to_pylist():
-                try:
-                    content.append(client.ask((t or "")[:limit]))
-                    error.append(None)
-                except TimeoutError:
-                    content.append(None)
-                    error.append("timeout")
-                except Exception as e:  # a failed call never loses the row
-                    content.append(None)
-                    error.append(f"{type(e).__name__}: {e}")
+            content, error = zip(*(one(t or "") for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.string()), pa.array(error, pa.string())], names=[id_col, "content", "error"])
 
     return gated.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, content string, error string")
@@ -93,27 +139,17 @@ def ask(gated: DataFrame, client: JudgeClient, cfg: EngineConfig, id_col: str =
 
 def breaker_replay(outcomes: DataFrame, key: str, ts_col: str, ok_col: str, failures: int = FAILURES_TO_OPEN, wait: int = OPEN_SECONDS) -> DataFrame:
     """What the circuit breaker of each key does with calls in order of time:
-    ``state`` before each call, and whether it is let through.  It opens after
-    ``failures`` failed calls in a row, is half open after ``wait`` seconds,
-    and a success then closes it.  After a success that comes ``wait`` seconds
-    or more behind the call before it the breaker is closed whatever was
-    before: a key's calls are cut there and the runs folded by themselves."""
-    by_time = Window.partitionBy(key).orderBy("ts", "ok")
-    calls = outcomes.select(key, F.col(ts_col).cast("double").alias("ts"), F.coalesce(ok_col, F.lit(False)).alias("ok"))
-    calls = calls.withColumn("_settled", (F.col("ok") & F.coalesce(F.col("ts") - F.lag("ts").over(by_time) >= wait, F.lit(False))).cast("int"))
-    calls = calls.withColumn("_run", F.coalesce(F.sum("_settled").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    calls = calls.withColumn("_seq", F.row_number().over(by_time) - 1)
-    run = F.array_sort(F.collect_list(F.struct("_seq", "ts", "ok")))
-    row = "struct<seq: int, ts: double, state: string, allowed: boolean>"
-    kind = f"struct<fails: int, open_at: double, out: array<{row}>>"
-    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("double").alias("open_at"), F.array().cast(f"array<{row}>").alias("out")).cast(kind)
-
-    def step(a: Column, x: Column) -> Column:
-        state = F.when(a["open_at"].isNull(), "closed").when(x["ts"] - a["open_at"] >= wait, "half_open").otherwise("open")
-        on = state != "open"
-        fails = F.when(on & x["ok"], 0).when(on, a["fails"] + 1).otherwise(a["fails"])
-        opened = F.when(on & x["ok"], F.lit(None)).when(on & (fails >= failures), x["ts"]).otherwise(a["open_at"])
-        return F.struct(fails.cast("int").alias("fails"), opened.cast("double").alias("open_at"), F.concat(a["out"], F.array(F.struct(x["_seq"].alias("seq"), x["ts"].alias("ts"), state.alias("state"), on.alias("allowed")))).alias("out")).cast(kind)
-
-    folded = calls.groupBy(key, "_run").agg(F.aggregate(run, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, "o.*")
+    ``seq``, ``ts``, ``state`` before each call, and whether it is let through.
+    Calls of one time are taken failures first; a null time counts as 0."""
+
+    def step(held: list, row: tuple) -> tuple:
+        seq = held[1]
+        held[1] += 1
+        state = held[0].state(row[0])
+        if state != "open":
+            held[0].record(row[0], row[1])
+        return seq, row[0], state, state != "open"
+
+    kind = outcomes.schema[key].dataType.simpleString()
+    calls = outcomes.select(key, F.coalesce(F.col(ts_col).cast("double"), F.lit(0.0)).alias("ts"), F.coalesce(ok_col, F.lit(False)).alias("ok"))
+    return fold_in_order(calls, key, ["ts", "ok"], lambda: [Breaker(failures, wait), 0], step, f"{key} {kind}, seq int, ts double, state string, allowed boolean")

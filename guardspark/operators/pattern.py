@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
+from guardspark.functions.gates import conditions, gated, starts_of, word_starts
 from guardspark.functions.rules import RULES, Rule, language, mitigation
 from guardspark.functions.text import FLAGS
 from guardspark.schemas import FINDINGS, SEVERITY_VERDICT, strictest
@@ -22,22 +23,21 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, rule_id string, category string, severity string, confidence double, description string, pattern string, verdict string, language string, mitigation string")
 
 
-def select_rules(output_only: bool = False) -> tuple[Rule, ...]:
-    """All rules, or those that apply to a model's output."""
-    return PII_RULES if output_only else RULES
-
-
 def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def _case(text: str, r: Rule, mode: str) -> str:
-    p = FLAGS + (unicodedata.normalize("NFKD", r.pattern) if mode == "fixed" else r.pattern)
-    seen = _literal(f"[REDACTED:{r.rule_id}]") if r.category == "T-EXF" else evidence_sql(text, p.removeprefix(FLAGS))
+def _case(text: str, r: Rule, mode: str, starts: str | None) -> str:
+    own = unicodedata.normalize("NFKD", r.pattern) if mode == "fixed" else r.pattern
+    p = gated(own)
+    seen = _literal(f"[REDACTED:{r.rule_id}]") if r.category == "T-EXF" else evidence_sql(text, p)
+    words = starts_of(own) if starts else ()
+    begun = [f"({starts} IS NULL OR arrays_overlap({starts}, array({', '.join(map(_literal, words))})))"] if words else []
+    hit = " AND ".join([*begun, *conditions(text, own), f"{text} RLIKE {_literal(FLAGS + p)}"])
     values = {"layer": "pattern", "rule_id": r.rule_id, "category": r.category, "severity": r.severity, "verdict": SEVERITY_VERDICT[r.severity]}
     fields = [f"'{k}', '{v}'" for k, v in values.items()]
     fields += [f"'confidence', {r.confidence}D", f"'description', {_literal(r.description)}", f"'evidence', {seen}", f"'mitigation', {_literal(mitigation(r))}"]
-    return f"CASE WHEN {text} RLIKE {_literal(p)} THEN named_struct({', '.join(fields)}) END"
+    return f"CASE WHEN {hit} THEN named_struct({', '.join(fields)}) END"
 
 
 def evidence_sql(text: str, pattern: str, around: int = 20) -> str:
@@ -48,15 +48,22 @@ def evidence_sql(text: str, pattern: str, around: int = 20) -> str:
     return f"substring({text}, {start} + 1, {before} + {size} + {around} - {start})"
 
 
-def rule_findings_sql(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat") -> str:
+def rule_findings_sql(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat", starts: str | None = None) -> str:
     """SQL for one finding for each rule that matches the SQL expression
     ``text``, in rule order.  All patterns are literals: each is compiled once
-    for a task."""
-    return f"CAST(array_compact(array({', '.join(_case(text, r, mode) for r in rules)})) AS {FINDINGS})"
+    for a task.  ``starts`` names a column of ``word_starts``: rules whose words
+    do not begin in it are not tried."""
+    return f"CAST(array_compact(array({', '.join(_case(text, r, mode, starts) for r in rules)})) AS {FINDINGS})"
+
+
+def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat", starts: str | None = None) -> Column:
+    return F.expr(rule_findings_sql(text, rules, mode, starts))
 
 
-def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat") -> Column:
-    return F.expr(rule_findings_sql(text, rules, mode))
+def with_findings(df: DataFrame, name: str, text: str, rules: Iterable[Rule] = RULES, mode: str = "compat") -> DataFrame:
+    """Adds the findings of a text column; its words are cut once for all rules."""
+    df = df.withColumn("_starts", F.expr(word_starts(text)))
+    return df.withColumn(name, rule_findings(text, rules, mode, "_starts")).drop("_starts")
 
 
 def with_layer(df: DataFrame, name: str, findings: str) -> DataFrame:
@@ -75,12 +82,13 @@ def pattern(df: DataFrame, cfg: EngineConfig, rules: Iterable[Rule] = RULES) ->
     is scanned by itself, outside of a lambda, so that its expressions compile."""
     df = df.withColumn("_one", F.when(F.size("scan_texts") == 1, F.col("scan_texts")[0]))
     many = F.expr(f"flatten(transform(CASE WHEN size(scan_texts) > 1 THEN scan_texts ELSE CAST(array() AS array<string>) END, t -> {rule_findings_sql('t', rules, cfg.rules_mode)}))")
-    df = df.withColumn("_found", F.when(F.col("_one").isNotNull(), rule_findings("_one", rules, cfg.rules_mode)).otherwise(many))
-    return with_layer(df, "pattern", "_found").drop("_one", "_found")
+    df = df.withColumn("_starts", F.expr(word_starts("_one")))
+    df = df.withColumn("_found", F.when(F.col("_one").isNotNull(), rule_findings("_one", rules, cfg.rules_mode, "_starts")).otherwise(many))
+    return with_layer(df, "pattern", "_found").drop("_one", "_found", "_starts")
 
 
 def redact(text: Column) -> Column:
     """Every match of the PII rules, one rule after the other."""
     for r in PII_RULES:
-        text = F.regexp_replace(text, FLAGS + r.pattern, f"[REDACTED:{r.rule_id}]")
+        text = F.regexp_replace(text, FLAGS + gated(r.pattern), f"[REDACTED:{r.rule_id}]")
     return text

@@ -1,18 +1,17 @@
 """Sliding-window rate limits.
 
 A decision depends on the decisions before it: only accepted requests fill the
-window.  Batch: one key's requests in order of time are folded with a state of
-at most ``limit`` times.  A key's requests are cut at gaps of a window or more
-- nothing carries over such a gap - so that the fold of a busy key is spread
-over its sessions.
+window.  One key's requests are taken in order of time with a state of at most
+``limit`` times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
+from guardspark.operators.folds import fold_in_order
 
 
 def key_of(tenant_header: Column) -> Column:
@@ -23,31 +22,34 @@ def applies_to(path: Column) -> Column:
     return path.startswith("/v1/")
 
 
-def sessions(events: DataFrame, key: str, ts_col: str, id_col: str, window: int) -> DataFrame:
-    """Adds ``session``: runs of a key's events with gaps below the window."""
-    by_time = Window.partitionBy(key).orderBy(ts_col, id_col)
-    new = F.coalesce((F.col(ts_col) - F.lag(ts_col).over(by_time) >= window).cast("int"), F.lit(0))
-    return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(by_time)).drop("_new")
+def decide(kept: list[float], ts: float, limit: int, window: int) -> tuple[bool, int, int]:
+    """Whether a request at ``ts`` is allowed, how many more are, and after how
+    many seconds to try again; ``kept`` holds the accepted times."""
+    kept[:] = [t for t in kept if ts - t < window]
+    if len(kept) < limit:
+        kept.append(ts)
+        return True, limit - len(kept), 0
+    return False, 0, max(1, int(window - (ts - min(kept))) + 1)
 
 
 def rate_limit(events: DataFrame, cfg: EngineConfig, key: str = "tenant_key", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
     """``id_col``, ``key``, ``allowed``, ``remaining`` and ``retry_after`` for
-    each event; ``ts_col`` holds seconds."""
+    each event; ``ts_col`` holds seconds.  Events of one time are taken by id;
+    null keys share a limit, a null time counts as 0."""
     limit, window = cfg.requests_per_minute, cfg.window_seconds
-    id_kind = events.schema[id_col].dataType.simpleString()
-    out_kind = f"array<struct<id: {id_kind}, allowed: boolean, remaining: int, retry_after: int>>"
-    state = f"struct<kept: array<double>, out: {out_kind}>"
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast(out_kind).alias("out")).cast(state)
-
-    def step(a: Column, x: Column) -> Column:
-        kept = F.filter(a["kept"], lambda t: x["ts"] - t < window)
-        ok = F.size(kept) < limit
-        oldest = F.array_min(kept)
-        retry = F.greatest(F.lit(1), (window - (x["ts"] - oldest)).cast("int") + 1)
-        row = F.struct(x["id"].alias("id"), ok.alias("allowed"), F.when(ok, limit - F.size(kept) - 1).otherwise(0).alias("remaining"), F.when(ok, 0).otherwise(retry).alias("retry_after"))
-        return F.struct(F.when(ok, F.concat(kept, F.array(x["ts"]))).otherwise(kept).alias("kept"), F.concat(a["out"], F.array(row)).alias("out")).cast(state)
-
-    runs = sessions(events.select(key, F.col(ts_col).cast("double").alias("ts"), id_col), key, "ts", id_col, window)
-    ordered = F.array_sort(F.collect_list(F.struct("ts", F.col(id_col).alias("id"))))
-    folded = runs.groupBy(key, "session").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(F.col("o.id").alias(id_col), key, "o.allowed", "o.remaining", "o.retry_after")
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id_col)}
+    rows = events.select(key, F.coalesce(F.col(ts_col).cast("double"), F.lit(0.0)).alias("ts"), id_col)
+    step = lambda kept, row: (row[1], *decide(kept, row[0], limit, window))
+    return fold_in_order(rows, key, ["ts", id_col], list, step, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean, remaining int, retry_after int").select(id_col, key, "allowed", "remaining", "retry_after")
+
+
+def limit_requests(requests: DataFrame, cfg: EngineConfig, path_col: str = "path", tenant_col: str = "tenant_header", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """The limiter in front of an API: ``id_col``, ``status``, ``retry_after``,
+    ``limit`` and ``remaining`` of every request.  Paths outside of the API
+    pass without being counted and carry no limit."""
+    counted = requests.withColumn("_key", key_of(F.col(tenant_col)))
+    api = F.coalesce(applies_to(F.col(path_col)), F.lit(False))
+    decided = rate_limit(counted.where(api), cfg, "_key", ts_col, id_col)
+    limited = decided.select(id_col, F.when(F.col("allowed"), 200).otherwise(429).alias("status"), F.when(~F.col("allowed"), F.col("retry_after")).alias("retry_after"), F.lit(cfg.requests_per_minute).alias("limit"), "remaining")
+    none = F.lit(None).cast("int")
+    return limited.unionByName(counted.where(~api).select(id_col, F.lit(200).alias("status"), none.alias("retry_after"), none.alias("limit"), none.alias("remaining")))

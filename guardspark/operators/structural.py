@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
+from guardspark.functions.gates import gated
 from guardspark.functions.normalize import inflated_ratios, nfkd
 from guardspark.functions.text import FLAGS, count_zero_width, strip_zero_width
 from guardspark.schemas import FINDINGS, finding, strictest
@@ -39,8 +40,8 @@ def text_findings(raw: Column, plain: Column, clean: Column, ratio: Column, cfg:
     """Findings of one text: ``raw`` as sent, ``plain`` decomposed, ``clean``
     also without invisible characters."""
     size, hidden = F.char_length(raw), count_zero_width(plain)
-    n_hex, rot = F.regexp_count(clean, F.lit(HEX)), F.regexp_extract_all(clean, F.lit(f"{FLAGS}({ROT13})"), 1)
-    n_runs, n_roles = F.regexp_count(clean, F.lit(f"(?d){RUN}")), F.regexp_count(clean, F.lit(FLAGS + ROLE))
+    n_hex, rot = F.regexp_count(clean, F.lit(HEX)), F.regexp_extract_all(clean, F.lit(FLAGS + gated(f"({ROT13})")), 1)
+    n_runs, n_roles = F.regexp_count(clean, F.lit(f"(?d){RUN}")), F.regexp_count(clean, F.lit(FLAGS + gated(ROLE)))
     make = lambda *a: finding("structural", *a)
     first = F.array(
         F.when(size > cfg.max_input_length, make("STRUCT-002", "T-DOS", "high", "block", 0.95, F.format_string("Input length %d exceeds maximum %d", size, F.lit(cfg.max_input_length)), None, "Shorten the input")),

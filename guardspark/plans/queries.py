@@ -17,7 +17,7 @@ from guardspark.functions.rules import RULES
 from guardspark.functions.text import pii_token, tokenize_metadata
 from guardspark.operators import actions, corpus, judge, ratelimit, semantic
 from guardspark.operators import hybrid as hy
-from guardspark.operators.pattern import PII_RULES, layer_of, redact, rule_findings, rules_table
+from guardspark.operators.pattern import PII_RULES, layer_of, redact, rule_findings, rules_table, with_findings
 from guardspark.operators.structural import HEX, ROLE, ROT13
 from guardspark.plans import soc
 from guardspark.plans.screen import scan_outputs, screen
@@ -41,6 +41,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt out over all cores; a larger
+    one stays as the reader split it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 #: One of these is put behind each document, by its id: most documents by
 #: themselves trigger nothing.
 TRIGGERS = (
@@ -90,10 +97,10 @@ N = len(TRIGGERS)
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a trigger behind them: ``doc_id``, ``source``, ``t``."""
-    docs = _read(spark, sf_dir, "documents")
+    docs = _spread(_read(spark, sf_dir, "documents"))
     tail = F.element_at(F.array(*map(F.lit, TRIGGERS)), F.pmod("doc_id", F.lit(N)).cast("int") + 1)
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
-    return docs.select("doc_id", "source", F.concat(text, F.lit(" "), tail).alias("t")).repartition(2 * spark.sparkContext.defaultParallelism)
+    return docs.select("doc_id", "source", F.concat(text, F.lit(" "), tail).alias("t"))
 
 
 def _q(s: str) -> str:
@@ -124,7 +131,7 @@ _PII_LONG = f"WITH d AS (SELECT *, {ASCII_SQL} AS t FROM documents), f AS (" + "
 
 
 def _outputs(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").repartition(2 * spark.sparkContext.defaultParallelism)
+    docs = _spread(_read(spark, sf_dir, "documents"))
     return scan_outputs(docs.withColumn("output", _ascii(F.col("text"))), EngineConfig())
 
 
@@ -150,7 +157,7 @@ def _redact_sql(c: str) -> str:
 @query(f"SELECT doc_id, sha256({_redact_sql(ASCII_SQL)}) AS redacted_sha256 FROM documents")
 def pii_redacted(spark, sf_dir):
     """Documents with their personal data replaced."""
-    docs = _read(spark, sf_dir, "documents")
+    docs = _spread(_read(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.sha2(redact(_ascii(F.col("text"))), 256).alias("redacted_sha256"))
 
 
@@ -165,7 +172,7 @@ def _rule_hits(category: str):
     rules = tuple(r for r in RULES if r.category == category)
 
     def run(spark, sf_dir):
-        found = prompts(spark, sf_dir).select("doc_id", F.explode(rule_findings("t", rules)).alias("f"))
+        found = with_findings(prompts(spark, sf_dir), "found", "t", rules).select("doc_id", F.explode_outer("found").alias("f")).where("f IS NOT NULL")  # no filter on the findings is inferred
         return found.select("doc_id", "f.rule_id", "f.verdict", "f.confidence")
 
     run.__doc__ = f"Findings of the {category} rules."
