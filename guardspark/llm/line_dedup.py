@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.scratch import Scratch
+from guardspark.llm.scratch import Scratch, free
 
 #: White space that the keys lose at both ends.
 BLANK = " \t\n\x0b\x0c\r"
@@ -28,13 +28,15 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
-def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")) -> DataFrame:
     """Drop every line whose key has ``min_chars`` code points and stands in
     ``min_docs`` documents, except in the largest id that holds it.
 
-    Adds ``n_lines``, ``n_dropped`` and ``kept_text``; one row per input row.
+    Adds the columns ``names``, which replace columns of the same names; all
+    others stay.  One row per input row.
     """
     scratch = Scratch(df.sparkSession)
+    own_id, own_lines, own_kept, own_lost = (free(df, c) for c in ("_id", "_lines", "_kept", "_lost"))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     long_keys = F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars)
     pairs = F.array_distinct(F.transform(long_keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit("second"), k).alias("b"))))
@@ -43,11 +45,14 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.table(held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.max("_id").alias("_last")).where(F.col("docs") >= min_docs).drop("docs"), "shared")
     lost = scratch.table(held.join(shared, ["a", "b"]).where(F.col("_id") != F.col("_last")).groupBy("_id").agg(F.collect_set("a").alias("_lost")), "lost")
     scratch.drop(held, shared)
-    kept = F.filter(F.col("_lines"), lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("_lost"), F.xxhash64(line_key(x)))))
+    kept = F.filter(F.col(own_lines), lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col(own_lost), F.xxhash64(line_key(x)))))
     # A merge join at every size: the list of lost keys grows with the input.
-    with_lines = df.join(lost.hint("merge"), F.col(id_col) == F.col("_id"), "left").withColumn("_lines", lines)
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(kept)
-    return with_lines.withColumn("_kept", kept).withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), "kept_text": F.array_join("_kept", "\n")}).drop("_lines", "_kept", "_lost", "_id")
+    lost = lost.select(F.col("_id").alias(own_id), F.col("_lost").alias(own_lost)).hint("merge")
+    with_lines = df.join(lost, F.col(id_col) == F.col(own_id), "left").withColumn(own_lines, lines)
+    kept = F.when(F.col(own_lost).isNull(), F.col(own_lines)).otherwise(kept)
+    n_lines, n_dropped, text = names
+    out = with_lines.withColumn(own_kept, kept)
+    return out.withColumns({n_lines: F.size(own_lines).cast("long"), n_dropped: (F.size(own_lines) - F.size(own_kept)).cast("long"), text: F.array_join(own_kept, "\n")}).drop(own_lines, own_kept, own_lost, own_id)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -69,3 +69,11 @@ class Scratch:
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions that this session gives to a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

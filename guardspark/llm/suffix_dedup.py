@@ -25,14 +25,18 @@ Windows that follow each other and share an anchor form a segment.
 Work on a k-gram's classes (not its occurrences) is done in one task, in a few
 dozen bytes for each distinct segment.
 
-Defined results: null and short texts keep every byte; rows that repeat a
+Rows are told apart by id and MD5 of the text, segments by the hash of their
+bytes, that of their k-gram, their length and their anchor's place.
+
+Defined results: null and short texts keep every byte; rows that share an id or
+have none are judged by their own texts; rows that repeat a
 document count as further copies, so all their windows are repeated; further
 columns are dropped.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -116,12 +120,12 @@ def _segmenter(id_type: pa.DataType, length: int, gram: int):
                 s = segments(data, length, gram)
                 if len(s[0]):
                     rows.append(np.full(len(s[0]), i))
-                    h.append(np.full(len(s[0]), zlib.crc32(data)))
+                    h += [hashlib.md5(data, usedforsecurity=False).digest()] * len(s[0])
                     for x, y in zip(found, s, strict=True):
                         x.append(y)
             if rows:
                 s, n, off, kh, c = (np.concatenate(x) for x in found)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(h)), pa.array(s), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(kh), pa.array(c)], names=["id", "h", "s", "n", "off", "kh", "c"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(h, pa.binary()), pa.array(s), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(kh), pa.array(c)], names=["id", "h", "s", "n", "off", "kh", "c"])
 
     return run
 
@@ -315,7 +319,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind, id_type = df.schema[id_col].dataType.simpleString(), to_arrow_type(df.schema[id_col].dataType)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = docs.mapInArrow(_segmenter(id_type, length, gram), f"id {kind}, h long, s long, n int, off int, kh long, c long")
+    found = docs.mapInArrow(_segmenter(id_type, length, gram), f"id {kind}, h binary, s long, n int, off int, kh long, c long")
     found = scratch.table(found, "segments")
     twice = scratch.table(found.groupBy("kh").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("kh"), "grams")
     shared = scratch.table(found.join(twice.hint("merge"), "kh"), "shared")
@@ -324,7 +328,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = classes.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
     sort = scratch.table(classes.join(several.hint("merge"), "kh").select("r.*", *CLASS), "to-sort")
     # Only documents of classes to sort are moved; the bitmap over them has a fixed size.
-    keyed = docs.withColumn("h", F.crc32(F.encode("text", "UTF-8")))
+    keyed = docs.withColumn("h", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     lists = sort.groupBy("id", "h").agg(F.collect_list(F.struct("s", *CLASS)).alias("classes"))
     own = _join(_maybe(keyed, sort), lists, "inner").dropDuplicates(["id", "h"]).select("text", "classes")
     # Rows of one repeated document carry the same classes: one of them is enough.
@@ -367,7 +371,7 @@ def _maybe(keyed: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _join(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
-    """By id (null equals null) and checksum, by merge at every size."""
+    """By id (null equals null) and digest, by merge at every size."""
     other = by_doc.withColumnsRenamed({"id": "_id", "h": "_h"}).hint("merge")
     return docs.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), how)
 

@@ -233,10 +233,10 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Mode
         return Model(np.zeros(DIM), 0.0, {})
     good, accuracies = expectation_maximisation(counted["pattern"].to_numpy(), counted["count"].to_numpy())
     soft = dict(zip(counted["pattern"], good, strict=True))
-    share = min(1.0, sample / counted["count"].sum())
-    few = docs.select(text_col)
-    if share < 1:
-        few = few.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    # At most ``sample`` texts, those of least hash; a text counts once however often it stands.
+    share = min(1.0, 1.2 * sample / counted["count"].sum())
+    few = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h")).where(F.col("text").isNotNull() & (F.col("h") < F.lit(int(share * (1 << 30)))))
+    few = few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample).select("text")
     rows = few.mapInArrow(_sampler, "pattern int, places binary, values binary").toArrow()
     y = np.array([soft.get(p, 0.5) for p in rows.column("pattern").to_pylist()])
     x = Sparse([np.frombuffer(p, np.int32) for p in rows.column("places").to_pylist()], [np.frombuffer(v, np.float32) for v in rows.column("values").to_pylist()], DIM)
@@ -244,8 +244,8 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Mode
     return Model(weights, bias, accuracies)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1, higher: better)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs`` with ``name`` (0 to 1, higher: better)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # DIM numbers
 
     def run(texts: Iterator) -> Iterator:
@@ -264,12 +264,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     run.__annotations__ = {}
     udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("quality_score", udf(text_col))
+    return docs.withColumn(name, udf(text_col))
 
 
-def judge(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """``docs`` with ``quality_score`` and ``kept``."""
-    return score(docs, train(docs, text_col, sample), text_col).withColumn("kept", F.col("quality_score") >= keep)
+def judge(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP, names: tuple[str, str] = ("quality_score", "kept")) -> DataFrame:
+    """``docs`` with score and verdict, which replace columns of the same
+    ``names``."""
+    return score(docs, train(docs, text_col, sample), text_col, names[0]).withColumn(names[1], F.col(names[0]) >= keep)
 
 
 def op5_weak_quality(spark, sf_dir: str) -> DataFrame:

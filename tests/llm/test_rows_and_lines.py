@@ -107,3 +107,17 @@ def test_few_and_awkward_rows(spark):
     got = h.hilbert_shards(rows, cells, ["size", "doc_id"], shards=40).collect()
     assert len(got) == rows.count() and sorted(r.shard for r in got) == list(range(len(got))) and {r.slot for r in got} == {0}
     assert h.hilbert_shards(rows.limit(0), cells, ["size", "doc_id"]).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns with the operator's own names neither crash nor get lost."""
+    import corpus_pipeline
+    from guardspark.llm.line_dedup import drop_shared_lines
+
+    line = "one line that stands in many documents"
+    rows = [(i, f"{line}\n{i}", "x", i, "y", "z") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, n_chars long, kept_text string, _lines string")
+    out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert [out[i].text for i in range(4)] == ["0", "1", "2", f"{line}\n3"]
+    assert {(r._id, r.kept_text, r._lines) for r in out.values()} == {("x", "y", "z")}
+    assert {r._id for r in drop_shared_lines(df).collect()} == {"x"}

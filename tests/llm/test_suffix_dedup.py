@@ -73,3 +73,10 @@ def test_awkward_rows(spark):
     got = sorted((r.doc_id, bytes(r.kept), r.starts, r.ends) for r in d.remove_repeats(docs, length=30, gram=8).collect())
     assert got == sorted((r.doc_id, *w) for r, w in zip(rows, want, strict=True))
     assert d.remove_repeats(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark):
+    a, b = "a" * 7 + "".join(chr(97 + i * i % 26) + str(i) for i in range(200)), "".join(chr(97 + i * 7 % 26) + str(3 * i) for i in range(220))
+    df = spark.createDataFrame([(None, a), (None, b), (None, "x" + a)], "doc_id long, text string")
+    got = {r.n_bytes: r.n_bytes - len(r.kept) for r in d.remove_repeats(df).collect()}
+    assert got == {len(a): len(a), len(b): 0, len(a) + 1: len(a)}
