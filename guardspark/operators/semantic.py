@@ -1,9 +1,10 @@
 """Semantic layer: nearest known attacks by cosine.
 
-The attack corpus is a reference table of bounded size: ``top_matches`` counts
-it and sends it to the tasks as one matrix while it has at most
-``MAX_BROADCAST`` numbers.  A larger one is scored in slices of that size, each
-a pass of its own over the queries, and the best of all slices are kept.
+Vectors travel as blocks, one row with ids and a matrix each, and every query
+block meets every corpus block in a task that multiplies the two and keeps the
+best of each query.  The side named by ``few`` is counted; while it is one block
+it is broadcast, beyond that both sides are dealt out by block number.  Nothing
+of either side passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,67 +21,96 @@ from guardspark.config import EngineConfig
 from guardspark.operators.pattern import with_layer
 from guardspark.schemas import SEVERITY_VERDICT, finding, no_findings
 
-MAX_BROADCAST = 16_000_000
+#: Numbers in a block: 32 MB.
+BLOCK = 4_000_000
+#: Queries that are multiplied at once.
+STEP = 256
+# The categories that findings may carry.
 CATEGORIES = ("T-PI-D", "T-PI-I", "T-JB", "T-EXT", "T-EXF", "T-TOOL", "T-AGT", "T-ENC", "T-DOS", "T-OUT", "T-MEM", "T-CASC", "T-NG")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _blocks(df: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """``part``, ``ids``, ``width`` and ``data``: blocks of the rows that have
+    a vector, numbered round and round from 0 to ``parts`` - 1."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = df.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
 
-def normalized(v: Column) -> Column:
-    """A vector of length one."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-9)))
-
-
-def mean_pool(vectors: Column, mask: Column) -> Column:
-    """Mean of the vectors whose mask is 1."""
-    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
-    total = F.aggregate(kept, F.transform(vectors[0], lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, rows, size = TaskContext.get().partitionId(), [], [], 0
 
+        def flush() -> pa.RecordBatch:
+            data = np.concatenate(rows)
+            return pa.RecordBatch.from_arrays([pa.array([at % parts], pa.int32()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(id_type)), pa.array([data.shape[1]], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "ids", "width", "data"])
 
-def top_matches(queries: DataFrame, corpus: DataFrame, id_col: str, threshold: float, k: int = 3) -> DataFrame:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows.append(flat.reshape(b.num_rows, -1))
+            ids.append(b.column(0))
+            size += len(flat)
+            if size >= BLOCK:
+                yield flush()
+                at, ids, rows, size = at + 1, [], [], 0
+        if ids:
+            yield flush()
+
+    return df.where(F.col("embedding").isNotNull()).select(id_col, "embedding").mapInArrow(run, f"part int, ids array<{kind.simpleString()}>, width int, data binary")
+
+
+def _scorer(id_col: str, id_type: pa.DataType, threshold: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                q, c = (np.frombuffer(b.column(x)[r].as_buffer(), np.float64).reshape(len(b.column(y)[r].values), -1) for x, y in (("q_data", "q_ids"), ("data", "ids")))
+                index = b.column("ids")[r].values
+                order = index.fill_null(-1).to_numpy()
+                for i in range(0, len(q), STEP):
+                    at, which, sims = [], [], []
+                    for j, row in enumerate(q[i : i + STEP] @ c.T):
+                        near = np.flatnonzero(row >= threshold)
+                        near = near[np.lexsort((-order[near], -row[near]))][:k]
+                        at += [i + j] * len(near)
+                        which += near.tolist()
+                        sims += row[near].tolist()
+                    yield pa.RecordBatch.from_arrays([b.column("q_ids")[r].values.take(pa.array(at, pa.int64())), index.take(pa.array(which, pa.int64())).cast(pa.int64()), pa.array(sims, pa.float64())], names=[id_col, "index", "similarity"])
+
+    return run
+
+
+def top_matches(queries: DataFrame, corpus: DataFrame, id_col: str, threshold: float, k: int = 3, few: str = "corpus") -> DataFrame:
     """``id_col``, ``rank``, ``index`` and ``similarity`` of at most ``k``
     corpus vectors with a similarity from ``threshold`` on; ties go to the
-    larger index."""
-    kind = queries.schema[id_col].dataType.simpleString()
-    n = corpus.count()
-    width = len((corpus.select("embedding").first() or [[]])[0]) or 1
-    slices = max(1, -(-n * width // MAX_BROADCAST))
-    parts = [_slice_matches(queries, corpus.where(F.pmod("index", F.lit(slices)) == i) if slices > 1 else corpus, id_col, kind, threshold, k) for i in range(slices)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    larger index, null indices stay.  ``few`` names the smaller side, "corpus"
+    or "queries".  Rows without a vector match nothing; queries with one id
+    share their matches."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    small = corpus if few == "corpus" else queries
+    n, width = small.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
+    parts = max(1, -(-n * max(width or 1, 1) // BLOCK))
+    q, c = (_blocks(df, i, parts) for df, i in ((queries, id_col), (corpus.select(F.col("index").cast("long").alias("index"), "embedding"), "index")))
+    q = q.select("part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    if parts == 1:  # at most one block of the small side for each of its partitions, ``BLOCK`` numbers in all
+        q, c = (q, F.broadcast(c)) if few == "corpus" else (F.broadcast(q), c)
+        pairs = q.join(c, "part")
+    else:
+        # The small side's blocks are dealt by number, in as many copies as there are salts; the other side goes to every number.
+        salts = F.lit(max(1, int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts))
+        everywhere = lambda d: d.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "salt": F.pmod(F.xxhash64("part", "data" if "data" in d.columns else "q_data"), salts).cast("int")})
+        copied = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        q, c = (everywhere(q), copied(c)) if few == "corpus" else (copied(q), everywhere(c))
+        pairs = q.join(c, ["part", "salt"])
+    kind = queries.schema[id_col].dataType
+    found = pairs.select("q_ids", "q_data", "ids", "data").mapInArrow(_scorer(id_col, to_arrow_type(kind), threshold, k), f"{id_col} {kind.simpleString()}, index long, similarity double")
     best = Window.partitionBy(id_col).orderBy(F.desc("similarity"), F.desc("index"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(id_col, "rank", "index", "similarity")
 
 
-def _slice_matches(queries: DataFrame, corpus: DataFrame, id_col: str, kind: str, threshold: float, k: int) -> DataFrame:
-    rows = corpus.select("index", "embedding").orderBy("index").collect()  # MAX_BROADCAST numbers at most
-    index = np.array([r[0] for r in rows], np.int64)
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    sent = queries.sparkSession.sparkContext.broadcast((index, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, matrix = sent.value
-        for b in batches:
-            vectors = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            at, which, sims = [], [], []
-            for i, row in enumerate(vectors @ matrix.T if len(index) and b.num_rows else []):
-                near = np.flatnonzero(row >= threshold)
-                near = near[np.lexsort((-index[near], -row[near]))][:k]
-                at += [i] * len(near)
-                which += index[near].tolist()
-                sims += row[near].tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(which, pa.int64()), pa.array(sims, pa.float64())], names=[id_col, "index", "similarity"])
-
-    return queries.select(id_col, "embedding").mapInArrow(run, f"{id_col} {kind}, index long, similarity double")
-
-
-def max_similarity(queries: DataFrame, corpus: DataFrame, id_col: str) -> DataFrame:
-    return top_matches(queries, corpus, id_col, -2.0, 1).select(id_col, F.col("similarity").alias("max_similarity"))
+def max_similarity(queries: DataFrame, corpus: DataFrame, id_col: str, few: str = "corpus") -> DataFrame:
+    return top_matches(queries, corpus, id_col, -2.0, 1, few).select(id_col, F.col("similarity").alias("max_similarity"))
 
 
 def similarity_verdict(s: Column, cfg: EngineConfig) -> Column:
@@ -90,23 +121,45 @@ def category_distribution(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def embedding_failed() -> Column:
-    """The layer's struct for a text without an embedding: it blocks."""
-    f = finding("semantic", "SEM-EMB-001", "T-NG", "high", "block", 1.0, "Embedding computation failed: no embedding", None, "Check the embedder and its model")
+def failed(rule_id: str, said: str, advice: str) -> Column:
+    """The layer's struct where it could not do its work: it blocks."""
+    f = finding("semantic", rule_id, "T-NG", "high", "block", 1.0, said, None, advice)
     return F.struct(F.lit("block").alias("verdict"), F.array(f).alias("findings"))
 
 
-def semantic(df: DataFrame, corpus: DataFrame, cfg: EngineConfig, id_col: str = "request_id") -> DataFrame:
+def embedding_failed() -> Column:
+    return failed("SEM-EMB-001", "Embedding computation failed: no embedding", "Check the embedder and its model")
+
+
+def corpus_failed() -> Column:
+    """For a corpus that is empty: nothing could be found in it."""
+    return failed("SEM-CORP-001", "Corpus search failed: the corpus has no vectors", "Check the corpus table")
+
+
+def not_started() -> Column:
+    """For a run that wants the layer and was given no corpus."""
+    return failed("SEM-INIT-001", "Semantic layer did not start: no corpus", "Give the run a corpus")
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits of what the search and the judge see of a row: rows that share
+    an id, or have none, keep their own findings."""
+    return F.concat_ws("-", F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit("second"), *columns)))
+
+
+def semantic(df: DataFrame, corpus: DataFrame, cfg: EngineConfig, id_col: str = "request_id", few: str = "corpus") -> DataFrame:
     """From ``embedding`` to ``semantic``: verdict and findings by rank.  Rows
     that a layer before has blocked are not searched."""
+    df = df if "_row" in df.columns else df.withColumn("_row", row_key(id_col, "embedding"))
     open_ = df.where(F.col("run_semantic")) if "run_semantic" in df.columns else df
-    found = top_matches(open_, corpus, id_col, min(cfg.similarity_threshold, cfg.similarity_floor), cfg.top_k)
-    info = corpus.select(F.col("index").cast("long").alias("index"), "text", F.coalesce("category", F.lit("unknown")).alias("category"), "severity", "source")
+    open_ = open_.select("_row", "embedding").dropDuplicates(["_row"])
+    found = top_matches(open_, corpus, "_row", min(cfg.similarity_threshold, cfg.similarity_floor), cfg.top_k, few)
+    info = corpus.select(F.col("index").cast("long").alias("index"), "text", F.coalesce("category", F.lit("unknown")).alias("category"), "severity", "source").dropDuplicates(["index"])
     found = found.join(info, "index", "left")
     category = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("T-PI-D")
     severity = F.when(F.col("severity").isin(*SEVERITY_VERDICT), F.col("severity")).otherwise("medium")
-    said = F.concat(F.format_string("Semantic similarity to known attack (%.2f): ", F.col("similarity")), F.substring(F.coalesce("text", F.lit("")), 1, 80))
-    made = finding("semantic", F.format_string("SEM-%03d", F.col("rank")), category, severity, similarity_verdict(F.col("similarity"), cfg), F.col("similarity"), said, F.concat(F.lit("category="), F.coalesce("category", F.lit("?")), F.lit(" source="), F.coalesce("source", F.lit("?"))), F.concat(F.lit("Review prompt for "), category, F.lit(" intent")))
-    lists = found.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", made.alias("f")))), lambda x: x["f"]).alias("_sem"))
-    df = df.join(lists, id_col, "left").withColumn("_sem", F.coalesce("_sem", no_findings()))
-    return with_layer(df, "semantic", "_sem").drop("_sem")
+    said = F.concat(F.format_string("Close to a known attack, cosine %.2f: ", F.col("similarity")), F.substring(F.coalesce("text", F.lit("")), 1, 80))
+    made = finding("semantic", F.format_string("SEM-%03d", F.col("rank")), category, severity, similarity_verdict(F.col("similarity"), cfg), F.col("similarity"), said, F.concat(F.lit("category="), F.coalesce("category", F.lit("?")), F.lit(" source="), F.coalesce("source", F.lit("?"))), F.concat(F.lit("Have the request read with "), category, F.lit(" in mind")))
+    lists = found.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", made.alias("f")))), lambda x: x["f"]).alias("_sem"))
+    df = df.join(lists, "_row", "left").withColumn("_sem", F.coalesce("_sem", no_findings()))
+    return with_layer(df, "semantic", "_sem").drop("_sem", "_row")

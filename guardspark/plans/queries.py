@@ -9,17 +9,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
 from guardspark.functions.rules import RULES
 from guardspark.functions.text import pii_token, tokenize_metadata
-from guardspark.operators import actions, corpus, judge, ratelimit, semantic
+from guardspark.operators import corpus, judge, ratelimit, semantic
 from guardspark.operators import hybrid as hy
+from guardspark.operators.embed import embed
 from guardspark.operators.pattern import PII_RULES, layer_of, redact, rule_findings, rules_table, with_findings
 from guardspark.operators.structural import HEX, ROLE, ROT13
 from guardspark.plans import soc
+from guardspark.plans.registry import Registry
 from guardspark.plans.screen import scan_outputs, screen
 from guardspark.schemas import SEVERITY_VERDICT
 
@@ -329,50 +332,109 @@ def tokenized_metadata(spark, sf_dir):
     return docs.select("doc_id", m["source"].alias("source_token"), pii_token(F.coalesce("text", F.lit(""))).alias("text_token"))
 
 
-CORPUS_ROWS = 50
-_E = f"WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id >= {CORPUS_ROWS}), c AS (SELECT vec_id AS index, embedding AS e, 'L' || label AS category FROM embeddings WHERE vec_id < {CORPUS_ROWS}), s AS (SELECT q.vec_id, c.index, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * c.e[i]::DOUBLE)) AS sim FROM q, c)"
+_E = "WITH q AS (SELECT vec_id, {q} AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS index, embedding AS e FROM embeddings), s AS (SELECT q.vec_id, c.index, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * c.e[i]::DOUBLE)) AS sim FROM q, c)"
+_SAME, _TURNED = _E.format(q="embedding"), _E.format(q="list_reverse(embedding)")
 
 
-def _vectors(spark, sf_dir):
-    """Queries, and a reference corpus of fixed size."""
+def _vectors(spark, sf_dir, turned=False):
+    """Every twentieth vector as a query, and all of them as the corpus.  With
+    ``turned`` the queries' numbers stand in reverse, so that none is its own
+    best match."""
     e = _read(spark, sf_dir, "embeddings")
-    ref = e.where(F.col("vec_id") < CORPUS_ROWS)
-    named = ref.select(F.col("vec_id").cast("int").alias("index"), F.concat(F.lit("attack "), F.col("vec_id").cast("string")).alias("text"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("category"), F.lit("high").alias("severity"), F.lit("ref").alias("source"), "embedding")
-    return e.where(F.col("vec_id") >= CORPUS_ROWS), named
+    named = e.select(F.col("vec_id").cast("int").alias("index"), F.concat(F.lit("attack "), F.col("vec_id").cast("string")).alias("text"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("category"), F.lit("high").alias("severity"), F.lit("ref").alias("source"), "embedding")
+    q = e.where(F.col("vec_id") % 20 == 0)
+    return (q.withColumn("embedding", F.reverse("embedding")) if turned else q), named
 
 
-@query(_E + " SELECT vec_id, (row_number() OVER w)::INTEGER AS rank, index::BIGINT AS index, round(sim, 6) AS similarity FROM s WHERE sim >= 0.25 WINDOW w AS (PARTITION BY vec_id ORDER BY sim DESC, index DESC) QUALIFY row_number() OVER w <= 3")
+@query(_SAME + " SELECT vec_id, (row_number() OVER w)::INTEGER AS rank, index::BIGINT AS index, round(sim, 6) AS similarity FROM s WHERE sim >= 0.25 WINDOW w AS (PARTITION BY vec_id ORDER BY sim DESC, index DESC) QUALIFY row_number() OVER w <= 3")
 def knn_topk(spark, sf_dir):
-    """The three nearest reference vectors of each vector."""
+    """The three nearest vectors of every twentieth one."""
     q, ref = _vectors(spark, sf_dir)
-    found = semantic.top_matches(q, ref, "vec_id", 0.25, 3)
+    found = semantic.top_matches(q, ref, "vec_id", 0.25, 3, few="queries")
     return found.select("vec_id", "rank", "index", F.round("similarity", 6).alias("similarity"))
 
 
-@query(_E + " SELECT vec_id, round(max(sim), 6) AS max_similarity FROM s GROUP BY vec_id")
+@query(_TURNED + " SELECT vec_id, round(max(sim), 6) AS max_similarity FROM s GROUP BY vec_id")
 def max_similarity(spark, sf_dir):
-    """The best similarity of each vector."""
-    q, ref = _vectors(spark, sf_dir)
-    return semantic.max_similarity(q, ref, "vec_id").select("vec_id", F.round("max_similarity", 6).alias("max_similarity"))
+    """The best similarity of each query."""
+    q, ref = _vectors(spark, sf_dir, True)
+    return semantic.max_similarity(q, ref, "vec_id", few="queries").select("vec_id", F.round("max_similarity", 6).alias("max_similarity"))
 
 
-_CFG = EngineConfig(similarity_threshold=0.35, similarity_floor=0.25)
+_CFG = EngineConfig(similarity_threshold=0.35, similarity_floor=0.30)
 
 
-@query(_E + ", m AS (SELECT vec_id, max(sim) AS m, sum((sim >= 0.25)::INT) AS n FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN m >= 0.35 THEN 'block' WHEN m >= 0.25 THEN 'escalate' ELSE 'allow' END AS verdict, least(n, 3)::INTEGER AS n_findings FROM m")
+@query(_TURNED + ", m AS (SELECT vec_id, max(sim) AS m, sum((sim >= 0.3)::INT) AS n FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN m >= 0.35 THEN 'block' WHEN m >= 0.3 THEN 'escalate' ELSE 'allow' END AS verdict, least(n, 3)::INTEGER AS n_findings FROM m")
 def similarity_verdict(spark, sf_dir):
     """Verdict and findings of the semantic layer."""
-    q, ref = _vectors(spark, sf_dir)
-    out = semantic.semantic(q, ref, _CFG, "vec_id")
+    q, ref = _vectors(spark, sf_dir, True)
+    out = semantic.semantic(q, ref, _CFG, "vec_id", few="queries")
     return out.select("vec_id", "semantic.verdict", F.size("semantic.findings").alias("n_findings"))
 
 
-@query(f"SELECT 'L' || label AS category, count(*) AS n FROM embeddings WHERE vec_id < {CORPUS_ROWS} GROUP BY 1")
+@query("SELECT 'L' || label AS category, count(*) AS n FROM embeddings GROUP BY 1")
 def corpus_categories(spark, sf_dir):
     """How many reference vectors each category has."""
     return semantic.category_distribution(_vectors(spark, sf_dir)[1])
 
 
+@query(_TURNED + ", m AS (SELECT vec_id, max(sim) AS m FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN vec_id % 60 = 0 OR m >= 0.35 THEN 'block' WHEN m >= 0.3 THEN 'escalate' ELSE 'allow' END AS verdict, CASE WHEN vec_id % 60 = 0 THEN 'SEM-EMB-001' WHEN m >= 0.3 THEN 'SEM-001' END AS first_rule, 1::BIGINT AS n_rows FROM m")
+def semantic_errors(spark, sf_dir):
+    """Requests of which many share an id, some have none, and every third has
+    a text and no embedding, which blocks: one row in, one row out."""
+    q, ref = _vectors(spark, sf_dir, True)
+    at = F.col("vec_id")
+    rows = q.withColumns({"embedding": F.when(at % 60 != 0, F.col("embedding")), "request_id": F.when(at % 100 != 0, F.concat(F.lit("r"), (at % 3).cast("string")))})
+    cfg = EngineConfig(semantic_enabled=True, similarity_threshold=0.35, similarity_floor=0.30)
+    out = screen(_as_requests(rows, prompt=F.concat(F.lit("item "), at.cast("string"))), cfg, ref)
+    out = out.groupBy("vec_id").agg(F.first("verdict").alias("verdict"), F.first(F.get("semantic.findings", F.lit(0))["rule_id"]).alias("first_rule"), F.count(F.lit(1)).alias("n_rows"))
+    return out.select("vec_id", "verdict", "first_rule", "n_rows")
+
+
+@query(f"SELECT doc_id, CASE WHEN contains({ASCII_SQL}, '#') THEN 'block' WHEN length({ASCII_SQL}) > 2000 THEN 'sanitize' ELSE 'allow' END AS verdict, CASE WHEN contains({ASCII_SQL}, '#') THEN 'structural' WHEN length({ASCII_SQL}) > 2000 THEN 'pattern' ELSE 'structural' END AS layer, contains({ASCII_SQL}, '#') AS failed, CASE WHEN contains({ASCII_SQL}, '#') THEN 1 ELSE 2 END AS n_layers FROM documents")
+def registered_layers(spark, sf_dir):
+    """Scanners of one's own: one fails at some texts, which blocks and ends
+    the run there; the next one flags long texts."""
+    layers = Registry()
+    layers.register("structural", _fails_at_hash)
+    layers.register("pattern", _flags_long)
+    docs = _spread(_read(spark, sf_dir, "documents")).select("doc_id", _ascii(F.col("text")).alias("raw_text"), F.lit(None).cast("array<string>").alias("scanners"))
+    out = layers.run(docs, EngineConfig())
+    return out.select("doc_id", "verdict", "layer", F.col("structural.error").isNotNull().alias("failed"), F.when(F.col("pattern").isNull(), 1).otherwise(2).alias("n_layers"))
+
+
+def _fails_at_hash(text: str) -> list[dict]:
+    if "#" in text:
+        raise ValueError("cannot read this")
+    return []
+
+
+def _flags_long(text: str) -> list[dict]:
+    return [{"rule_id": "LONG", "verdict": "sanitize", "confidence": 0.5}] if len(text) > 2000 else []
+
+
+class _Shapes:
+    """A model of three numbers a word: its length, its e's, and one."""
+
+    def vectors(self, texts: list[str], max_tokens: int):
+        words = [t.split(" ")[:max_tokens] for t in texts]
+        n = max(map(len, words))
+        full = np.zeros((len(texts), n, 3))
+        mask = np.zeros((len(texts), n))
+        for i, w in enumerate(words):
+            full[i, : len(w)] = [(len(x), x.count("e"), 1) for x in w]
+            mask[i, : len(w)] = 1
+        return full, mask
+
+
+@query(f"WITH w AS (SELECT doc_id, string_split({ASCII_SQL}, ' ')[1:64] AS w FROM documents WHERE text <> ''), m AS (SELECT doc_id, list_avg(list_transform(w, lambda x: length(x)))::DOUBLE AS a, list_avg(list_transform(w, lambda x: length(x) - length(replace(x, 'e', ''))))::DOUBLE AS b FROM w) SELECT doc_id, round(a / sqrt(a * a + b * b + 1), 4) AS x, round(b / sqrt(a * a + b * b + 1), 4) AS y FROM m")
+def embedded(spark, sf_dir):
+    """Documents through a small model: cut to 64 words, pooled, of length one."""
+    docs = _spread(_read(spark, sf_dir, "documents")).where("text <> ''").select("doc_id", _ascii(F.col("text")).alias("raw_text"))
+    out = embed(docs, _Shapes(), max_tokens=64)
+    return out.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("x"), F.round(F.col("embedding")[1].cast("double"), 4).alias("y"))
+
+
 _H = "WITH l AS (SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_discount * 10 END, 4) AS p, round(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_tax * 12 END, 4) AS s, l_quantity > 45 AS b FROM lineitem), c AS (SELECT *, CASE WHEN b THEN p WHEN p > 0 AND s > 0 THEN 0.6::DOUBLE * p + 0.4::DOUBLE * s WHEN p > 0 THEN p WHEN s > 0 THEN s ELSE 0 END AS c FROM l)"
 
 
@@ -465,6 +527,28 @@ def rate_limit_fold(spark, sf_dir):
     return ratelimit.rate_limit(e, EngineConfig(requests_per_minute=3, window_seconds=21_600), "user_id")
 
 
+@query("""
+WITH RECURSIVE r0 AS (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'rl:default' ELSE 'rl:u' || user_id % 20 END AS k, event_id % 4 > 0 AS api, epoch_us(ts) / 1e6 AS ts FROM events),
+e AS (SELECT event_id, k, ts, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS rn FROM r0 WHERE api),
+r AS (
+  SELECT k, event_id, rn, [ts] AS kept, true AS allowed, 2 AS remaining, 0 AS retry_after FROM e WHERE rn = 1
+  UNION ALL
+  SELECT k, event_id, rn, CASE WHEN len(old) < 3 THEN list_append(old, ts) ELSE old END, len(old) < 3, CASE WHEN len(old) < 3 THEN 2 - len(old) ELSE 0 END,
+         CASE WHEN len(old) < 3 THEN 0 ELSE greatest(1, trunc(3600 - (ts - list_min(old)))::BIGINT + 1) END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: e.ts - x < 3600) AS old FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1))
+SELECT event_id, CASE WHEN allowed THEN 200 ELSE 429 END::INTEGER AS status, CASE WHEN NOT allowed THEN retry_after END::INTEGER AS retry_after, 3::INTEGER AS "limit", remaining::INTEGER AS remaining FROM r
+UNION ALL SELECT event_id, 200, NULL, NULL, NULL FROM r0 WHERE NOT api
+""")
+def limiter_middleware(spark, sf_dir):
+    """The limiter before an API: a path that is not its own, tenants from a
+    header, some without one."""
+    user, e = F.col("user_id"), _read(spark, sf_dir, "events")
+    header = F.when(user % 5 != 0, F.concat(F.lit("u"), (user % 20).cast("string")))
+    path = F.when(F.col("event_id") % 4 == 0, "/health").otherwise("/v1/evaluate")
+    calls = e.select("event_id", header.alias("tenant_header"), path.alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return ratelimit.limit_requests(calls, EngineConfig(requests_per_minute=3, window_seconds=3600))
+
+
 _RAW = "WITH raw AS (SELECT doc_id AS ord, text, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END AS label, doc_id % 13 = 0 AS augmented, source AS category FROM documents), c AS (SELECT * FROM raw WHERE label = 1 AND NOT augmented AND length(trim(text, ' ')) >= 10), d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY ord) = 1)"
 
 

@@ -18,7 +18,7 @@ from guardspark.operators.actions import response, response_confidence
 from guardspark.operators.hybrid import arbitrate, hybrid_finding, with_hybrid
 from guardspark.operators.judge import JudgeClient, ask, gate, judge_layer
 from guardspark.operators.pattern import PII_RULES, layer_of, pattern, redact, rule_findings, with_layer
-from guardspark.operators.semantic import embedding_failed, semantic
+from guardspark.operators.semantic import corpus_failed, embedding_failed, not_started, row_key, semantic
 from guardspark.operators.structural import structural
 from guardspark.schemas import no_findings
 
@@ -37,12 +37,16 @@ def _stopped(layers: list[str], cfg: EngineConfig) -> Column:
     return out & cfg.fail_closed
 
 
-def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = None, client: JudgeClient | None = None) -> DataFrame:
+def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = None, client: JudgeClient | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """Requests with ``verdict``, ``layer``, ``reason``, ``findings``,
     ``confidence``, ``layers_used`` and ``response``, and one struct for each
     layer, null where it did not run.  With a corpus requests need an
     ``embedding``; the layers before the search are then persisted (spilling to
-    disk), so this form is for batches."""
+    disk), so this form is for batches; ``held`` collects what is persisted, for
+    the caller to let go.  A request that wants the semantic layer is blocked if
+    there is no corpus, if the corpus is empty, or if its text has no embedding.
+    Requests may share an id or have none."""
+    held = held if held is not None else []
     df = requests.withColumns({"texts": texts_to_scan(F.col("messages"), F.col("prompt")), "raw_text": raw_text(F.col("messages"), F.col("prompt"))})
     df = structural(df, cfg).withColumn("structural", F.when(_wanted("structural", cfg), F.col("structural")))
     sanitized = F.coalesce(F.col("structural")["sanitized"], F.lit(""))
@@ -56,13 +60,15 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
     layers, hybrid_ = ["structural", "pattern"], F.lit(None).cast("struct<composite: double, verdict: string, pattern_contribution: double, semantic_contribution: double, pattern_max: double, semantic_max: double, reason: string>")
     if corpus is not None:
         # The search and the rows it joins both start here: the layers so far are computed once.
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        df = df.withColumn("ran_semantic", _wanted("semantic", cfg) & ~_stopped(layers, cfg))
+        df = df.withColumn("_row", row_key("request_id", "raw_text", "embedding")).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(df)
+        empty = corpus.where(F.col("embedding").isNotNull()).isEmpty()
+        df = df.withColumn("_judged", F.col("_row")).withColumn("ran_semantic", _wanted("semantic", cfg) & ~_stopped(layers, cfg))
         df = df.withColumn("run_semantic", F.col("ran_semantic") & F.col("embedding").isNotNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False)))
         df = semantic(df, corpus, cfg)
         # A text that could not be embedded is not searched: that blocks.
         lost = (F.col("raw_text") != "") & F.col("embedding").isNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False))
-        df = df.withColumn("semantic", F.when(F.col("ran_semantic"), F.when(lost, embedding_failed()).otherwise(F.col("semantic")))).drop("run_semantic", "ran_semantic")
+        df = df.withColumn("semantic", F.when(F.col("ran_semantic"), F.when(lost, embedding_failed()).when(F.lit(empty) & F.col("run_semantic"), corpus_failed()).otherwise(F.col("semantic")))).drop("run_semantic", "ran_semantic")
         layers.append("semantic")
         any_ = F.lit(0)
         for n in layers:
@@ -70,12 +76,21 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
         scored = F.col("pattern").isNotNull() & F.col("semantic").isNotNull() & (any_ > 0) & ~_stopped(["semantic"], cfg)
         df = with_hybrid(df, scored, cfg)
         hybrid_ = F.col("hybrid")
+    else:
+        # Without a corpus the layer cannot start: requests that want it are blocked.
+        wants = _wanted("semantic", cfg) & ~_stopped(layers, cfg) & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False)) & (F.col("raw_text") != "")
+        df = df.withColumn("semantic", F.when(wants, not_started()))
+        layers.append("semantic")
+    skipped = F.struct(F.lit("allow").alias("verdict"), no_findings().alias("findings"))
+    if client is not None and corpus is None:
+        df = df.withColumn("judge", F.when(_wanted("judge", cfg) & ~_stopped(layers, cfg), skipped))  # its gate needs the semantic layer
+        layers.append("judge")
     if client is not None and corpus is not None:
         df = df.persist(StorageLevel.MEMORY_AND_DISK).withColumn("ask_judge", _wanted("judge", cfg) & ~_stopped(layers, cfg))
-        asked = df.where(F.col("ask_judge") & gate(F.col("semantic"), None, cfg))
-        answers = ask(asked, client, cfg)
-        df = df.join(answers, "request_id", "left")
-        skipped = F.struct(F.lit("allow").alias("verdict"), no_findings().alias("findings"))
+        held.append(df)
+        asked = df.where(F.col("ask_judge") & gate(F.col("semantic"), None, cfg)).dropDuplicates(["_judged"])
+        answers = ask(asked, client, cfg, "_judged")
+        df = df.join(answers, "_judged", "left")
         df = df.withColumn("judge", F.when(F.col("ask_judge"), F.when(F.col("content").isNotNull() | F.col("error").isNotNull(), judge_layer(F.col("content"), F.col("error"))).otherwise(skipped))).drop("content", "error", "ask_judge")
         layers.append("judge")
     verdict, winner, reason = arbitrate({n: F.col(n) for n in layers}, hybrid_, cfg)
@@ -85,7 +100,7 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
     df = df.withColumns({"verdict": verdict, "layer": winner, "reason": reason, "findings": found, "layers_used": F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), n) for n in LAYERS if n in layers)))})
     df = df.withColumn("confidence", response_confidence(F.lit("allow"), F.col("findings")))
     text = action_text(F.lit(""), F.col("prompt"), F.col("messages"))
-    return df.withColumn("response", response(F.col("verdict"), F.col("findings"), F.col("tenant_id"), F.col("structural")["sanitized"], text)).drop("texts", "scan_texts")
+    return df.withColumn("response", response(F.col("verdict"), F.col("findings"), F.col("tenant_id"), F.col("structural")["sanitized"], text)).drop("texts", "scan_texts", "_judged")
 
 
 def scan_outputs(outputs: DataFrame, cfg: EngineConfig, text_col: str = "output") -> DataFrame:

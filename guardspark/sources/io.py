@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +49,28 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_old_audit(spark: SparkSession, path: str, today: str, days: int) -> list[str]:
-    """Remove the folders of days before ``today`` - ``days``; 0 keeps all."""
+    """Remove the folders of days before ``today`` - ``days``, whether they lie
+    in ``path`` itself or in the folder of a micro-batch; 0 keeps all."""
     if days <= 0:
         return []
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
-    cut = spark.sql("SELECT CAST(date_sub(DATE :today, :days) AS STRING) AS d".replace(":today", f"'{today}'").replace(":days", str(days))).first().d
-    gone = []
-    for f in fs.listStatus(root):
-        name = f.getPath().getName()
-        if f.isDirectory() and name.startswith("event_date=") and name.removeprefix("event_date=") < cut:
-            fs.delete(f.getPath(), True)
-            gone.append(name)
-    return sorted(gone)
+    cut = str(date.fromisoformat(today) - timedelta(days=days))
+    folders = [f.getPath() for f in fs.listStatus(root) if f.isDirectory()]
+    for f in [f for f in folders if f.getName().startswith("batch=")]:
+        folders += [x.getPath() for x in fs.listStatus(f) if x.isDirectory()]
+    gone = [f for f in folders if f.getName().startswith("event_date=") and f.getName().removeprefix("event_date=") < cut]
+    for f in gone:
+        fs.delete(f, True)
+    return sorted(f.getName() for f in gone)
 
 
 def jdbc_writer(url: str, table: str, **options: str) -> Callable[[DataFrame], None]:
+    """Appends to a table.  A batch that is run again is appended again: give
+    the table a unique key on ``event_id``, which stays the same.  Lists,
+    structs and maps go as JSON."""
+
     def write(df: DataFrame) -> None:
         flat = df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))})
         flat.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()

@@ -11,21 +11,43 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from guardspark.config import EngineConfig
 from guardspark.operators.audit import audit_evaluations
-from guardspark.operators.validate import rejection
+from guardspark.operators.judge import JudgeClient
+from guardspark.operators.ratelimit import decide
+from guardspark.operators.validate import validate
 from guardspark.plans.screen import screen
 
 
 def screen_stream(requests: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """The screening plan on a stream: stateless, so the batch plan as it is."""
-    good = requests.withColumn("_reason", rejection(requests)).where("_reason IS NULL").drop("_reason")
-    good = good.withColumns({"tenant_id": F.lower(F.trim(F.coalesce("tenant_id", F.lit("default")))), "output_only": F.coalesce("output_only", F.lit(False))})
-    return screen(good, cfg)
-
-
-def start_screening(requests: DataFrame, cfg: EngineConfig, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Screen all that is there and write audit rows batch by batch."""
-    rows = audit_evaluations(screen_stream(requests, cfg), cfg, F.current_timestamp())
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The structural and the pattern layer on a stream: stateless, so the
+    batch plan as it is.  Rejected rows are left out; ``start_screening`` hands
+    them on and runs the other layers too."""
+    return screen(validate(requests)[0], cfg)
+
+
+def start_screening(
+    requests: DataFrame,
+    cfg: EngineConfig,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    corpus: DataFrame | None = None,
+    client: JudgeClient | None = None,
+    rejected: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Screen all that is there, micro-batch by micro-batch, through all layers
+    that a batch goes through, and hand audit rows to ``sink`` (unless
+    ``audit_enabled`` is off) and refused requests to ``rejected``."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        held: list[DataFrame] = []
+        good, bad = validate(batch)
+        if cfg.audit_enabled:
+            sink(audit_evaluations(screen(good, cfg, corpus, client, held), cfg, F.current_timestamp()), batch_id)
+        if rejected is not None:
+            rejected(bad, batch_id)
+        for df in held:
+            df.unpersist()
+
+    return requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class _Limiter(StatefulProcessor):
@@ -42,12 +64,7 @@ class _Limiter(StatefulProcessor):
         kept = [x[0] for x in self.kept.get()] if self.kept.exists() else []
         out = []
         for ts, event in sorted((float(t), e) for pdf in rows for t, e in zip(pdf["ts"], pdf["event_id"], strict=True)):
-            kept = [t for t in kept if ts - t < self.window]
-            if len(kept) < self.limit:
-                kept.append(ts)
-                out.append((event, key[0], True, self.limit - len(kept), 0))
-            else:
-                out.append((event, key[0], False, 0, max(1, int(self.window - (ts - min(kept))) + 1)))
+            out.append((event, key[0], *decide(kept, ts, self.limit, self.window)))
         self.kept.put([(t,) for t in kept]) if kept else self.kept.clear()
         yield pd.DataFrame(out, columns=["event_id", "tenant_key", "allowed", "remaining", "retry_after"])
 
