@@ -10,6 +10,7 @@ what matches.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 from re import _constants as sre
 from re import _parser
@@ -154,7 +155,9 @@ class _Unclear(Exception):
 
 
 def _is_word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+    r"""What ``\w`` means with Unicode classes: marks belong to words."""
+    kind = unicodedata.category(c)
+    return kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or c in "\u200c\u200d"
 
 
 def _grow(state: tuple[str, bool, bool], items) -> set[tuple[str, bool, bool]]:
