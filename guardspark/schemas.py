@@ -18,8 +18,6 @@ ROLES = ("system", "user", "assistant", "tool")
 USE_CASES = ("chat", "agent", "rag", "tool", "completion")
 #: Strictest wins.
 PRIORITY = {"block": 6, "sanitize": 5, "escalate": 4, "quarantine": 3, "rate_limit": 2, "allow": 0}
-#: Scanners themselves tell only these apart.
-LAYER_PRIORITY = {"block": 6, "sanitize": 5, "escalate": 4}
 SEVERITY_VERDICT = {"critical": "block", "high": "block", "medium": "sanitize", "low": "sanitize", "info": "allow"}
 
 
