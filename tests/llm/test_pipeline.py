@@ -8,7 +8,7 @@ import corpus_pipeline
 from guardspark.llm import decontaminate, weak_quality
 from tests.llm.cases import awkward
 from tests.llm.test_decontaminate import plain_tile
-from tests.llm.test_simhash import brute
+from tests.llm.test_near_text import brute
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -27,7 +27,7 @@ def test_whole_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id: r.text for r in weak_quality.judge(docs).where("kept").collect()}
     kept = dedup_lines(kept)
-    first = {i: c for i, (_, c) in brute(list(kept.items())).items()}
+    first = brute(list(kept.items()))
     kept = {i: t for i, t in kept.items() if first[i] == i}
     items = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 
