@@ -15,15 +15,23 @@ Windows that follow each other and share an anchor form a segment.
    rest - and sends it to the partition of the k-gram.  There a loser tree
    merges the runs.  It keeps for each head the prefix known to be shared with
    the last suffix put out; of two heads the one with more comes first, and
-   only equal ones are compared, from that point on.
+   only equal ones are compared, from that point on.  Partitions grow in number
+   with the classes, not in size.
 4. The order and the shared lengths tell, for each distance d of anchor and
    window start, which classes agree on d bytes to the left and length - d to
    the right: a window is repeated if another class falls in the same pair of
    groups.  No pair of classes is ever formed.
 5. Repeated windows go back to all members of their class and are cut out.
 
-Work on a k-gram's classes (not its occurrences) is done in one task, in a few
-dozen bytes for each distinct segment.
+A k-gram of more than ``DENSE`` classes (a passage shorter than ``length`` in
+very many surroundings) is dealt out first: for each ``STEP`` distances its
+classes are grouped by all bytes that the windows at those distances have in
+common, which are ``length`` - ``STEP`` + 1.  Equal windows lie in one group,
+most others lie alone and leave.  A group that is still dense is dealt out once
+more, by single windows, and needs only to be counted.  So no task holds more
+than ``DENSE`` classes of one key, and no class is left out.  Joins on k-grams
+and classes send the rows of keys with a large share of all rows (at most
+``SHARE`` keys) to no shuffle: what they meet is broadcast.
 
 Rows are told apart by id and MD5 of the text, segments by the hash of their
 bytes, that of their k-gram, their length and their anchor's place.
@@ -37,8 +45,9 @@ columns are dropped.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -58,7 +67,15 @@ PIECE = 1 << 20
 DOC_BITS = 1 << 26
 #: Classes that a task sorts into one run.
 RUN = 40_000
+#: Classes that a task merges at once, about 1 kB each, and of one key.
+PART, DENSE = 20_000, 4_096
+#: Distances of anchor and window start that share a key of a dense k-gram.
+STEP = 25
+#: A key with one in this many of all rows is joined without a shuffle.
+SHARE = 1_024
 CLASS = ["kh", "c", "n", "off"]
+#: Bytes of the key before a sorted suffix.
+KEY = 16
 
 
 @lru_cache(1)
@@ -216,7 +233,32 @@ def repeated_windows(f_order, f_shared, b_order, b_shared, low, high, length: in
             yield int(i), int(a), int(b) - 1
 
 
-RUNS = "part int, side int, shared binary, lens binary, rests binary, kh binary, c binary, n binary, off binary"
+RUNS = "part int, side int, shared binary, lens binary, rests binary, labels binary"
+#: What the sorted suffixes stand for: the class and its distances.
+LABEL = [*CLASS, "low", "high"]
+
+
+def _spreader(id_type: pa.DataType, step: int, length: int):
+    """Classes by what their windows have in common, ``step`` distances each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, h, found, keys = [], [], [], []
+            for i, (t, own) in enumerate(zip(b.column("text"), b.column("classes"), strict=True)):
+                data, digest = bytes(t.as_buffer()), b.column("h")[i].as_py()
+                for r in own.as_py():
+                    anchor = r["s"] + r["off"]
+                    for first in range(r["low"] // step * step, r["high"] + 1, step):
+                        common = data[anchor - first : anchor - first - step + 1 + length]
+                        rows.append(i)
+                        h.append(digest)
+                        found.append((r["s"], *(r[c] for c in CLASS), max(first, r["low"]), min(first + step - 1, r["high"])))
+                        keys.append(hashlib.blake2b(common, digest_size=KEY, key=b"%d %d" % (r["kh"], first)).digest())
+            cols = np.array(found, np.int64).reshape(-1, 7).T
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), pa.array(h, pa.binary()), *(pa.array(x, pa.int64()).cast(y) for x, y in zip(cols, types, strict=True)), pa.array(keys, pa.binary())], names=["id", "h", "s", *LABEL, "key"])
+
+    return run
 
 
 def _sorter(parts: int, length: int, gram: int):
@@ -232,22 +274,23 @@ def _sorter(parts: int, length: int, gram: int):
                 for side in (0, 1):
                     ordered = sorted(rows, key=lambda r: r[side])
                     coded = front_code([r[side] for r in ordered])
-                    labels = [np.array([r[2 + j] for r in ordered], np.int64).tobytes() for j in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([side], pa.int32()), pa.array([coded[0].tobytes()]), pa.array([coded[1].tobytes()]), pa.array([coded[2]]), *[pa.array([x]) for x in labels]], names=names)
+                    labels = np.array([r[2] for r in ordered], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([side], pa.int32()), pa.array([coded[0].tobytes()]), pa.array([coded[1].tobytes()]), pa.array([coded[2]]), pa.array([labels.tobytes()])], names=names)
             held.clear()
 
         for b in batches:
             for t, classes in zip(b.column("text"), b.column("classes"), strict=True):
                 data = bytes(t.as_buffer())
                 for r in classes.as_py():
-                    anchor, s = r["s"] + r["off"], r["s"]
-                    right = data[anchor : s + r["n"] - 1 + length]
-                    left = data[anchor : anchor + gram] + data[s:anchor][::-1]
-                    held.setdefault(r["kh"] % parts, []).append((right, left, r["kh"], r["c"], r["n"], r["off"]))
+                    anchor = r["s"] + r["off"]
+                    key = r["key"] or r["kh"].to_bytes(KEY, "big", signed=True)
+                    right = key + data[anchor : anchor - r["low"] + length]
+                    left = key + data[anchor : anchor + gram] + data[anchor - r["high"] : anchor][::-1]
+                    held.setdefault(zlib.crc32(key) % parts, []).append((right, left, [r[c] for c in LABEL]))
                     size += 1
-            if size >= RUN:
-                yield from flush()
-                size = 0
+                if size >= RUN:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     return run
@@ -259,14 +302,14 @@ def _merger(length: int, gram: int):
         sides = []
         for side in (0, 1):
             own = [r for r in rows if r["side"] == side]
-            labels = [np.stack([np.frombuffer(r[c], np.int64) for c in CLASS], axis=1) for r in own]
+            labels = [np.frombuffer(r["labels"], np.int64).reshape(-1, len(LABEL)) for r in own]
             merged = merge_runs([decode_run(np.frombuffer(r["shared"], np.uint32), np.frombuffer(r["lens"], np.uint32), r["rests"]) for r in own])
             which, shared = np.array(list(merged), np.int64).reshape(-1, 2).T
             # Within a run strings come in order, so the i-th of a run is its i-th label.
             order = np.argsort(which, kind="stable")
-            sorted_ = np.empty((len(which), 4), np.int64)
+            sorted_ = np.empty((len(which), len(LABEL)), np.int64)
             sorted_[order] = np.concatenate(labels)
-            sides.append((sorted_, shared))
+            sides.append((sorted_, shared - KEY))
         (right, f), (left, b) = sides
         start_f, start_b = (np.flatnonzero(np.r_[True, x[1:] < gram]) for x in (f, b))
         out = []
@@ -278,12 +321,10 @@ def _merger(length: int, gram: int):
             own = right[i:end]
             place = {tuple(x): p for p, x in enumerate(own.tolist())}
             b_order = np.array([place[tuple(x)] for x in left[j : j + g].tolist()])
-            high = own[:, 3]
-            low = high - own[:, 2] + 1
-            for p, a, z in repeated_windows(np.arange(g), f[i:end], b_order, b[j : j + g] - gram, low, high, length):
-                out.append((*own[p].tolist(), a, z))
+            for p, a, z in repeated_windows(np.arange(g), f[i:end], b_order, b[j : j + g] - gram, own[:, 4], own[:, 5], length):
+                out.append((*own[p, :4].tolist(), a, z))
         cols = list(zip(*out, strict=True)) or [()] * 6
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(x, pa.int32()) for x in cols[2:]]], names=[*CLASS, "low", "high"])
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(x, pa.int32()) for x in cols[2:]]], names=LABEL)
 
     return run
 
@@ -321,27 +362,44 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = docs.mapInArrow(_segmenter(id_type, length, gram), f"id {kind}, h binary, s long, n int, off int, kh long, c long")
     found = scratch.table(found, "segments")
-    twice = scratch.table(found.groupBy("kh").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("kh"), "grams")
-    shared = scratch.table(found.join(twice.hint("merge"), "kh"), "shared")
+    keyed = docs.withColumn("h", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    rows = F.count(F.lit(1)).alias("rows")
+    twice = scratch.table(found.groupBy("kh").agg(rows).where("rows > 1"), "grams")
+    shared = scratch.table(_meet(found, twice, ["kh"], twice, found.count()).drop("rows"), "shared")
     scratch.drop(found, twice)
     classes = scratch.table(shared.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "h", "s")).alias("r")), "classes")
-    several = classes.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
-    sort = scratch.table(classes.join(several.hint("merge"), "kh").select("r.*", *CLASS), "to-sort")
-    # Only documents of classes to sort are moved; the bitmap over them has a fixed size.
-    keyed = docs.withColumn("h", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    lists = sort.groupBy("id", "h").agg(F.collect_list(F.struct("s", *CLASS)).alias("classes"))
-    own = _join(_maybe(keyed, sort), lists, "inner").dropDuplicates(["id", "h"]).select("text", "classes")
-    # Rows of one repeated document carry the same classes: one of them is enough.
-    width = shuffle_width(spark)
-    runs = own.mapInArrow(_sorter(width, length, gram), RUNS)
-    parts = runs.groupBy("part").applyInArrow(_merger(length, gram), "kh long, c long, n int, off int, low int, high int")
-    whole = classes.where("members > 1").select(*CLASS, (F.col("off") - F.col("n") + 1).alias("low"), F.col("off").alias("high"))
-    hits = scratch.table(parts.unionByName(whole), "hits")
+    several = scratch.table(classes.groupBy("kh").agg(rows).where("rows > 1"), "several")
+    low = (F.col("off") - F.col("n") + 1).alias("low")
+    sort = _meet(classes, several, ["kh"], several, classes.count()).select("r.*", *CLASS, low, F.col("off").alias("high"), F.lit(None).cast("binary").alias("key"), "rows")
+    sort = scratch.table(sort, "to-sort")
+    # Dense k-grams go on by groups of like surroundings, and what is still dense by windows.
+    sorts, windows, dense = [sort], None, sort.where(F.col("rows") > DENSE)
+    for step in (STEP, 1):
+        if dense.isEmpty():
+            break
+        schema = f"id {kind}, h binary, s long, kh long, c long, n int, off int, low int, high int, key binary"
+        spread = scratch.table(_texts(keyed, dense).mapInArrow(_spreader(id_type, step, length), schema), "spread")
+        keys = scratch.table(spread.groupBy("key").agg(rows).where("rows > 1"), "keys")
+        dense = scratch.table(_meet(spread, keys, ["key"], keys, spread.count()), "dense")
+        scratch.drop(spread, keys)
+        if step == 1:  # whoever shares a key shares the window
+            windows = dense
+        else:
+            sorts.append(dense)
+            dense = dense.where(F.col("rows") > DENSE)
+    calm = reduce(DataFrame.unionByName, [x.where(F.col("rows") <= DENSE).drop("rows") for x in sorts])
+    parts = max(shuffle_width(spark), calm.count() // PART + 1)
+    runs = _texts(keyed, calm).select("text", "classes").mapInArrow(_sorter(parts, length, gram), RUNS)
+    merged = runs.groupBy("part").applyInArrow(_merger(length, gram), "kh long, c long, n int, off int, low int, high int")
+    whole = classes.where("members > 1").select(*CLASS, low, F.col("off").alias("high"))
+    hits = merged.unionByName(whole)
+    hits = scratch.table(hits.unionByName(windows.select(LABEL)) if windows else hits, "hits")
     # A window at distance d starts at anchor - d.
     anchor = F.col("s") + F.col("off")
-    cut = shared.join(hits.hint("merge"), CLASS).select("id", "h", (anchor - F.col("high")).alias("a"), (anchor - F.col("low")).alias("z"))
+    sizes = classes.select(*CLASS, F.col("members").alias("rows"))
+    cut = _meet(shared, hits, CLASS, sizes, shared.count()).select("id", "h", (anchor - F.col("high")).alias("a"), (anchor - F.col("low")).alias("z"))
     cut = scratch.table(cut.groupBy("id", "h").agg(F.collect_set(F.struct("a", "z")).alias("windows")), "cut")
-    scratch.drop(shared, classes, sort, hits)
+    scratch.drop(shared, classes, several, *sorts, *([windows] if windows else []), hits)
     flagged = _flag(keyed, cut)
     schema = f"id {kind}, n_bytes long, kept binary, starts array<bigint>, ends array<bigint>"
     changed = _join(flagged.where("maybe"), cut, "left").select("id", "text", "windows").mapInArrow(_cutter(length), schema)
@@ -351,6 +409,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return changed.unionByName(same).withColumnRenamed("id", id_col)
 
 
+def _meet(many: DataFrame, few: DataFrame, on: list[str], sizes: DataFrame, total: int) -> DataFrame:
+    """Inner join on keys of which ``many`` holds ``rows`` rows each, by
+    ``sizes``, of ``total`` in all.  Fewer than ``SHARE`` keys can hold more
+    than that part of the rows, so their side of ``few`` is small."""
+    hot = F.broadcast(sizes.where(F.col("rows") * SHARE > total).select(on))
+    calm = many.join(hot, on, "left_anti").join(few.hint("merge"), on)
+    return many.join(F.broadcast(few.join(hot, on, "left_semi")), on).unionByName(calm)
+
+
+def _texts(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each text with the list of its classes among ``rows``."""
+    # Only documents of such classes are moved; the bitmap over them has a fixed size.
+    lists = rows.groupBy("id", "h").agg(F.collect_list(F.struct("s", *LABEL, "key")).alias("classes"))
+    # Rows of one repeated document carry the same classes: one of them is enough.
+    return _join(_maybe(keyed, rows), lists, "inner").dropDuplicates(["id", "h"]).select("id", "h", "text", "classes")
+
+
 def _key(id_, h):
     return F.xxhash64(id_, h)
 

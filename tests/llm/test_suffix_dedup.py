@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,7 +38,11 @@ def test_merge_gives_the_sorted_order(runs):
     assert got == sorted(x for r in runs for x in r)
 
 
-def test_small_alphabet_against_brute_force(spark):
+@pytest.mark.parametrize(("dense", "step", "part"), [(d.DENSE, d.STEP, d.PART), (3, 5, 10), (1, 24, 40)])
+def test_small_alphabet_against_brute_force(spark, monkeypatch, dense, step, part):
+    monkeypatch.setattr(d, "DENSE", dense)
+    monkeypatch.setattr(d, "STEP", step)
+    monkeypatch.setattr(d, "PART", part)
     rng = random.Random(11)
     base = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(6)]
     texts = []
@@ -55,6 +60,21 @@ def test_small_alphabet_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_a_passage_in_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(d, "DENSE", 8)
+    monkeypatch.setattr(d, "STEP", 6)
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefghijkl") for _ in range(46))
+    own = lambda k: "".join(rng.choice("mnopqrst") for _ in range(k))
+    # 46, and with neighbours in common 48 or more, of 48 bytes.
+    texts = [own(30) + rng.choice(["", "u", "vw"]) + passage + rng.choice(["", "x", "yz"]) + own(30) for _ in range(90)]
+    want = plain([t.encode() for t in texts], 48)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.kept), r.starts, r.ends) for r in d.remove_repeats(docs, length=48, gram=8).collect()}
+    assert 0 < sum(bool(w[1]) for w in want) < len(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_whole_table_against_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(d, "PIECE", 5_000)
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
