@@ -10,6 +10,7 @@ shuffled are distinct units of a task and coded documents, both compressed,
 never occurrences of words.  The texts are read twice, for the lists and for
 the documents; a checksum of the lists makes sure that both reads agree, so an
 input that is not the same at every read must be written to a table first.
+Their bytes are summed before, which sets the number of buckets.
 Decoding looks up each id in the table of pieces,
 unit by unit, and joins them in order.
 
@@ -39,6 +40,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Characters of text that a task codes with one list of units.
 CHUNK = 8_000_000
+#: Bytes of text for each hash bucket, so that buckets grow in number with the
+#: input and not in size.
+BUCKET = 32_000_000
 #: Between units in a list; it is no byte of UTF-8.
 END = b"\xff"
 
@@ -237,9 +241,11 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     id_type, kind = to_arrow_type(df.schema[id_col].dataType), df.schema[id_col].dataType.simpleString()
     schema = CODED.format(id=kind)
-    texts, width, specials = df.select(id_col, text_col), shuffle_width(spark), special_tokens(text)
-    lists = texts.mapInArrow(_coder(id_type, width, specials, True), schema).groupBy("bucket").applyInArrow(_encoder(source), schema)
-    chunks = texts.mapInArrow(_coder(id_type, width, specials, False), schema).unionByName(lists)
+    texts, specials = df.select(id_col, text_col), special_tokens(text)
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(shuffle_width(spark), size // BUCKET + 1)
+    lists = texts.mapInArrow(_coder(id_type, buckets, specials, True), schema).groupBy("bucket").applyInArrow(_encoder(source), schema)
+    chunks = texts.mapInArrow(_coder(id_type, buckets, specials, False), schema).unionByName(lists)
     return chunks.groupBy("chunk").applyInArrow(_assembler(id_type, id_col, source), f"{id_col} {kind}, ids array<int>, decoded string")
 
 

@@ -29,9 +29,10 @@ def test_pieces_decode():
     assert b"".join(table[i] for i in ids).decode() == TOK.decode(ids, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("chunk", [bpe.CHUNK, 30_000])
-def test_whole_table(spark, sf, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "bucket"), [(bpe.CHUNK, bpe.BUCKET), (30_000, bpe.BUCKET), (100_000, 10_000)])
+def test_whole_table(spark, sf, chunk, bucket, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "BUCKET", bucket)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = bpe.op3_bpe(spark, sf).collect()
     assert len(got) == len(docs)
