@@ -9,6 +9,10 @@ label is the posterior that it is free of every defect.  A hashed linear
 scorer, fitted on a bounded sample of documents with their soft labels, then
 judges every text by itself.
 
+Texts are read once: each document's votes and features, a few hundred bytes,
+go to a scratch table, from which patterns are counted, the sample is drawn
+and documents are scored.
+
 No hand label is read.  Defined results: null texts and texts without words
 get score 0 and are rejected; repeated rows are judged alike; further columns
 stay; an empty table trains nothing and gives no rows.
@@ -20,16 +24,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.llm.linear import Sparse, fit, sigmoid
-from guardspark.llm.scratch import Scratch
+from guardspark.llm.scratch import Scratch, free
 
 DIM = 1 << 14
-#: Documents that training takes at most (in expectation: those with the
-#: lowest text hashes).
+#: Distinct texts that training takes at most: those with the lowest hashes.
 SAMPLE = 20_000
 L2 = 1e-5
 KEEP = 0.5
@@ -206,17 +208,21 @@ def features(m: Measures) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([m.shapes, more]), np.concatenate([np.sqrt(m.counts / max(m.n, 1)), np.full(len(more), 0.5)])
 
 
-def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure_all(texts: Iterator) -> Iterator:
+    """Pattern, places and values of each text; no places without words."""
+    import pandas as pd
+
     words = _Words()
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([pattern(measure(t.as_py(), words, False)) for t in b.column(0)], pa.int32())], names=["pattern"])
+    for part in texts:
+        rows = []
+        for t in part:
+            m = measure(t, words)
+            places, values = features(m) if m.n else (np.zeros(0), np.zeros(0))
+            rows.append((pattern(m), places.astype(np.int32).tobytes(), values.astype(np.float32).tobytes()))
+        yield pd.DataFrame(rows, columns=["pattern", "places", "values"])
 
 
-def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for b in batches:
-        rows = [(pattern(m), *features(m)) for m in (measure(t.as_py(), words) for t in b.column(0)) if m.n]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())], names=["pattern", "places", "values"])
+_measure_all.__annotations__ = {}
 
 
 @dataclass
@@ -226,54 +232,60 @@ class Model:
     accuracies: dict[str, tuple[float, float]]  # of bad and of good documents that get no wrong vote
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Labellers' accuracies by EM over all documents, and the scorer."""
-    counted = docs.select(text_col).mapInArrow(_voter, "pattern int").groupBy("pattern").count().toPandas()  # 3 ** 9 rows at most
+def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """``docs`` (its columns ``keep``, or all) with what the labellers and the
+    scorer read of each text, written to a scratch table; and the name of the
+    column that holds it."""
+    name = free(docs, "measured")
+    udf = F.pandas_udf(_measure_all, "pattern int, places binary, values binary", F.PandasUDFType.SCALAR_ITER)
+    read = docs.withColumns({name: udf(text_col), f"{name}_hash": F.pmod(F.xxhash64(text_col), F.lit(1 << 30))})
+    columns = docs.columns if keep is None else keep
+    whole = F.struct(f"{name}.*", F.col(f"{name}_hash").alias("hash")).alias(name)
+    return Scratch(docs.sparkSession).table(read.select(*columns, whole), "measured"), name
+
+
+def train(read: DataFrame, name: str, sample: int = SAMPLE) -> Model:
+    """Labellers' accuracies by EM over all documents of a table that
+    ``measured`` made, and the scorer."""
+    rows = read.select(f"{name}.*")
+    counted = rows.groupBy("pattern").count().toPandas()  # 3 ** 9 rows at most
     if not len(counted):
         return Model(np.zeros(DIM), 0.0, {})
     good, accuracies = expectation_maximisation(counted["pattern"].to_numpy(), counted["count"].to_numpy())
     soft = dict(zip(counted["pattern"], good, strict=True))
     # At most ``sample`` texts, those of least hash; a text counts once however often it stands.
     share = min(1.0, 1.2 * sample / counted["count"].sum())
-    few = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h")).where(F.col("text").isNotNull() & (F.col("h") < F.lit(int(share * (1 << 30)))))
-    few = few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample).select("text")
-    rows = few.mapInArrow(_sampler, "pattern int, places binary, values binary").toArrow()
-    y = np.array([soft.get(p, 0.5) for p in rows.column("pattern").to_pylist()])
-    x = Sparse([np.frombuffer(p, np.int32) for p in rows.column("places").to_pylist()], [np.frombuffer(v, np.float32) for v in rows.column("values").to_pylist()], DIM)
+    few = rows.where((F.octet_length("places") > 0) & (F.col("hash") < F.lit(int(share * (1 << 30)))))
+    few = few.groupBy("hash").agg(F.min(F.struct("pattern", "places", "values")).alias("m")).orderBy("hash").limit(sample).select("m.*").toArrow()
+    y = np.array([soft.get(p, 0.5) for p in few.column("pattern").to_pylist()])
+    x = Sparse([np.frombuffer(p, np.int32) for p in few.column("places").to_pylist()], [np.frombuffer(v, np.float32) for v in few.column("values").to_pylist()], DIM)
     weights, bias = fit(x, y, L2) if x.n else (np.zeros(DIM), 0.0)
     return Model(weights, bias, accuracies)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "quality_score") -> DataFrame:
-    """``docs`` with ``name`` (0 to 1, higher: better)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # DIM numbers
+def score(read: DataFrame, name: str, model: Model) -> Column:
+    """The score of each row (0 to 1, higher: better) of a table that
+    ``measured`` made."""
+    sent = read.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # DIM numbers
 
-    def run(texts: Iterator) -> Iterator:
+    def run(places, values):
         import pandas as pd
 
         w, bias = sent.value
-        words = _Words()
-        for part in texts:
-            out = np.zeros(len(part))
-            for i, t in enumerate(part):
-                m = measure(t, words)
-                if m.n:
-                    places, values = features(m)
-                    out[i] = sigmoid(bias + float(w[places] @ values))
-            yield pd.Series(out)
+        return pd.Series([float(sigmoid(bias + float(w[np.frombuffer(p, np.int32)] @ np.frombuffer(v, np.float32)))) if p else 0.0 for p, v in zip(places, values, strict=True)], dtype=float)
 
-    run.__annotations__ = {}
-    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn(name, udf(text_col))
+    return F.pandas_udf(run, "double")(F.col(f"{name}.places"), F.col(f"{name}.values"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP, names: tuple[str, str] = ("quality_score", "kept")) -> DataFrame:
-    """``docs`` with score and verdict, which replace columns of the same
-    ``names``."""
-    return score(docs, train(docs, text_col, sample), text_col, names[0]).withColumn(names[1], F.col(names[0]) >= keep)
+def judge(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP, names: tuple[str, str] = ("quality_score", "kept"), columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (its ``columns``, or all) with score and verdict, which replace
+    columns of the same ``names``."""
+    read, name = measured(docs, text_col, columns)
+    model = train(read, name, sample)
+    return read.withColumn(names[0], score(read, name, model)).withColumn(names[1], F.col(names[0]) >= keep).drop(name)
 
 
 def op5_weak_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's quality score and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judge(docs).select("doc_id", "quality_score", "kept")
+    return judge(docs, columns=["doc_id"]).select("doc_id", "quality_score", "kept")
