@@ -3,7 +3,8 @@
 Every rule is evaluated once per document; its failure sets one bit and its
 measurement is kept beside it.  A policy is a version and a mask over those
 bits, so a policy can change, or a rule be left out, without the texts being
-read again.  Everything is a column expression.
+read again.  ``store`` writes the ledger without the texts; policies and
+ablations read that table.  Everything is a column expression.
 
 Defined results: a null text has no words; repeated rows are judged alike;
 further columns stay.
@@ -12,11 +13,14 @@ further columns stay.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardspark.llm.scratch import Scratch
+
 #: White space between words, as a class of a Java pattern.
 WS = r"[\x20\x09-\x0D]"
 
@@ -87,6 +91,11 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
     return with_measures(df, text_col).withColumns({"fail_bits": bits, "measures": F.array(*(r.measure() for r in RULES))})
 
 
+def store(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ledger of ``df`` without the texts, written to a scratch table."""
+    return Scratch(df.sparkSession).table(ledger(df, text_col).drop(text_col), "ledger")
+
+
 def apply_policy(judged: DataFrame, version: str = "2024-1") -> DataFrame:
     """Add ``kept``: no bit of the policy's mask is set."""
     return judged.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version])) == 0)
@@ -109,13 +118,20 @@ OP7_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wo
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Every document with its base measures, failure bits and verdict."""
+    """Every document with its base measures, failure bits, what each rule
+    measured and the verdict, from the stored ledger."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    judged = apply_policy(ledger(docs)).withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0)
-    return judged.select("doc_id", *OP7_COLUMNS, "base_failed", "kept", "fail_bits")
+    judged = apply_policy(store(docs)).withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0)
+    return judged.select("doc_id", *OP7_COLUMNS, "base_failed", "kept", "fail_bits", *(F.col("measures")[i].alias(f"m_{r.name}") for i, r in enumerate(RULES)))
+
 
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from one stored ledger."""
+    judged = store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return reduce(DataFrame.unionByName, [ablation(judged, v).withColumn("version", F.lit(v)) for v in POLICIES])
 
-OP7_SQL = r"""
+
+LEDGER_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -143,6 +159,21 @@ b AS (
     + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)
     + (CASE WHEN 100 * n_letters < 50 * word_chars THEN 64 ELSE 0 END)
     + (CASE WHEN 100 * n_upper > 60 * n_letters THEN 128 ELSE 0 END) AS fail_bits FROM m)
+"""
+OP7_SQL = LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::INTEGER AS fail_bits FROM b
+       fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::INTEGER AS fail_bits,
+       n_words::DOUBLE AS m_few_words, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS m_repeated_words,
+       coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS m_symbols, coalesce(n_dup_lines::DOUBLE / nullif(n_text_lines, 0), 0) AS m_repeated_lines,
+       coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS m_short_words, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS m_long_words,
+       coalesce(n_letters::DOUBLE / nullif(word_chars, 0), 0) AS m_few_letters, coalesce(n_upper::DOUBLE / nullif(n_letters, 0), 0) AS m_shouting
+FROM b
+"""
+ABLATION_SQL = LEDGER_SQL + """
+SELECT version, rule, sum((fail_bits & bit <> 0)::INT)::BIGINT AS n_failed, sum((fail_bits & mask = bit)::INT)::BIGINT AS n_failed_alone,
+       sum((fail_bits & (mask - bit) = 0)::INT)::BIGINT AS n_kept_without
+FROM b, (VALUES ('base', 3), ('2024-1', 255)) AS v(version, mask),
+     (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8),
+             ('short_words', 16), ('long_words', 32), ('few_letters', 64), ('shouting', 128)) AS r(rule, bit)
+WHERE mask & bit <> 0 GROUP BY version, rule
 """

@@ -6,7 +6,7 @@ from guardspark.llm.bpe import op3_bpe
 from guardspark.llm.decontaminate import op6_decontaminate
 from guardspark.llm.hilbert_shards import op4_hilbert_shards
 from guardspark.llm.line_dedup import OP8_SQL, op8_line_dedup
-from guardspark.llm.quality_rules import OP7_SQL, op7_quality_rules
+from guardspark.llm.quality_rules import ABLATION_SQL, OP7_SQL, op7_quality_rules, quality_ablation
 from guardspark.llm.simhash import op9_simhash
 from guardspark.llm.suffix_dedup import op1_suffix_dedup
 from guardspark.llm.token_files import op2_token_files
@@ -26,8 +26,9 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
+        "quality_ablation": quality_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op7_quality_rules": OP7_SQL, "quality_ablation": ABLATION_SQL, "op8_line_dedup": OP8_SQL}
