@@ -5,6 +5,10 @@ Hilbert curve, rows are sorted by that index and cut into runs of equal count.
 Neighbours on the curve are neighbours in every dimension, so a reader's
 predicate on any of them touches few shards.
 
+``write_shards`` writes whole rows in that order, a folder for each shard, and
+the ranges of their columns beside them; ``read_between`` reads the shards whose
+range meets a predicate.
+
 Only ids, sizes, checksums and curve indexes are sorted, never texts.  The
 global rank is each range partition's offset plus the place in it; the offsets
 are one row per partition.
@@ -12,6 +16,7 @@ are one row per partition.
 Defined results: nulls take cell 0 of a dimension; equal cells are ordered by
 checksum, size and id, so equal texts that share their other metadata stand
 together; repeated rows each take a slot; an empty table gives no rows.
+Written rows that share an id, or have none, go to the least of its slots.
 """
 
 from __future__ import annotations
@@ -99,6 +104,32 @@ def hilbert_shards(df: DataFrame, cells: list[Column], ties: list[str], shards:
     return ranked.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_at", "_part", "_row", "_before", "_all", "_rank")
 
 
+def write_shards(df: DataFrame, placed: DataFrame, path: str, by: list[str], id_col: str = "doc_id") -> DataFrame:
+    """Write ``df`` in the order that ``placed`` (``id_col``, ``shard``,
+    ``slot``) gives, under ``path``/rows, and return each shard's row number
+    and least and greatest ``by``, which ``path``/ranges holds.  A shard spans
+    many tasks and files, each a run of slots."""
+    spark = df.sparkSession
+    at = placed.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct("shard", "slot")).alias("_to")).hint("merge")
+    rows = df.join(at, F.col(id_col).eqNullSafe(F.col("_id"))).select(*df.columns, F.col("_to.shard").alias("_shard"), F.col("_to.slot").alias("_slot"))
+    rows = rows.repartitionByRange(shuffle_width(spark), "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot")
+    rows.write.partitionBy("_shard").parquet(f"{path}/rows")
+    ends = [f(F.col(c)).alias(f"{name}_{c}") for c in by for name, f in (("least", F.min), ("greatest", F.max))]
+    written = spark.read.schema(df.withColumn("_shard", F.lit(0)).schema).parquet(f"{path}/rows")
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in by]
+    written.groupBy("_shard").agg(F.count(F.lit(1)).alias("rows"), *ends, *nulls).coalesce(1).write.parquet(f"{path}/ranges")
+    return spark.read.parquet(f"{path}/ranges")
+
+
+def read_between(spark, path: str, column: str, low, high) -> DataFrame:
+    """Written rows whose ``column`` lies between two values; other shards'
+    files are not opened.  The ranges have one row per shard."""
+    ranges = spark.read.parquet(f"{path}/ranges")
+    meet = ranges.where((F.col(f"least_{column}") <= F.lit(high)) & (F.col(f"greatest_{column}") >= F.lit(low))).select("_shard")
+    wanted = [r[0] for r in meet.collect()]
+    return spark.read.parquet(f"{path}/rows").where(F.col("_shard").isin(wanted) & F.col(column).between(low, high)).drop("_shard")
+
+
 def op4_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards by the law ``rows``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -121,3 +121,34 @@ def test_clashing_columns(spark):
     assert [out[i].text for i in range(4)] == ["0", "1", "2", f"{line}\n3"]
     assert {(r._id, r.kept_text, r._lines) for r in out.values()} == {("x", "y", "z")}
     assert {r._id for r in drop_shared_lines(df).collect()} == {"x"}
+
+
+def test_written_shards_are_pruned(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    twice = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    narrow = twice.select("doc_id", "lang", F.octet_length("text").alias("size"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    placed = h.hilbert_shards(narrow, [h.category_cell(F.col("lang")), h.range_cell(F.col("doc_id"), low, high)], ["size", "doc_id"], shards=16)
+    ranges = h.write_shards(twice, placed, str(tmp_path / "out"), ["doc_id", "lang"]).collect()
+    assert len(ranges) == 16 and sum(r.rows for r in ranges) == twice.count()
+    whole = spark.read.parquet(str(tmp_path / "out/rows")).drop("_shard").select(twice.columns)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, twice.collect()))
+    got = h.read_between(spark, str(tmp_path / "out"), "doc_id", low, low + (high - low) // 10)
+    want = twice.where(F.col("doc_id").between(low, low + (high - low) // 10))
+    assert sorted(map(str, got.select(twice.columns).collect())) == sorted(map(str, want.collect()))
+    # Fewer files than all, by range, in one dimension and in the other.
+    count = lambda f: len(f.inputFiles())
+    opened = got.select(F.input_file_name()).distinct().count()
+    assert opened < count(whole) / 2
+    lang = docs.first().lang
+    assert sum(r.least_lang <= lang <= r.greatest_lang for r in ranges) < 16
+
+
+def test_ablation_query_reads_the_ledger(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    ledger = quality_rules.store(docs)
+    assert "text" not in ledger.columns and {"fail_bits", "measures"} <= set(ledger.columns)
+    bits = [r.fail_bits for r in ledger.collect()]
+    for r in quality_rules.quality_ablation(spark, sf).collect():
+        own, mask = quality_rules.BIT[r.rule], quality_rules.POLICIES[r.version]
+        assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(x & own != 0 for x in bits), sum(x & mask == own for x in bits), sum(x & (mask - own) == 0 for x in bits))
