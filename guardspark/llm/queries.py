@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from guardspark.llm.bpe import op3_bpe
 from guardspark.llm.decontaminate import op6_decontaminate
+from guardspark.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from guardspark.llm.hilbert_shards import op4_hilbert_shards
 from guardspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from guardspark.llm.quality_rules import ABLATION_SQL, OP7_SQL, op7_quality_rules, quality_ablation
@@ -26,9 +27,10 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
+        "op11_exact_dedup": op11_exact_dedup,
         "quality_ablation": quality_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "quality_ablation": ABLATION_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op7_quality_rules": OP7_SQL, "quality_ablation": ABLATION_SQL, "op8_line_dedup": OP8_SQL, "op11_exact_dedup": OP11_SQL}

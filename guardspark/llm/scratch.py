@@ -33,12 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes intermediates and removes those no longer needed."""
+    """Writes intermediates and removes those no longer needed.  What is left
+    when the driver ends goes then: results may be read until there."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def table(self, df: DataFrame, name: str, arrow_rows: int | None = None, **options: str) -> DataFrame:
         """Write ``df`` and return the table read back, with ``path`` on it.
