@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from guardspark.llm.bpe import op3_bpe
+from guardspark.llm.conversation_repair import op13_conversation_repair
 from guardspark.llm.decontaminate import op6_decontaminate
 from guardspark.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from guardspark.llm.hilbert_shards import op4_hilbert_shards
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_toxicity": op10_toxicity,
         "op11_exact_dedup": op11_exact_dedup,
         "op12_source_divergence": op12_source_divergence,
+        "op13_conversation_repair": op13_conversation_repair,
         "quality_ablation": quality_ablation,
     }
 
