@@ -10,6 +10,7 @@ LAYERS = ("structural", "pattern", "semantic", "judge")
 @dataclass(frozen=True)
 class EngineConfig:
     max_input_length: int = 32_000  # code points of a text
+    regex_timeout: float = 0.05  # seconds of one rule over one text
     max_decompression_ratio: float = 10.0
     semantic_enabled: bool = False
     judge_enabled: bool = False

@@ -1,16 +1,14 @@
-"""What must hold before a pattern can match, told by its syntax tree.
+"""A look at the first character in front of a pattern.
 
 A search tries a pattern at every place of a text.  Most places fail at the
 first character, but only after word boundaries and alternatives were tried
 with Unicode rules.  ``gated`` puts a plain character class in front, which
-fails faster; ``conditions`` names tests on the whole text.  Neither changes
-what matches.
+fails faster and changes nothing in what matches.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 from re import _constants as sre
 from re import _parser
@@ -82,30 +80,6 @@ def _first(items) -> tuple[set[str] | None, bool]:
     return out, True
 
 
-def _needed(items) -> tuple[set[str], bool]:
-    """Punctuation that every match holds, and whether every match holds a
-    character beyond ASCII."""
-    marks, foreign = set(), False
-    for op, av in items:
-        if op is sre.LITERAL:
-            c = chr(av)
-            if c.isascii() and not c.isalnum() and not c.isspace():
-                marks.add(c)
-            foreign = foreign or not any(x.isascii() for x in _closure(c))
-        elif op is sre.IN:
-            found = _members(av)
-            foreign = foreign or (bool(found) and not any(x.isascii() for x in found))
-        elif op is sre.BRANCH:
-            parts = [_needed(p) for p in av[1]]
-            marks |= set.intersection(*(p[0] for p in parts))
-            foreign = foreign or all(p[1] for p in parts)
-        elif op is sre.SUBPATTERN or (op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and av[0] > 0):
-            m, f = _needed(av[3] if op is sre.SUBPATTERN else av[2])
-            marks |= m
-            foreign = foreign or f
-    return marks, foreign
-
-
 def _tree(pattern: str):
     return _parser.parse(pattern, re.IGNORECASE)
 
@@ -126,103 +100,3 @@ def gated(pattern: str) -> str:
     """The pattern behind a look at the first character."""
     first = first_class(pattern)
     return f"(?=(?-iU:{first}))(?:{pattern})" if first else pattern
-
-
-@lru_cache(None)
-def conditions(text: str, pattern: str) -> tuple[str, ...]:
-    """SQL conditions on ``text`` without which nothing can match."""
-    marks, foreign = _needed(_tree(pattern))
-    out = [f"instr({text}, '{c}') > 0" for c in sorted(marks) if c not in "'\\"]
-    return (*out, f"octet_length({text}) > char_length({text})") if foreign else tuple(out)
-
-
-#: Characters of a word that ``word_starts`` keeps.
-START = 4
-#: Letters whose lower case is not the letter that they stand for without
-#: regard to case: texts with one are not gated by words.
-ODD = "\u0130\u0131\u017f\u212a"
-
-
-def word_starts(text: str) -> str:
-    """SQL for the distinct first characters of a text's words; null where
-    they cannot tell."""
-    first = rf"(?U)\b(\w{{1,{START}}})".replace("\\", "\\\\")
-    return f"CASE WHEN NOT {text} RLIKE '[{ODD}]' THEN array_distinct(regexp_extract_all(lower({text}), '{first}', 1)) END"
-
-
-class _Unclear(Exception):
-    """The pattern's words have no bounded list of beginnings."""
-
-
-def _is_word(c: str) -> bool:
-    r"""What ``\w`` means with Unicode classes: marks belong to words."""
-    kind = unicodedata.category(c)
-    return kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or c in "\u200c\u200d"
-
-
-def _grow(state: tuple[str, bool, bool], items) -> set[tuple[str, bool, bool]]:
-    """All (beginning, behind a boundary, complete) of a sequence."""
-    states = {state}
-    for op, av in items:
-        new: set[tuple[str, bool, bool]] = set()
-        for word, bounded, complete in states:
-            if complete:
-                new.add((word, bounded, complete))
-            else:
-                new |= _one((word, bounded, complete), op, av)
-        states = new
-        if len(states) > 200:
-            raise _Unclear
-    return states
-
-
-def _one(state: tuple[str, bool, bool], op, av) -> set[tuple[str, bool, bool]]:
-    word, bounded, _ = state
-
-    def char(c: str) -> tuple[str, bool, bool]:
-        if not _is_word(c):
-            if not word:
-                raise _Unclear
-            return word, bounded, True
-        if not bounded:
-            raise _Unclear
-        longer = word + c.lower()
-        return longer, bounded, len(longer) >= START
-
-    if op is sre.LITERAL:
-        return {char(chr(av))}
-    if op is sre.IN:
-        found = set()
-        for kind, v in av:
-            if kind is sre.LITERAL:
-                found.add(char(chr(v)))
-            elif kind is sre.CATEGORY and v is sre.CATEGORY_SPACE:
-                found.add(char(" "))
-            else:
-                raise _Unclear
-        return found
-    if op is sre.BRANCH:
-        return set().union(*(_grow(state, p) for p in av[1]))
-    if op is sre.SUBPATTERN:
-        return _grow(state, av[3])
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-        low, high, inner = av
-        once = _grow(state, inner)
-        if high != 1 and not all(s[2] for s in once):
-            raise _Unclear
-        return once | ({state} if low == 0 else set())
-    if op is sre.AT and av in (sre.AT_BOUNDARY,):
-        return {(word, bounded, True)} if word else {("", True, False)}
-    raise _Unclear
-
-
-@lru_cache(None)
-def starts_of(pattern: str) -> tuple[str, ...]:
-    """Beginnings of words, one of which every match has; none if unclear."""
-    try:
-        states = _grow(("", False, False), _tree(pattern))
-    except _Unclear:
-        return ()
-    if not all(s[2] and s[0] for s in states):
-        return ()
-    return tuple(sorted({s[0] for s in states}))

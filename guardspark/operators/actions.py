@@ -31,7 +31,8 @@ def response_confidence(verdict: Column, findings: Column) -> Column:
 def sanitized_content(structural_text: Column, text: Column) -> Column:
     """The structural layer's text where it left any (unredacted), else the
     text with its personal data redacted."""
-    return F.when(F.coalesce(structural_text, F.lit("")) != "", structural_text).otherwise(redact(text))
+    left = F.when(structural_text != "", structural_text)
+    return F.coalesce(left, redact(F.when(left.isNull(), text)))
 
 
 def response(verdict: Column, findings: Column, tenant: Column, structural_text: Column, text: Column, webhook_sent: Column | None = None) -> Column:
@@ -46,7 +47,7 @@ def response(verdict: Column, findings: Column, tenant: Column, structural_text:
         lookup(verdict, ERROR, None).cast("string").alias("error"),
         lookup(verdict, MESSAGE, None).cast("string").alias("message"),
         response_confidence(verdict, findings).alias("confidence"),
-        F.when(verdict == "sanitize", sanitized_content(structural_text, text)).otherwise(none).alias("sanitized_content"),
+        F.when(verdict == "sanitize", sanitized_content(structural_text, F.when(verdict == "sanitize", text))).otherwise(none).alias("sanitized_content"),
         F.when(verdict == "rate_limit", F.lit(RETRY_AFTER)).alias("retry_after"),
         F.when(verdict == "escalate", webhook_sent if webhook_sent is not None else F.lit(False)).alias("webhook_sent"),
         headers.alias("headers"),

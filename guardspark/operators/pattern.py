@@ -1,20 +1,32 @@
-"""Pattern layer: the rule base over each text, as one projection."""
+"""Pattern layer: the rule base over each text, in one Arrow pass.
+
+An automaton tells which rules a text can match (``functions/required.py``);
+only these are searched, each for ``regex_timeout`` seconds at most, so that a
+text made to be slow costs a rule's limit and is found by its own finding.
+"""
 
 from __future__ import annotations
 
+import time
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from guardspark.config import EngineConfig
-from guardspark.functions.gates import conditions, gated, starts_of, word_starts
+from guardspark.functions.required import candidates
 from guardspark.functions.rules import RULES, Rule, language, mitigation
-from guardspark.functions.text import FLAGS
 from guardspark.schemas import FINDINGS, SEVERITY_VERDICT, strictest
 
 PII_RULES = tuple(r for r in RULES if r.category == "T-EXF")
+#: Characters of evidence on both sides of a match.
+AROUND = 20
+LIMIT = EngineConfig.regex_timeout
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
@@ -23,47 +35,83 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, rule_id string, category string, severity string, confidence double, description string, pattern string, verdict string, language string, mitigation string")
 
 
+@lru_cache(8)
+def _compiled(patterns: tuple[str, ...]) -> list[regex.Pattern]:
+    return [regex.compile(p, regex.IGNORECASE) for p in patterns]
+
+
+def _patterns(rules: Iterable[Rule], mode: str) -> tuple[str, ...]:
+    return tuple(unicodedata.normalize("NFKD", r.pattern) if mode == "fixed" else r.pattern for r in rules)
+
+
+def within(limit: float, call: Callable):
+    """``call(timeout=limit)``.  One that waited for the processor instead of
+    running is tried anew; ``TimeoutError`` for one that ran too long."""
+    for again in (True, True, True, False):
+        began = time.thread_time()
+        try:
+            return call(timeout=limit)
+        except TimeoutError:
+            if not again or time.thread_time() - began > limit / 2:
+                raise
+
+
+def search(patterns: tuple[str, ...], text: str, limit: float) -> list[tuple[int, str | None, bool]]:
+    """(rule, evidence, whether it ran too long) of one text, in rule order."""
+    out = []
+    for i in candidates(patterns)(text):
+        try:
+            if m := within(limit, lambda timeout: _compiled(patterns)[i].search(text, timeout=timeout)):
+                out.append((i, text[max(0, m.start() - AROUND) : m.end() + AROUND], False))
+        except TimeoutError:
+            out.append((i, None, True))
+    return out
+
+
+_FOUND = pa.list_(pa.struct([("rule", pa.int32()), ("evidence", pa.string()), ("late", pa.bool_())]))
+
+
+def _searcher(patterns: tuple[str, ...], limit: float):
+    @F.arrow_udf("array<struct<rule: int, evidence: string, late: boolean>>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = [None if row is None else [f for t in row if t for f in search(patterns, t, limit)] for row in texts.to_pylist()]
+        return pa.array([None if r is None else [{"rule": i, "evidence": e, "late": x} for i, e, x in r] for r in rows], _FOUND)
+
+    return found.asNondeterministic()  # a search can time out here and not there
+
+
 def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def _case(text: str, r: Rule, mode: str, starts: str | None) -> str:
-    own = unicodedata.normalize("NFKD", r.pattern) if mode == "fixed" else r.pattern
-    p = gated(own)
-    seen = _literal(f"[REDACTED:{r.rule_id}]") if r.category == "T-EXF" else evidence_sql(text, p)
-    words = starts_of(own) if starts else ()
-    begun = [f"({starts} IS NULL OR arrays_overlap({starts}, array({', '.join(map(_literal, words))})))"] if words else []
-    hit = " AND ".join([*begun, *conditions(text, own), f"{text} RLIKE {_literal(FLAGS + p)}"])
+def _finding(r: Rule) -> str:
     values = {"layer": "pattern", "rule_id": r.rule_id, "category": r.category, "severity": r.severity, "verdict": SEVERITY_VERDICT[r.severity]}
     fields = [f"'{k}', '{v}'" for k, v in values.items()]
-    fields += [f"'confidence', {r.confidence}D", f"'description', {_literal(r.description)}", f"'evidence', {seen}", f"'mitigation', {_literal(mitigation(r))}"]
-    return f"CASE WHEN {hit} THEN named_struct({', '.join(fields)}) END"
+    seen = _literal(f"[REDACTED:{r.rule_id}]") if r.category == "T-EXF" else "CAST(NULL AS STRING)"
+    return f"named_struct({', '.join(fields)}, 'confidence', {r.confidence}D, 'description', {_literal(r.description)}, 'evidence', {seen}, 'mitigation', {_literal(mitigation(r))})"
 
 
-def evidence_sql(text: str, pattern: str, around: int = 20) -> str:
-    """The first match with ``around`` code points on both sides."""
-    before = f"char_length(regexp_extract({text}, {_literal(FLAGS + '^([' + chr(92) + 's' + chr(92) + 'S]*?)(?:' + pattern + ')')}, 1))"
-    size = f"char_length(regexp_extract({text}, {_literal(FLAGS + pattern)}, 0))"
-    start = f"greatest({before} - {around}, 0)"
-    return f"substring({text}, {start} + 1, {before} + {size} + {around} - {start})"
+def timed_out(rule_id: Column) -> Column:
+    """What a search that ran too long leaves: it blocks."""
+    values = [F.lit("pattern"), F.concat(rule_id, F.lit("-TIMEOUT")), F.lit("T-NG"), F.lit("medium"), F.lit("block"), F.lit(0.5), F.concat(F.lit("Search for "), rule_id, F.lit(" gave up: the text may be made to be slow")), F.lit(None).cast("string"), F.lit("Simplify the rule or shorten its gaps")]
+    return F.struct(*(v.alias(n) for v, n in zip(values, ("layer", "rule_id", "category", "severity", "verdict", "confidence", "description", "evidence", "mitigation"), strict=True)))
 
 
-def rule_findings_sql(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat", starts: str | None = None) -> str:
-    """SQL for one finding for each rule that matches the SQL expression
-    ``text``, in rule order.  All patterns are literals: each is compiled once
-    for a task.  ``starts`` names a column of ``word_starts``: rules whose words
-    do not begin in it are not tried."""
-    return f"CAST(array_compact(array({', '.join(_case(text, r, mode, starts) for r in rules)})) AS {FINDINGS})"
+def text_findings(texts: Column, rules: Iterable[Rule] = RULES, mode: str = "compat", limit: float = LIMIT) -> Column:
+    """Findings of an array of texts: text by text, in rule order; null for null."""
+    rules = tuple(rules)
+    table = F.expr(f"array({', '.join(map(_finding, rules))})")
 
+    def whole(f: Column) -> Column:
+        r = F.element_at(table, f["rule"] + 1)
+        return F.when(f["late"], timed_out(r["rule_id"])).otherwise(r.withField("evidence", F.coalesce(r["evidence"], f["evidence"])))
 
-def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat", starts: str | None = None) -> Column:
-    return F.expr(rule_findings_sql(text, rules, mode, starts))
+    return F.transform(_searcher(_patterns(rules, mode), limit)(texts), whole).cast(FINDINGS)
 
 
-def with_findings(df: DataFrame, name: str, text: str, rules: Iterable[Rule] = RULES, mode: str = "compat") -> DataFrame:
-    """Adds the findings of a text column; its words are cut once for all rules."""
-    df = df.withColumn("_starts", F.expr(word_starts(text)))
-    return df.withColumn(name, rule_findings(text, rules, mode, "_starts")).drop("_starts")
+def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat", limit: float = LIMIT) -> Column:
+    """Findings of a text column; none for null."""
+    return text_findings(F.array(F.col(text)), rules, mode, limit)
 
 
 def with_layer(df: DataFrame, name: str, findings: str) -> DataFrame:
@@ -78,17 +126,29 @@ def layer_of(findings: Column) -> Column:
 
 
 def pattern(df: DataFrame, cfg: EngineConfig, rules: Iterable[Rule] = RULES) -> DataFrame:
-    """From ``scan_texts`` to ``pattern``: verdict and findings.  A single text
-    is scanned by itself, outside of a lambda, so that its expressions compile."""
-    df = df.withColumn("_one", F.when(F.size("scan_texts") == 1, F.col("scan_texts")[0]))
-    many = F.expr(f"flatten(transform(CASE WHEN size(scan_texts) > 1 THEN scan_texts ELSE CAST(array() AS array<string>) END, t -> {rule_findings_sql('t', rules, cfg.rules_mode)}))")
-    df = df.withColumn("_starts", F.expr(word_starts("_one")))
-    df = df.withColumn("_found", F.when(F.col("_one").isNotNull(), rule_findings("_one", rules, cfg.rules_mode, "_starts")).otherwise(many))
-    return with_layer(df, "pattern", "_found").drop("_one", "_found", "_starts")
+    """From ``scan_texts`` to ``pattern``: verdict and findings."""
+    found = text_findings(F.col("scan_texts"), rules, cfg.rules_mode, cfg.regex_timeout)
+    return with_layer(df.withColumn("_found", found), "pattern", "_found").drop("_found")
+
+
+def redacted(text: str, limit: float = LIMIT) -> str:
+    """Every match of the PII rules, one rule after the other.  What can't be
+    searched within the limit goes as a whole."""
+    patterns = _patterns(PII_RULES, "compat")
+    for i in candidates(patterns)(text):
+        mark = f"[REDACTED:{PII_RULES[i].rule_id}"
+        try:
+            text = within(limit, lambda timeout: _compiled(patterns)[i].sub(mark + "]", text, timeout=timeout))
+        except TimeoutError:
+            return mark + "-TIMEOUT]"
+    return text
+
+
+@F.arrow_udf(StringType())
+def _redacted(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else redacted(t) for t in texts.to_pylist()], pa.string())
 
 
 def redact(text: Column) -> Column:
-    """Every match of the PII rules, one rule after the other."""
-    for r in PII_RULES:
-        text = F.regexp_replace(text, FLAGS + gated(r.pattern), f"[REDACTED:{r.rule_id}]")
-    return text
+    """``redacted`` as a column."""
+    return _redacted.asNondeterministic()(text)

@@ -20,7 +20,7 @@ from guardspark.functions.text import pii_token, tokenize_metadata
 from guardspark.operators import corpus, judge, ratelimit, semantic
 from guardspark.operators import hybrid as hy
 from guardspark.operators.embed import embed
-from guardspark.operators.pattern import PII_RULES, layer_of, redact, rule_findings, rules_table, with_findings
+from guardspark.operators.pattern import PII_RULES, layer_of, redact, rule_findings, rules_table
 from guardspark.operators.structural import HEX, ROLE, ROT13
 from guardspark.plans import soc
 from guardspark.plans.registry import Registry
@@ -177,7 +177,7 @@ def _rule_hits(category: str):
     rules = tuple(r for r in RULES if r.category == category)
 
     def run(spark, sf_dir):
-        found = with_findings(prompts(spark, sf_dir), "found", "t", rules).select("doc_id", F.explode_outer("found").alias("f")).where("f IS NOT NULL")  # no filter on the findings is inferred
+        found = prompts(spark, sf_dir).select("doc_id", rule_findings("t", rules).alias("found")).select("doc_id", F.explode("found").alias("f"))
         return found.select("doc_id", "f.rule_id", "f.verdict", "f.confidence")
 
     run.__doc__ = f"Findings of the {category} rules."
@@ -198,10 +198,26 @@ def rule_hits_all(spark, sf_dir):
     docs = _spread(_read(spark, sf_dir, "documents")).select("doc_id", "text", F.pmod("doc_id", F.lit(len(CASES))).cast("int").alias("k")).join(F.broadcast(cases), "k")  # one row per rule
     df = docs.withColumns({"whole": F.concat_ws("\n", F.coalesce("text", F.lit("")), "hit"), "plain": nfkd(F.array("hit"))[0]})
     for name, text, mode in (("found", "whole", "compat"), ("found_in_near_miss", "miss", "compat"), ("found_decomposed", "plain", "compat"), ("found_by_decomposed", "plain", "fixed")):
-        df = with_findings(df, name, text, RULES, mode).withColumn(name, F.exists(name, lambda f: f["rule_id"] == F.col("rule_id")))
+        df = df.withColumn(name, rule_findings(text, RULES, mode)).withColumn(name, F.exists(name, lambda f: f["rule_id"] == F.col("rule_id")))
     return df.select("doc_id", "rule_id", "found", "found_in_near_miss", "found_decomposed", "found_by_decomposed")
 
 
+#: Words without which a ruler is only slow to search.
+_CLOSING = "system|instruction|admin|override|ignore"
+_RULER = 20_000
+
+
+@query(f"WITH p AS (SELECT doc_id, regexp_replace({ASCII_SQL}, '{_CLOSING}', 'word', 'gi') || chr(10) || repeat(substring('=-~', (doc_id % 3 + 1)::INT, 1), {_RULER}) || CASE WHEN doc_id % 2 = 0 THEN ' system' ELSE '' END AS t FROM documents) SELECT doc_id, " + ", ".join(f"regexp_matches(t, {_q(_re2(r))}, 'i') AS {name}" for name, r in (("ruler", RULES[3]), ("marker", RULES[14]))) + ", false AS gave_up FROM p")
+def hostile_rulers(spark, sf_dir):
+    """Long rulers behind every document, which a plain search takes hours for:
+    found where a closing word follows, else passed over, and never given up."""
+    text = F.regexp_replace(_ascii(F.col("text")), f"(?i){_CLOSING}", "word")
+    ruler = F.repeat(F.element_at(F.array(*map(F.lit, "=-~")), F.pmod("doc_id", F.lit(3)).cast("int") + 1), F.lit(_RULER))
+    docs = _spread(_read(spark, sf_dir, "documents")).select("doc_id", F.concat(text, F.lit("\n"), ruler, F.when(F.col("doc_id") % 2 == 0, " system").otherwise("")).alias("t"))
+    found = docs.select("doc_id", F.transform(rule_findings("t", (RULES[3], RULES[14])), lambda f: f["rule_id"]).alias("ids"))
+    return found.select("doc_id", F.array_contains("ids", RULES[3].rule_id).alias("ruler"), F.array_contains("ids", RULES[14].rule_id).alias("marker"), F.exists("ids", lambda r: r.endswith("-TIMEOUT")).alias("gave_up"))
+
+
 _INDIRECT = tuple(r for r in RULES if r.category == "T-PI-I")
 
 

@@ -107,8 +107,8 @@ def scan_outputs(outputs: DataFrame, cfg: EngineConfig, text_col: str = "output"
     """Model outputs with ``findings``, ``verdict``, ``reason``, ``confidence``,
     ``redacted_output`` and ``canary_leaked``: personal data and secrets only,
     on the text as it is."""
-    df = outputs.withColumn("findings", rule_findings(text_col, PII_RULES))  # none of them begins with a word
+    df = outputs.withColumn("findings", rule_findings(text_col, PII_RULES, limit=cfg.regex_timeout))
     df = df.withColumn("verdict", layer_of(F.col("findings"))["verdict"])
-    clean = F.when(F.col("verdict") == "sanitize", redact(F.col(text_col))).otherwise(F.col(text_col))
+    df = df.withColumn("_clean", redact(F.when(F.col("verdict") == "sanitize", F.col(text_col))))
     reason = F.format_string("Strictest verdict: %s from pattern layer. All: [pattern=%s]", F.col("verdict"), F.col("verdict"))
-    return df.withColumns({"confidence": response_confidence(F.col("verdict"), F.col("findings")), "reason": reason, "redacted_output": clean, "canary_leaked": F.lit(False)})
+    return df.withColumns({"confidence": response_confidence(F.col("verdict"), F.col("findings")), "reason": reason, "redacted_output": F.coalesce("_clean", text_col), "canary_leaked": F.lit(False)}).drop("_clean")

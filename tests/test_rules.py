@@ -1,12 +1,17 @@
 import random
+import sys
+import time
 
 import pytest
 import regex
 
 from guardspark.config import EngineConfig
+from guardspark.functions import required
 from guardspark.functions.rules import RULES, mitigation
+from guardspark.operators import pattern
 from guardspark.operators.pattern import PII_RULES, redact, rule_findings, rules_table
 from guardspark.plans.queries import TRIGGERS
+from guardspark.plans.rule_cases import CASES
 from guardspark.schemas import SEVERITY_VERDICT
 from pyspark.sql import functions as F
 
@@ -71,3 +76,81 @@ def test_config_is_checked():
         EngineConfig(pattern_weight=0.9)
     with pytest.raises(ValueError):
         EngineConfig(rules_mode="other")
+
+
+PATTERNS = tuple(r.pattern for r in RULES)
+COMPILED = [regex.compile(p, regex.I) for p in PATTERNS]
+
+
+def test_letters_of_clauses_stand_for_all_their_cases():
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    clauses = [c for p in PATTERNS for c in required.clauses_of(p)]
+    assert all(required.clauses_of(p) for p in PATTERNS)
+    for c in {c for x in clauses for s in x if s != required.DIGIT for c in s}:
+        if c.isalpha():
+            assert {required._one(o) for o in regex.findall(regex.escape(c), every, regex.I)} == {c}
+    assert not set(regex.findall(r"\s", every)) - {c for c in every if c.isspace()}
+
+
+def test_candidates_hold_every_match():
+    """Cases changed at random: a rule that matches is a candidate."""
+    rng, seen = random.Random(7), required.candidates(PATTERNS)
+    odd = {"i": "\u0130\u0131I", "s": "\u017fS", "k": "\u212aK", " ": "\u00a0\n\t\u3000 \u2028", "o": "O", "e": "E", "в": "В\u1c80"}
+    found = 0
+    for _ in range(12):
+        for rule, hit, *_ in CASES:
+            chars = list(rng.choice(CASES)[1] + rng.choice(["", " ", "\n"]) + hit + rng.choice(["", ".", " x", "\n\n"]))
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(chars))
+                chars[i] = rng.choice([chars[i] * 2, "", chars[i].upper(), chars[i].lower(), *odd.get(chars[i].lower(), "x"), chars[i] + " "])
+            text = "".join(chars)
+            matches = {i for i, c in enumerate(COMPILED) if c.search(text)}
+            found += len(matches)
+            assert matches <= set(seen(text)), text
+    assert found > 1000
+
+
+def test_long_runs_end_soon():
+    """Runs of every character of each case, alone and within the case."""
+    pattern.search(PATTERNS, "first", 0.05)
+    for rule, hit, *_ in CASES:
+        for c in sorted(set(hit)):
+            for text in (c * 32_000, c * 16_000 + hit[1:], hit[: len(hit) // 2] + c * 16_000 + hit[len(hit) // 2 :]):
+                began = time.thread_time()
+                pattern.search(PATTERNS, text, 0.05)
+                assert time.thread_time() - began < 1, (rule, c)
+
+
+def test_a_search_that_gives_up_blocks(spark):
+    slow = "=" * 20_000 + " systems"  # no closing word: a search would take hours
+    texts = ["before", None, slow, "mail a.b@example.org"]
+    began = time.time()
+    got = {r.i: r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rule_findings("t").alias("f")).collect()}
+    assert time.time() - began < 20
+    assert [len(got[i]) for i in range(4)] == [0, 0, 1, 1]
+    f = got[2][0]
+    assert (f.rule_id, f.category, f.severity, f.verdict, f.confidence, f.evidence) == ("PI-D-004-TIMEOUT", "T-NG", "medium", "block", 0.5, None)
+    assert pattern.redacted("a@b.cc " * 3) == "[REDACTED:EXF-001] " * 3
+
+
+def test_waiting_for_the_processor_is_no_timeout():
+    calls = []
+
+    def waits(timeout):
+        calls.append(timeout)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "found"
+
+    def runs(timeout):
+        calls.append(timeout)
+        until = time.thread_time() + timeout
+        while time.thread_time() < until:
+            pass
+        raise TimeoutError
+
+    assert pattern.within(0.01, waits) == "found" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(TimeoutError):
+        pattern.within(0.01, runs)
+    assert len(calls) == 1
