@@ -29,6 +29,23 @@ STEP = 256
 CATEGORIES = ("T-PI-D", "T-PI-I", "T-JB", "T-EXT", "T-EXF", "T-TOOL", "T-AGT", "T-ENC", "T-DOS", "T-OUT", "T-MEM", "T-CASC", "T-NG")
 
 
+def _finite(v: Column) -> Column:
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def sound(vector: Column, width: int) -> Column:
+    """Whether a vector has so many numbers, all of them finite; false for null."""
+    return F.coalesce((F.size(vector) == width) & _finite(vector), F.lit(False))
+
+
+def corpus_width(corpus: DataFrame) -> int | None:
+    """The width of a corpus's vectors.  None if it can't be searched: it has
+    none, they differ in width, or some number is missing or not finite."""
+    v = F.col("embedding")
+    n, least, most, good = corpus.where(v.isNotNull()).agg(F.count(F.lit(1)), F.min(F.size(v)), F.max(F.size(v)), F.count_if(_finite(v))).first()
+    return most if n and least == most and good == n and most else None
+
+
 def _blocks(df: DataFrame, id_col: str, parts: int) -> DataFrame:
     """``part``, ``ids``, ``width`` and ``data``: blocks of the rows that have
     a vector, numbered round and round from 0 to ``parts`` - 1."""
@@ -84,13 +101,16 @@ def top_matches(queries: DataFrame, corpus: DataFrame, id_col: str, threshold: f
     """``id_col``, ``rank``, ``index`` and ``similarity`` of at most ``k``
     corpus vectors with a similarity from ``threshold`` on; ties go to the
     larger index, null indices stay.  ``few`` names the smaller side, "corpus"
-    or "queries".  Rows without a vector match nothing; queries with one id
-    share their matches."""
+    or "queries".  Rows without a vector, of another width than the corpus's
+    widest, or with a number that is missing or not finite match nothing;
+    queries with one id share their matches."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     small = corpus if few == "corpus" else queries
-    n, width = small.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
-    parts = max(1, -(-n * max(width or 1, 1) // BLOCK))
+    width = corpus.agg(F.max(F.size("embedding"))).first()[0] or 1
+    queries, corpus = (df.where(sound(F.col("embedding"), width)) for df in (queries, corpus))
+    n = (corpus if few == "corpus" else queries).agg(F.count("embedding")).first()[0]
+    parts = max(1, -(-n * width // BLOCK))
     q, c = (_blocks(df, i, parts) for df, i in ((queries, id_col), (corpus.select(F.col("index").cast("long").alias("index"), "embedding"), "index")))
     q = q.select("part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     if parts == 1:  # at most one block of the small side for each of its partitions, ``BLOCK`` numbers in all
@@ -127,13 +147,21 @@ def failed(rule_id: str, said: str, advice: str) -> Column:
     return F.struct(F.lit("block").alias("verdict"), F.array(f).alias("findings"))
 
 
-def embedding_failed() -> Column:
-    return failed("SEM-EMB-001", "Embedding computation failed: no embedding", "Check the embedder and its model")
+def embedding_failed(said: str = "no embedding") -> Column:
+    return failed("SEM-EMB-001", f"Embedding computation failed: {said}", "Check the embedder and its model")
+
+
+def corpus_failed(said: str = "the corpus has no vectors, or some that are broken") -> Column:
+    """For a search that can't be made: nothing could be found by it."""
+    return failed("SEM-CORP-001", f"Corpus search failed: {said}", "Check the corpus table and the embedder's width")
 
 
-def corpus_failed() -> Column:
-    """For a corpus that is empty: nothing could be found in it."""
-    return failed("SEM-CORP-001", "Corpus search failed: the corpus has no vectors", "Check the corpus table")
+def closed_errors(embedding: Column, width: int | None) -> Column:
+    """What a text's vector makes of the layer before any search; null if it
+    can be searched for."""
+    empty = F.when(F.lit(width is None), corpus_failed())
+    misfit = F.when(F.size(embedding) != F.lit(width), corpus_failed("the vector has another width than the corpus"))
+    return F.when(embedding.isNull(), embedding_failed()).when(~F.coalesce(_finite(embedding), F.lit(False)), embedding_failed("a number is missing or not finite")).otherwise(F.coalesce(empty, misfit))
 
 
 def not_started() -> Column:
@@ -147,13 +175,15 @@ def row_key(*columns: str) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit("second"), *columns)))
 
 
-def semantic(df: DataFrame, corpus: DataFrame, cfg: EngineConfig, id_col: str = "request_id", few: str = "corpus") -> DataFrame:
+def semantic(df: DataFrame, corpus: DataFrame, cfg: EngineConfig, id_col: str = "request_id", few: str = "corpus", index=None) -> DataFrame:
     """From ``embedding`` to ``semantic``: verdict and findings by rank.  Rows
-    that a layer before has blocked are not searched."""
+    that a layer before has blocked are not searched.  ``index``, a
+    ``VectorIndex`` of the corpus, is searched instead of the whole corpus."""
     df = df if "_row" in df.columns else df.withColumn("_row", row_key(id_col, "embedding"))
     open_ = df.where(F.col("run_semantic")) if "run_semantic" in df.columns else df
     open_ = open_.select("_row", "embedding").dropDuplicates(["_row"])
-    found = top_matches(open_, corpus, "_row", min(cfg.similarity_threshold, cfg.similarity_floor), cfg.top_k, few)
+    from_ = min(cfg.similarity_threshold, cfg.similarity_floor)
+    found = index.search(open_, "_row", from_, cfg.top_k) if index is not None else top_matches(open_, corpus, "_row", from_, cfg.top_k, few)
     info = corpus.select(F.col("index").cast("long").alias("index"), "text", F.coalesce("category", F.lit("unknown")).alias("category"), "severity", "source").dropDuplicates(["index"])
     found = found.join(info, "index", "left")
     category = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("T-PI-D")

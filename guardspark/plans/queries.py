@@ -7,10 +7,12 @@ beyond ASCII replaced by spaces, on both sides.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from guardspark.config import EngineConfig
@@ -20,6 +22,7 @@ from guardspark.functions.text import pii_token, tokenize_metadata
 from guardspark.operators import corpus, judge, ratelimit, semantic
 from guardspark.operators import hybrid as hy
 from guardspark.operators.embed import embed
+from guardspark.operators.index import build_index
 from guardspark.operators.pattern import PII_RULES, layer_of, redact, rule_findings, rules_table
 from guardspark.operators.structural import HEX, ROLE, ROT13
 from guardspark.plans import soc
@@ -46,6 +49,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the one that the cluster shares, gone when the
+    driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = tempfile.gettempdir()
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def _released(result: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """``result`` as a written table, so that what it was made of can go."""
+    spark, path = result.sparkSession, scratch_folder(result.sparkSession, "result")
+    result.write.parquet(path)
+    for df in held:
+        df.unpersist()
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than cores is dealt out over all cores; a larger
     one stays as the reader split it."""
@@ -400,6 +426,41 @@ def knn_topk(spark, sf_dir):
     return found.select("vec_id", "rank", "index", F.round("similarity", 6).alias("similarity"))
 
 
+@query(_SAME + " SELECT vec_id, (row_number() OVER w)::INTEGER AS rank, index::BIGINT AS index, round(sim, 6) AS similarity FROM s WHERE sim >= 0.25 WINDOW w AS (PARTITION BY vec_id ORDER BY sim DESC, index DESC) QUALIFY row_number() OVER w <= 3")
+def knn_indexed(spark, sf_dir):
+    """``knn_topk`` by inverted lists: the same rows."""
+    q, ref = _vectors(spark, sf_dir)
+    found = build_index(ref, scratch_folder(spark, "vectors"), 32).search(q, "vec_id", 0.25, 3)
+    return found.select("vec_id", "rank", "index", F.round("similarity", 6).alias("similarity"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("WITH t AS (SELECT doc_id, lower(" + ASCII_SQL + ") AS t FROM documents), n AS (SELECT doc_id, [" + ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in _LETTERS) + "] AS n FROM t), v AS (SELECT doc_id, list_transform(n, lambda x: (x / greatest(sqrt(list_sum(list_transform(n, lambda y: y * y))::DOUBLE), 1))::FLOAT) AS v FROM n), s AS (SELECT q.doc_id, c.doc_id AS index, round(list_sum(list_transform(range(1, 27), lambda i: q.v[i]::DOUBLE * c.v[i]::DOUBLE)), 9) AS sim FROM v q, v c WHERE q.doc_id % 20 = 0 AND q.doc_id <> c.doc_id) SELECT doc_id, (row_number() OVER w)::INTEGER AS rank, index::BIGINT AS index, round(sim, 6) AS similarity FROM s WHERE sim >= 0.999 WINDOW w AS (PARTITION BY doc_id ORDER BY sim DESC, index DESC) QUALIFY row_number() OVER w <= 3")
+def letters_nearest(spark, sf_dir):
+    """For every twentieth document the three others with the most similar
+    share of letters, by inverted lists, most of which are skipped."""
+    v = letter_vectors(_read(spark, sf_dir, "documents"))
+    found = build_index(v.withColumnRenamed("doc_id", "index"), scratch_folder(spark, "letters"), 64).search(v.where("doc_id % 20 = 0"), "doc_id", 0.999, 4)
+    found = found.where("doc_id <> index").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))).where("rank <= 3")
+    return found.select("doc_id", "rank", "index", F.round("similarity", 6).alias("similarity"))
+
+
+class _Letters:
+    """A model of one vector a text: how often it has each letter."""
+
+    def vectors(self, texts: list[str], max_tokens: int):
+        counts = np.array([[t.lower().count(c) for c in _LETTERS] for t in texts], dtype=np.float64)
+        return counts[:, None, :], np.ones((len(texts), 1))
+
+
+def letter_vectors(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``embedding``: counts of 26 letters, of length one."""
+    text = F.concat(_ascii(F.col("text")), F.lit(" "))
+    return embed(docs.select("doc_id", text.alias("raw_text")), _Letters()).select("doc_id", "embedding")
+
+
 @query(_TURNED + " SELECT vec_id, round(max(sim), 6) AS max_similarity FROM s GROUP BY vec_id")
 def max_similarity(spark, sf_dir):
     """The best similarity of each query."""
@@ -424,17 +485,21 @@ def corpus_categories(spark, sf_dir):
     return semantic.category_distribution(_vectors(spark, sf_dir)[1])
 
 
-@query(_TURNED + ", m AS (SELECT vec_id, max(sim) AS m FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN vec_id % 60 = 0 OR m >= 0.35 THEN 'block' WHEN m >= 0.3 THEN 'escalate' ELSE 'allow' END AS verdict, CASE WHEN vec_id % 60 = 0 THEN 'SEM-EMB-001' WHEN m >= 0.3 THEN 'SEM-001' END AS first_rule, 1::BIGINT AS n_rows FROM m")
+@query(_TURNED + ", m AS (SELECT vec_id, max(sim) AS m, (vec_id // 20) % 6 AS k FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN k < 4 OR m >= 0.35 THEN 'block' WHEN m >= 0.3 THEN 'escalate' ELSE 'allow' END AS verdict, CASE WHEN k = 1 THEN 'SEM-CORP-001' WHEN k < 4 THEN 'SEM-EMB-001' WHEN m >= 0.3 THEN 'SEM-001' END AS first_rule, 1::BIGINT AS n_rows FROM m")
 def semantic_errors(spark, sf_dir):
-    """Requests of which many share an id, some have none, and every third has
-    a text and no embedding, which blocks: one row in, one row out."""
+    """Requests of which many share an id, some have none, and four of six have
+    a text and a vector that can't be searched for (none, a short one, one with
+    NaN, one with a gap), which blocks: one row in, one row out."""
     q, ref = _vectors(spark, sf_dir, True)
-    at = F.col("vec_id")
-    rows = q.withColumns({"embedding": F.when(at % 60 != 0, F.col("embedding")), "request_id": F.when(at % 100 != 0, F.concat(F.lit("r"), (at % 3).cast("string")))})
+    at, v = F.col("vec_id"), F.col("embedding")
+    kind, rest = (at / 20).cast("long") % 6, F.slice(v, 2, 10_000)
+    vector = F.when(kind == 1, rest).when(kind == 2, F.concat(F.array(F.lit("NaN").cast("float")), rest)).when(kind == 3, F.concat(F.array(F.lit(None).cast("float")), rest)).when(kind > 3, v)
+    rows = q.withColumns({"embedding": vector, "request_id": F.when(at % 100 != 0, F.concat(F.lit("r"), (at % 3).cast("string")))})
     cfg = EngineConfig(semantic_enabled=True, similarity_threshold=0.35, similarity_floor=0.30)
-    out = screen(_as_requests(rows, prompt=F.concat(F.lit("item "), at.cast("string"))), cfg, ref)
+    held: list[DataFrame] = []
+    out = screen(_as_requests(rows, prompt=F.concat(F.lit("item "), at.cast("string"))), cfg, ref, held=held)
     out = out.groupBy("vec_id").agg(F.first("verdict").alias("verdict"), F.first(F.get("semantic.findings", F.lit(0))["rule_id"]).alias("first_rule"), F.count(F.lit(1)).alias("n_rows"))
-    return out.select("vec_id", "verdict", "first_rule", "n_rows")
+    return _released(out.select("vec_id", "verdict", "first_rule", "n_rows"), held)
 
 
 @query(f"SELECT doc_id, CASE WHEN contains({ASCII_SQL}, '#') THEN 'block' WHEN length({ASCII_SQL}) > 2000 THEN 'sanitize' ELSE 'allow' END AS verdict, CASE WHEN contains({ASCII_SQL}, '#') THEN 'structural' WHEN length({ASCII_SQL}) > 2000 THEN 'pattern' ELSE 'structural' END AS layer, contains({ASCII_SQL}, '#') AS failed, CASE WHEN contains({ASCII_SQL}, '#') THEN 1 ELSE 2 END AS n_layers FROM documents")

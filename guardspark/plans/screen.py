@@ -16,9 +16,10 @@ from guardspark.config import LAYERS, EngineConfig
 from guardspark.functions.text import action_text, raw_text, texts_to_scan
 from guardspark.operators.actions import response, response_confidence
 from guardspark.operators.hybrid import arbitrate, hybrid_finding, with_hybrid
+from guardspark.operators.index import VectorIndex
 from guardspark.operators.judge import JudgeClient, ask, gate, judge_layer
 from guardspark.operators.pattern import PII_RULES, layer_of, pattern, redact, rule_findings, with_layer
-from guardspark.operators.semantic import corpus_failed, embedding_failed, not_started, row_key, semantic
+from guardspark.operators.semantic import closed_errors, corpus_width, not_started, row_key, semantic
 from guardspark.operators.structural import structural
 from guardspark.schemas import no_findings
 
@@ -37,14 +38,16 @@ def _stopped(layers: list[str], cfg: EngineConfig) -> Column:
     return out & cfg.fail_closed
 
 
-def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = None, client: JudgeClient | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = None, client: JudgeClient | None = None, held: list[DataFrame] | None = None, index: VectorIndex | None = None) -> DataFrame:
     """Requests with ``verdict``, ``layer``, ``reason``, ``findings``,
     ``confidence``, ``layers_used`` and ``response``, and one struct for each
     layer, null where it did not run.  With a corpus requests need an
     ``embedding``; the layers before the search are then persisted (spilling to
     disk), so this form is for batches; ``held`` collects what is persisted, for
     the caller to let go.  A request that wants the semantic layer is blocked if
-    there is no corpus, if the corpus is empty, or if its text has no embedding.
+    there is no corpus, if the corpus is empty or broken, or if its text has no
+    embedding, one of another width than the corpus, or one with a number that
+    is missing or not finite.  ``index`` is searched instead of the corpus.
     Requests may share an id or have none."""
     held = held if held is not None else []
     df = requests.withColumns({"texts": texts_to_scan(F.col("messages"), F.col("prompt")), "raw_text": raw_text(F.col("messages"), F.col("prompt"))})
@@ -62,13 +65,14 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
         # The search and the rows it joins both start here: the layers so far are computed once.
         df = df.withColumn("_row", row_key("request_id", "raw_text", "embedding")).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(df)
-        empty = corpus.where(F.col("embedding").isNotNull()).isEmpty()
+        width = corpus_width(corpus)
         df = df.withColumn("_judged", F.col("_row")).withColumn("ran_semantic", _wanted("semantic", cfg) & ~_stopped(layers, cfg))
-        df = df.withColumn("run_semantic", F.col("ran_semantic") & F.col("embedding").isNotNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False)))
-        df = semantic(df, corpus, cfg)
-        # A text that could not be embedded is not searched: that blocks.
-        lost = (F.col("raw_text") != "") & F.col("embedding").isNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False))
-        df = df.withColumn("semantic", F.when(F.col("ran_semantic"), F.when(lost, embedding_failed()).when(F.lit(empty) & F.col("run_semantic"), corpus_failed()).otherwise(F.col("semantic")))).drop("run_semantic", "ran_semantic")
+        # A text that can't be searched for blocks, unless it is blocked or empty.
+        wants = F.col("ran_semantic") & (F.col("raw_text") != "") & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False))
+        df = df.withColumn("_broken", F.when(wants, closed_errors(F.col("embedding"), width)))
+        df = df.withColumn("run_semantic", F.col("ran_semantic") & F.col("embedding").isNotNull() & F.col("_broken").isNull() & ~F.coalesce(F.col("pattern")["verdict"] == "block", F.lit(False)))
+        df = semantic(df, corpus, cfg, index=index)
+        df = df.withColumn("semantic", F.when(F.col("ran_semantic"), F.coalesce("_broken", "semantic"))).drop("run_semantic", "ran_semantic", "_broken")
         layers.append("semantic")
         any_ = F.lit(0)
         for n in layers:
