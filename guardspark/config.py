@@ -27,6 +27,7 @@ class EngineConfig:
     judge_high: float = 0.70
     judge_chars: int = 2000
     judge_timeout: float = 5.0  # seconds of a call
+    judge_calls: int = 1  # calls that a task makes at once
     audit_enabled: bool = True
     retention_days: int = 30
     tokenize_pii: bool = True
@@ -39,6 +40,8 @@ class EngineConfig:
             raise ValueError("the weights must sum to 1")
         if self.rules_mode not in ("compat", "fixed"):
             raise ValueError(f"unknown rules_mode {self.rules_mode!r}")
+        if self.judge_calls < 1 or self.judge_timeout <= 0 or self.regex_timeout <= 0:
+            raise ValueError("calls and time limits must be positive")
         if self.requests_per_minute < 1 or self.window_seconds < 1:
             raise ValueError("limits must be positive")
 

@@ -26,14 +26,30 @@ def nfkd(texts: Column) -> Column:
     return F.coalesce(_nfkd(F.when(foreign, texts)), texts)
 
 
+#: What a stream may grow to is not more than this many times its length.
+MOST_RATIO = 1000
+STEP = 1 << 20
+
+
 def _ratio(text: str | None) -> float | None:
+    """How much longer a whole zlib stream is once inflated; null for anything
+    else.  Inflated in steps, of which only the length is kept, and not beyond
+    ``MOST_RATIO``, where a bomb counts as that long."""
     if not text:
         return None
     data = text.encode()
+    stream, rest, size = zlib.decompressobj(), data, 0
     try:
-        return len(zlib.decompress(data)) / len(data)
+        while not stream.eof:
+            part = stream.decompress(rest, STEP)
+            size, rest = size + len(part), stream.unconsumed_tail
+            if size >= MOST_RATIO * len(data):
+                return float(MOST_RATIO)
+            if not part and not rest:
+                return None  # it broke off
     except zlib.error:
         return None
+    return size / len(data)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

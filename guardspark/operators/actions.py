@@ -11,10 +11,10 @@ from guardspark.schemas import lookup
 STATUS = {"allow": 200, "block": 403, "sanitize": 200, "escalate": 202, "quarantine": 202, "rate_limit": 429}
 ERROR = {"block": "request_blocked", "rate_limit": "rate_limited"}
 MESSAGE = {
-    "block": "Request blocked by the firewall",
-    "escalate": "Request escalated to human review",
-    "quarantine": "Request quarantined for review. Tenant flagged.",
-    "rate_limit": "Request rate limited due to suspicious activity",
+    "block": "Not let through",
+    "escalate": "Handed to a person to decide",
+    "quarantine": "Held back until someone has looked at it; its tenant is marked",
+    "rate_limit": "Too many requests that look suspicious",
 }
 RETRY_AFTER = 60
 

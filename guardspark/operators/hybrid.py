@@ -81,5 +81,15 @@ def arbitrate(layers: dict[str, Column], hybrid_: Column, cfg: EngineConfig) ->
     more = F.when(hybrid_.isNotNull(), F.format_string(" | Hybrid: composite=%.3f->%s", hybrid_["composite"], hybrid_["verdict"])).otherwise("")
     reason = F.concat(F.lit("Strictest verdict: "), verdict, F.lit(" from "), winner, F.lit(" layer. All: ["), seen, F.lit("]"), more)
     nothing = top < 0
-    closed = ("block", "No scanners executed; fail-closed default") if cfg.fail_closed else ("allow", "No scanners executed; fail-open default")
-    return F.when(nothing, closed[0]).otherwise(verdict), winner, F.when(nothing, closed[1]).otherwise(reason)
+    default = nothing_ran(cfg)
+    return F.when(nothing, default[0]).otherwise(verdict), winner, F.when(nothing, default[1]).otherwise(reason)
+
+
+# The reasons where no layer ran.
+FAIL_CLOSED = "No scanners executed; fail-closed default"
+FAIL_OPEN = "No scanners executed; fail-open default"
+
+
+def nothing_ran(cfg: EngineConfig) -> tuple[str, str]:
+    """Verdict and reason where no layer ran."""
+    return ("block", FAIL_CLOSED) if cfg.fail_closed else ("allow", FAIL_OPEN)

@@ -6,12 +6,16 @@ Parsing of its replies and the circuit breaker are plain expressions and folds.
 
 from __future__ import annotations
 
+import copy
 import json
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,37 +108,118 @@ def judge_layer(content: Column, error: Column) -> Column:
     return F.when(error == "skipped", skipped).when(error == "timeout", failed("JUDGE-TIMEOUT", "The judge did not answer in time")).when(error.isNotNull(), failed("JUDGE-ERR", error)).when(r.isNull(), failed("JUDGE-PARSE", "The judge's answer is no JSON")).otherwise(F.struct(r["verdict"].alias("verdict"), found.alias("findings")))
 
 
-def ask(gated: DataFrame, client: JudgeClient, cfg: EngineConfig, id_col: str = "request_id", text_col: str = "raw_text", clock: Callable[[], float] = time.monotonic) -> DataFrame:
-    """``id_col``, ``content`` and ``error`` for every row.  Each task has a
-    circuit breaker of its own: while it is open rows are not asked and get the
-    error ``skipped``.  A reply that does not parse counts as a failed call, as
-    timeouts and errors do.  A call that takes longer than
-    ``judge_timeout`` counts as timed out, even if its client still answers."""
+class SharedBreaker:
+    """The breaker of a stream, on the driver: what it learnt from one
+    micro-batch holds in the next.  Tasks start from its state; ``settle``
+    learns from the answers of a batch, of which only three numbers come back.
+    ``clock`` tells the driver's time in seconds."""
+
+    def __init__(self, failures: int = FAILURES_TO_OPEN, wait: float = OPEN_SECONDS, clock: Callable[[], float] = time.time):
+        self.breaker, self.clock, self.answers = Breaker(failures, wait), clock, []
+
+    def state(self) -> str:
+        return self.breaker.state(self.clock())
+
+    def settle(self) -> None:
+        """Learn from the answers that the batch's plan has persisted."""
+        for answers in self.answers:
+            ok, at = F.col("ok"), F.col("at")
+            last = answers.where(ok).agg(F.max("at")).first()[0]
+            later = answers.where(~ok & ((at > last) if last is not None else F.lit(True)))
+            failed, when = later.agg(F.count(F.lit(1)), F.max("at")).first()
+            b = self.breaker
+            if last is not None:
+                b.record(last, True)
+            b.failed += failed
+            if failed and b.failed >= b.failures:
+                b.open_at = when
+        self.answers = []
+
+
+def _called(client: JudgeClient, text: str, seconds: float) -> Callable[[], tuple[str | None, str | None]]:
+    """Starts a call; the function waits for it until its time is over.  A
+    thread whose call hangs is left behind and ends with its worker."""
+    done: queue.Queue = queue.Queue(1)
+
+    def work() -> None:
+        try:
+            done.put((client.ask(text), None))
+        except TimeoutError:
+            done.put((None, "timeout"))
+        except Exception as e:  # a failed call never loses the row
+            done.put((None, f"{type(e).__name__}: {e}"))
+
+    until = time.monotonic() + seconds
+    threading.Thread(target=work, daemon=True).start()
+
+    def wait() -> tuple[str | None, str | None]:
+        try:
+            return done.get(timeout=max(0.0, until - time.monotonic()))
+        except queue.Empty:
+            return None, "timeout"
+
+    return wait
+
+
+ANSWERS = "content string, error string, ok boolean, at double, ms double"
+
+
+def ask(gated: DataFrame, client: JudgeClient, cfg: EngineConfig, id_col: str = "request_id", text_col: str = "raw_text", shared: SharedBreaker | None = None) -> DataFrame:
+    """``id_col``, ``content`` and ``error`` for every row, with ``ok``, the
+    time ``at`` its call ended and the ``ms`` it took (null for rows that were
+    not asked).  A task makes ``judge_calls`` calls at once, each of which is
+    broken off after ``judge_timeout`` seconds.  A reply that does not parse
+    counts as a failed call, as timeouts and errors do; after three in a row
+    the task's circuit breaker, which starts as ``shared`` stands, opens: rows
+    are not asked and get the error ``skipped``."""
     kind, limit = gated.schema[id_col].dataType.simpleString(), cfg.judge_chars
+    start = shared.breaker if shared is not None else Breaker()
+    wait, at_once = cfg.judge_timeout, cfg.judge_calls
+    ahead = shared.clock() - time.time() if shared is not None else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        breaker = Breaker()
-
-        def one(text: str) -> tuple[str | None, str | None]:
-            began = clock()
-            if breaker.state(began) == "open":
-                return None, "skipped"
-            try:
-                said, error = client.ask(text[:limit]), None
-            except TimeoutError:
-                said, error = None, "timeout"
-            except Exception as e:  # a failed call never loses the row
-                said, error = None, f"{type(e).__name__}: {e}"
-            if clock() - began > cfg.judge_timeout:
-                said, error = None, "timeout"
-            breaker.record(clock(), error is None and holds_json(said))
-            return said, error
+        breaker, now = copy.copy(start), lambda: time.time() + ahead
+
+        def some(texts: list[str]) -> list[tuple]:
+            if breaker.state(now()) == "open":
+                return [(None, "skipped", None, None, None)] * len(texts)
+            began = time.monotonic()
+            out = []
+            for call in [_called(client, t[:limit], wait) for t in texts]:
+                said, error = call()
+                ok, at = error is None and holds_json(said), now()
+                breaker.record(at, ok)
+                out.append((said, error, ok, at, 1000 * (time.monotonic() - began)))
+            return out
 
         for b in batches:
-            content, error = zip(*(one(t or "") for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.string()), pa.array(error, pa.string())], names=[id_col, "content", "error"])
-
-    return gated.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, content string, error string")
+            texts, i, rows = [t or "" for t in b.column(1).to_pylist()], 0, []
+            while i < len(texts):
+                n = 1 if breaker.state(now()) == "half_open" else at_once
+                rows += some(texts[i : i + n])
+                i += n
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = (pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[id_col, "content", "error", "ok", "at", "ms"])
+
+    return gated.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {ANSWERS}")
+
+
+def ask_all(gated: DataFrame, client: JudgeClient, cfg: EngineConfig, shared: SharedBreaker, held: list[DataFrame], id_col: str, text_col: str = "raw_text") -> DataFrame:
+    """``ask`` under a breaker that outlives the batch: while it is half open
+    one row is asked first, by itself, and tells whether the others are.  The
+    answers are persisted; ``held`` collects them."""
+    probe = None
+    if shared.state() == "half_open":
+        first = gated.orderBy(id_col).limit(1).select(id_col, text_col)
+        probe = first.sparkSession.createDataFrame(ask(first, client, cfg, id_col, text_col, shared).collect(), f"{id_col} {gated.schema[id_col].dataType.simpleString()}, {ANSWERS}")
+        for r in probe.collect():
+            shared.breaker.record(r.at, r.ok)
+        gated = gated.join(probe.select(id_col), id_col, "left_anti")
+    answers = ask(gated, client, cfg, id_col, text_col, shared).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(answers)
+    shared.answers.append(answers)
+    return answers if probe is None else answers.unionByName(probe)
 
 
 def breaker_replay(outcomes: DataFrame, key: str, ts_col: str, ok_col: str, failures: int = FAILURES_TO_OPEN, wait: int = OPEN_SECONDS) -> DataFrame:

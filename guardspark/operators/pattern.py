@@ -69,13 +69,18 @@ def search(patterns: tuple[str, ...], text: str, limit: float) -> list[tuple[int
 
 
 _FOUND = pa.list_(pa.struct([("rule", pa.int32()), ("evidence", pa.string()), ("late", pa.bool_())]))
+_SEARCHED = "struct<found: array<struct<rule: int, evidence: string, late: boolean>>, ms: double>"
 
 
 def _searcher(patterns: tuple[str, ...], limit: float):
-    @F.arrow_udf("array<struct<rule: int, evidence: string, late: boolean>>")
+    @F.arrow_udf(_SEARCHED)
     def found(texts: pa.Array) -> pa.Array:
-        rows = [None if row is None else [f for t in row if t for f in search(patterns, t, limit)] for row in texts.to_pylist()]
-        return pa.array([None if r is None else [{"rule": i, "evidence": e, "late": x} for i, e, x in r] for r in rows], _FOUND)
+        out, took = [], []
+        for row in texts.to_pylist():
+            began = time.perf_counter()
+            out.append(None if row is None else [{"rule": i, "evidence": e, "late": x} for t in row if t for i, e, x in search(patterns, t, limit)])
+            took.append(1000 * (time.perf_counter() - began))
+        return pa.StructArray.from_arrays([pa.array(out, _FOUND), pa.array(took)], names=["found", "ms"])
 
     return found.asNondeterministic()  # a search can time out here and not there
 
@@ -97,16 +102,26 @@ def timed_out(rule_id: Column) -> Column:
     return F.struct(*(v.alias(n) for v, n in zip(values, ("layer", "rule_id", "category", "severity", "verdict", "confidence", "description", "evidence", "mitigation"), strict=True)))
 
 
-def text_findings(texts: Column, rules: Iterable[Rule] = RULES, mode: str = "compat", limit: float = LIMIT) -> Column:
-    """Findings of an array of texts: text by text, in rule order; null for null."""
-    rules = tuple(rules)
+def searched(texts: Column, rules: Iterable[Rule] = RULES, mode: str = "compat", limit: float = LIMIT) -> Column:
+    """The search over an array of texts: rules ``found``, and the ``ms`` it took."""
+    return _searcher(_patterns(rules, mode), limit)(texts)
+
+
+def whole_findings(found: Column, rules: Iterable[Rule] = RULES) -> Column:
+    """Findings from what a search found."""
     table = F.expr(f"array({', '.join(map(_finding, rules))})")
 
     def whole(f: Column) -> Column:
         r = F.element_at(table, f["rule"] + 1)
         return F.when(f["late"], timed_out(r["rule_id"])).otherwise(r.withField("evidence", F.coalesce(r["evidence"], f["evidence"])))
 
-    return F.transform(_searcher(_patterns(rules, mode), limit)(texts), whole).cast(FINDINGS)
+    return F.transform(found, whole).cast(FINDINGS)
+
+
+def text_findings(texts: Column, rules: Iterable[Rule] = RULES, mode: str = "compat", limit: float = LIMIT) -> Column:
+    """Findings of an array of texts: text by text, in rule order; null for null."""
+    rules = tuple(rules)
+    return whole_findings(searched(texts, rules, mode, limit)["found"], rules)
 
 
 def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat", limit: float = LIMIT) -> Column:
@@ -126,9 +141,12 @@ def layer_of(findings: Column) -> Column:
 
 
 def pattern(df: DataFrame, cfg: EngineConfig, rules: Iterable[Rule] = RULES) -> DataFrame:
-    """From ``scan_texts`` to ``pattern``: verdict and findings."""
-    found = text_findings(F.col("scan_texts"), rules, cfg.rules_mode, cfg.regex_timeout)
-    return with_layer(df.withColumn("_found", found), "pattern", "_found").drop("_found")
+    """From ``scan_texts`` to ``pattern``, verdict and findings, and
+    ``pattern_ms``, the time that its search took."""
+    rules = tuple(rules)
+    df = df.withColumn("_search", searched(F.col("scan_texts"), rules, cfg.rules_mode, cfg.regex_timeout))
+    df = df.withColumns({"_found": whole_findings(F.col("_search")["found"], rules), "pattern_ms": F.col("_search")["ms"]})
+    return with_layer(df, "pattern", "_found").drop("_found", "_search")
 
 
 def redacted(text: str, limit: float = LIMIT) -> str:

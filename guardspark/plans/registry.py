@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.config import LAYERS, EngineConfig
-from guardspark.operators.hybrid import arbitrate
+from guardspark.operators.hybrid import arbitrate, nothing_ran
 from guardspark.schemas import FINDING, PRIORITY
 
 Scanner = Callable[[str], list[dict]]
@@ -79,7 +79,7 @@ class Registry:
             stopped = stopped | (F.coalesce(F.col(n)["verdict"] == "block", F.lit(False)) & cfg.fail_closed)
         none = F.lit(None).cast("struct<composite: double, verdict: string>")
         if not names:
-            closed_ = ("block", "No scanners executed; fail-closed default") if cfg.fail_closed else ("allow", "No scanners executed; fail-open default")
-            return df.withColumns({"verdict": F.lit(closed_[0]), "layer": F.lit("none"), "reason": F.lit(closed_[1])})
+            verdict, reason = nothing_ran(cfg)
+            return df.withColumns({"verdict": F.lit(verdict), "layer": F.lit("none"), "reason": F.lit(reason)})
         verdict, layer, reason = arbitrate({n: F.col(n) for n in names}, none, cfg)
         return df.withColumns({"verdict": verdict, "layer": layer, "reason": reason})

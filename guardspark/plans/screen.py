@@ -17,7 +17,7 @@ from guardspark.functions.text import action_text, raw_text, texts_to_scan
 from guardspark.operators.actions import response, response_confidence
 from guardspark.operators.hybrid import arbitrate, hybrid_finding, with_hybrid
 from guardspark.operators.index import VectorIndex
-from guardspark.operators.judge import JudgeClient, ask, gate, judge_layer
+from guardspark.operators.judge import JudgeClient, SharedBreaker, ask, ask_all, gate, judge_layer
 from guardspark.operators.pattern import PII_RULES, layer_of, pattern, redact, rule_findings, with_layer
 from guardspark.operators.semantic import closed_errors, corpus_width, not_started, row_key, semantic
 from guardspark.operators.structural import structural
@@ -38,7 +38,7 @@ def _stopped(layers: list[str], cfg: EngineConfig) -> Column:
     return out & cfg.fail_closed
 
 
-def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = None, client: JudgeClient | None = None, held: list[DataFrame] | None = None, index: VectorIndex | None = None) -> DataFrame:
+def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = None, client: JudgeClient | None = None, held: list[DataFrame] | None = None, index: VectorIndex | None = None, breaker: SharedBreaker | None = None) -> DataFrame:
     """Requests with ``verdict``, ``layer``, ``reason``, ``findings``,
     ``confidence``, ``layers_used`` and ``response``, and one struct for each
     layer, null where it did not run.  With a corpus requests need an
@@ -47,7 +47,8 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
     the caller to let go.  A request that wants the semantic layer is blocked if
     there is no corpus, if the corpus is empty or broken, or if its text has no
     embedding, one of another width than the corpus, or one with a number that
-    is missing or not finite.  ``index`` is searched instead of the corpus.
+    is missing or not finite.  ``index`` is searched instead of the corpus;
+    ``breaker`` is the judge's circuit breaker where it outlives the batch.
     Requests may share an id or have none."""
     held = held if held is not None else []
     df = requests.withColumns({"texts": texts_to_scan(F.col("messages"), F.col("prompt")), "raw_text": raw_text(F.col("messages"), F.col("prompt"))})
@@ -93,9 +94,9 @@ def screen(requests: DataFrame, cfg: EngineConfig, corpus: DataFrame | None = No
         df = df.persist(StorageLevel.MEMORY_AND_DISK).withColumn("ask_judge", _wanted("judge", cfg) & ~_stopped(layers, cfg))
         held.append(df)
         asked = df.where(F.col("ask_judge") & gate(F.col("semantic"), None, cfg)).dropDuplicates(["_judged"])
-        answers = ask(asked, client, cfg, "_judged")
-        df = df.join(answers, "_judged", "left")
-        df = df.withColumn("judge", F.when(F.col("ask_judge"), F.when(F.col("content").isNotNull() | F.col("error").isNotNull(), judge_layer(F.col("content"), F.col("error"))).otherwise(skipped))).drop("content", "error", "ask_judge")
+        answers = ask(asked, client, cfg, "_judged") if breaker is None else ask_all(asked, client, cfg, breaker, held, "_judged")
+        df = df.join(answers.select("_judged", "content", "error", F.col("ms").alias("judge_ms")), "_judged", "left")
+        df = df.withColumn("judge", F.when(F.col("ask_judge"), F.when(F.col("content").isNotNull() | F.col("error").isNotNull(), judge_layer(F.col("content"), F.col("error"))).otherwise(skipped))).withColumn("judge_error", F.nullif("error", F.lit("skipped"))).drop("content", "error", "ask_judge")
         layers.append("judge")
     verdict, winner, reason = arbitrate({n: F.col(n) for n in layers}, hybrid_, cfg)
     found = F.concat(*(F.coalesce(F.col(n)["findings"], no_findings()) for n in layers))

@@ -11,7 +11,7 @@ OUTPUTS = "output string, tenant_id string, session_id string, system_prompt_has
 FINDING = "struct<layer: string, rule_id: string, category: string, severity: string, verdict: string, confidence: double, description: string, evidence: string, mitigation: string>"
 FINDINGS = f"array<{FINDING}>"
 CORPUS = "index int, text string, category string, severity string, source string, embedding array<float>"
-AUDIT = "event_id string, request_id string, tenant_id string, timestamp timestamp, verdict string, findings_count int, confidence double, threat_categories array<string>, scanner_details array<struct<layer: string, verdict: string, findings: int>>, metadata map<string, string>, event_date date"
+AUDIT = "event_id string, request_id string, tenant_id string, timestamp timestamp, verdict string, findings_count int, confidence double, threat_categories array<string>, scanner_details array<struct<layer: string, verdict: string, findings: int, latency_ms: double, error: string>>, metadata map<string, string>, total_latency_ms double, event_date date"
 JUDGE_REPLY = "struct<is_malicious: boolean, verdict: string, confidence: double, reasoning: string>"
 
 ROLES = ("system", "user", "assistant", "tool")

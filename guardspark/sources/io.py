@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark import schemas
+from guardspark.config import EngineConfig
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -56,6 +57,8 @@ def drop_old_audit(spark: SparkSession, path: str, today: str, days: int) -> lis
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
     cut = str(date.fromisoformat(today) - timedelta(days=days))
     folders = [f.getPath() for f in fs.listStatus(root) if f.isDirectory()]
     for f in [f for f in folders if f.getName().startswith("batch=")]:
@@ -66,34 +69,78 @@ def drop_old_audit(spark: SparkSession, path: str, today: str, days: int) -> lis
     return sorted(f.getName() for f in gone)
 
 
-def jdbc_writer(url: str, table: str, **options: str) -> Callable[[DataFrame], None]:
-    """Appends to a table.  A batch that is run again is appended again: give
-    the table a unique key on ``event_id``, which stays the same.  Lists,
-    structs and maps go as JSON."""
+def _flat(df: DataFrame) -> DataFrame:
+    """Lists, structs and maps as JSON."""
+    return df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))})
+
+
+def jdbc_store(url: str, table: str, user: str = "", password: str = "", **options: str) -> Callable[[DataFrame, int], None]:
+    """For ``audit_sink``: a table in which every row of a batch stands once,
+    however often the batch is run and wherever a run broke off.  Tasks write
+    the batch into a table of its own; one transaction of the driver then
+    replaces what ``table`` holds of that ``batch_id`` and takes the staged
+    rows over, inside the store.  ``options`` go to Spark's JDBC writer."""
+    options = {"url": url, **({"user": user, "password": password} if user else {}), **options}
 
-    def write(df: DataFrame) -> None:
-        flat = df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))})
-        flat.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        jvm = batch.sparkSession._jvm
+        rows = _flat(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        staged = f"{table}_batch_{batch_id}"
+        rows.write.format("jdbc").options(**options, dbtable=staged).mode("overwrite").save()
+        rows.limit(0).write.format("jdbc").options(**options, dbtable=table).mode("append").save()  # makes the table
+        columns = ", ".join(f'"{c}"' for c in rows.columns)
+        link = jvm.java.sql.DriverManager.getConnection(url, user, password) if user else jvm.java.sql.DriverManager.getConnection(url)
+        try:
+            link.setAutoCommit(False)
+            with_ = link.createStatement()
+            with_.executeUpdate(f'DELETE FROM {table} WHERE "batch_id" = {int(batch_id)}')
+            with_.executeUpdate(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staged}")
+            link.commit()
+            with_.executeUpdate(f"DROP TABLE {staged}")
+            link.commit()
+        except Exception:
+            link.rollback()
+            raise
+        finally:
+            link.close()
 
     return write
 
 
-def audit_sink(path: str, primary: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+def audit_sink(path: str, primary: Callable[[DataFrame, int], None] | None = None, cfg: EngineConfig | None = None) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the primary store if there is one, JSON lines if
     there is none or it fails.  A batch that is run again replaces its own
-    files."""
+    files; once it is in the store its files go, so each row is in one place.
+    With ``cfg`` days older than ``retention_days`` are removed as a new day
+    begins."""
+    seen: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, own = batch.sparkSession, f"{path}/batch={batch_id}"
+        stored = False
         if primary is not None:
             try:
-                return primary(batch)
+                primary(batch, batch_id)
+                stored = True
             except Exception as e:
                 print(f"audit store failed, writing files instead: {type(e).__name__}")
-        batch.write.mode("overwrite").partitionBy("event_date").json(f"{path}/batch={batch_id}")
+        if stored:
+            remove(spark, own)
+        else:
+            batch.write.mode("overwrite").partitionBy("event_date").json(own)
+        if cfg is not None and (today := date.today().isoformat()) not in seen:
+            drop_old_audit(spark, path, today, cfg.retention_days)
+            seen[:] = [today]
 
     return write
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder or file, wherever it lies, if it is there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def webhook_sink(send: Callable[[str], int]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: one call for each escalated row, from the tasks;
     failures are dropped as they are in the row's response."""

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from guardspark.config import EngineConfig
 from guardspark.operators.audit import audit_evaluations
-from guardspark.operators.judge import JudgeClient
+from guardspark.operators.index import VectorIndex
+from guardspark.operators.judge import JudgeClient, SharedBreaker
 from guardspark.operators.ratelimit import decide
 from guardspark.operators.validate import validate
 from guardspark.plans.screen import screen
@@ -32,16 +33,22 @@ def start_screening(
     corpus: DataFrame | None = None,
     client: JudgeClient | None = None,
     rejected: Callable[[DataFrame, int], None] | None = None,
+    breaker: SharedBreaker | None = None,
+    index: VectorIndex | None = None,
 ) -> StreamingQuery:
     """Screen all that is there, micro-batch by micro-batch, through all layers
     that a batch goes through, and hand audit rows to ``sink`` (unless
-    ``audit_enabled`` is off) and refused requests to ``rejected``."""
+    ``audit_enabled`` is off) and refused requests to ``rejected``.  The judge's
+    ``breaker`` carries over from batch to batch."""
+    breaker = breaker or SharedBreaker()
 
     def one(batch: DataFrame, batch_id: int) -> None:
         held: list[DataFrame] = []
         good, bad = validate(batch)
         if cfg.audit_enabled:
-            sink(audit_evaluations(screen(good, cfg, corpus, client, held), cfg, F.current_timestamp()), batch_id)
+            screened = screen(good, cfg, corpus, client, held, index, breaker)
+            sink(audit_evaluations(screened, cfg, F.current_timestamp(), f"{batch_id}"), batch_id)
+            breaker.settle()
         if rejected is not None:
             rejected(bad, batch_id)
         for df in held:
@@ -51,32 +58,47 @@ def start_screening(
 
 
 class _Limiter(StatefulProcessor):
-    """At most ``limit`` accepted times for each key, dropped a window after
-    the last one."""
+    """At most ``limit`` accepted times for each key.  A timer of event time
+    drops them once the watermark is a window behind the last one."""
 
     def __init__(self, limit: int, window: int):
         self.limit, self.window = limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "ts double", ttlDurationMs=None)
+        self.handle = handle
+        self.kept = handle.getListState("kept", "ts double")
 
     def handleInputRows(self, key, rows, timerValues):
         kept = [x[0] for x in self.kept.get()] if self.kept.exists() else []
         out = []
         for ts, event in sorted((float(t), e) for pdf in rows for t, e in zip(pdf["ts"], pdf["event_id"], strict=True)):
             out.append((event, key[0], *decide(kept, ts, self.limit, self.window)))
-        self.kept.put([(t,) for t in kept]) if kept else self.kept.clear()
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            self.handle.registerTimer(int((max(kept) + self.window) * 1000) + 1)
+        else:
+            self.kept.clear()
         yield pd.DataFrame(out, columns=["event_id", "tenant_key", "allowed", "remaining", "retry_after"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.kept.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def limit_stream(events: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Rate limits on a stream of ``tenant_key``, ``ts`` (seconds) and
-    ``event_id``; rows of a micro-batch are taken in order of time.  Needs the
+def limit_stream(events: DataFrame, cfg: EngineConfig, late: int | None = None) -> DataFrame:
+    """Rate limits on a stream of ``tenant_key``, ``ts`` (seconds, not null) and
+    ``event_id``; rows of a micro-batch are taken in order of time.  Rows that
+    come more than ``late`` seconds (a window, if none are given) behind the
+    newest one get no decision: the engine drops and counts them.  Needs the
     RocksDB state store."""
-    return events.groupBy("tenant_key").transformWithStateInPandas(_Limiter(cfg.requests_per_minute, cfg.window_seconds), "event_id long, tenant_key string, allowed boolean, remaining int, retry_after int", "append", "none")
+    late = cfg.window_seconds if late is None else late
+    timed = events.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("event_time", f"{late} seconds")
+    return timed.groupBy("tenant_key").transformWithStateInPandas(_Limiter(cfg.requests_per_minute, cfg.window_seconds), "event_id long, tenant_key string, allowed boolean, remaining int, retry_after int", "append", "eventTime")
 
 
 def tumbling(audit: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
