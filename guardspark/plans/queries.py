@@ -702,10 +702,10 @@ def detection_quality(spark, sf_dir):
 _AUDIT = "WITH a AS (SELECT ts AS timestamp, 'user' || (user_id % 20) AS tenant_id, CASE WHEN value > 90 THEN 'block' WHEN value > 70 THEN 'sanitize' ELSE 'allow' END AS verdict FROM events)"
 
 
-def _event_audit(spark, sf_dir):
+def _event_audit(spark, sf_dir, *more: Column):
     e = _read(spark, sf_dir, "events")
     v = F.when(F.col("value") > 90, "block").when(F.col("value") > 70, "sanitize").otherwise("allow")
-    return e.select(F.col("ts").alias("timestamp"), F.concat(F.lit("user"), (F.col("user_id") % 20).cast("string")).alias("tenant_id"), v.alias("verdict"))
+    return e.select(F.col("ts").alias("timestamp"), F.concat(F.lit("user"), (F.col("user_id") % 20).cast("string")).alias("tenant_id"), v.alias("verdict"), *more)
 
 
 @query(_AUDIT + " SELECT date_trunc('hour', timestamp) AS hour, tenant_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'block') AS n_blocked FROM a GROUP BY 1, 2")
@@ -715,6 +715,22 @@ def soc_hourly(spark, sf_dir):
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+@query(_AUDIT.replace("AS verdict FROM events", "AS verdict, value FROM events") + " SELECT date_trunc('day', timestamp) AS day, count(*) AS n, count(*) FILTER (WHERE verdict = 'block') AS n_blocked, true AS tenants_near, true AS quantiles_near, true AS top_found FROM a GROUP BY 1")
+def soc_sketches(spark, sf_dir):
+    """Days made of hourly sketches, held against the rows themselves: distinct
+    tenants within 5 %, ranks of three quantiles within 2 %, and whether the
+    first tenant of the sketch has as many requests as any."""
+    rows = _event_audit(spark, sf_dir, F.col("value").alias("total_latency_ms"))
+    found = soc.merged(soc.sketched(rows))
+    day = F.date_trunc("day", "timestamp").alias("period")
+    exact = rows.groupBy(day).agg(F.count_distinct("tenant_id").alias("tenants"))
+    most = rows.groupBy(day, "tenant_id").agg(F.count(F.lit(1)).alias("c")).groupBy("period").agg(F.max("c").alias("most"))
+    ranks = rows.withColumn("period", F.date_trunc("day", "timestamp")).join(found.select("period", "quantiles"), "period").groupBy("period").agg(*(F.avg((F.col("total_latency_ms") <= F.col("quantiles")[i]).cast("double")).alias(f"r{i}") for i in range(3)))
+    out = found.join(exact, "period").join(most, "period").join(ranks, "period")
+    near = lambda i, q: F.abs(F.col(f"r{i}") - q) <= 0.02
+    return out.select(F.col("period").cast("timestamp_ntz").alias("day"), "n", "n_blocked", (F.abs(F.col("n_tenants") - F.col("tenants")) <= 0.05 * F.col("tenants")).alias("tenants_near"), (near(0, 0.5) & near(1, 0.95) & near(2, 0.99)).alias("quantiles_near"), (F.col("top_tenants")[0]["count"] == F.col("most")).alias("top_found"))
+
+
 @query(_AUDIT + " SELECT tenant_id, verdict, count(*) AS n FROM a GROUP BY ROLLUP (tenant_id, verdict)")
 def soc_rollup(spark, sf_dir):
     """By tenant and verdict with subtotals."""

@@ -49,6 +49,45 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AUDIT).json(path)
 
 
+#: Bytes of an audit file that is neither too small nor too large.
+FILE_BYTES = 256 << 20
+
+
+def compact_audit(spark: SparkSession, path: str, day: str, file_bytes: int = FILE_BYTES) -> int:
+    """Write a day's files anew, each of at most ``file_bytes`` (a single row
+    may be longer), and return how many there are now.  The new folder takes
+    the old one's place by two renames; a run that broke off in between is
+    mended by the next one, and a day whose files fit already is left alone.
+    Nothing may write to the day meanwhile."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    own, new, old = (f"{path}/{x}event_date={day}" for x in ("", "_new-", "_old-"))
+    if fs.exists(at(old)):  # a run broke off: the old rows stand until the new ones have their place
+        if fs.exists(at(own)):
+            fs.delete(at(old), True)
+        else:
+            fs.rename(at(old), at(own))
+    if not fs.exists(at(own)):
+        return 0
+    sizes = lambda p: [f.getLen() for f in fs.listStatus(at(p)) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    have = sizes(own)
+    least = -(-sum(have) // file_bytes)
+    if len(have) <= max(1, 2 * least) and max(have, default=0) <= file_bytes:
+        return len(have)
+    lines, n = spark.read.text(own), max(1, least)
+    while True:
+        lines.repartition(n).write.mode("overwrite").text(new)
+        made = sizes(new)
+        if max(made, default=0) <= file_bytes or n > 4 * len(have) + 4 * least:
+            break
+        n = n * 5 // 4 + 1
+    fs.rename(at(own), at(old))
+    fs.rename(at(new), at(own))
+    fs.delete(at(old), True)
+    return len(made)
+
+
 def drop_old_audit(spark: SparkSession, path: str, today: str, days: int) -> list[str]:
     """Remove the folders of days before ``today`` - ``days``, whether they lie
     in ``path`` itself or in the folder of a micro-batch; 0 keeps all."""
