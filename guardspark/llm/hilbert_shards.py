@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardspark.llm.scratch import Scratch, shuffle_width
+from guardspark.llm.scratch import free, Scratch, shuffle_width
 
 #: Bits for each dimension.
 BITS = 8
@@ -80,28 +80,31 @@ def range_cell(c: Column, low: float, high: float, bits: int = BITS) -> Column:
 
 
 def hilbert_shards(df: DataFrame, cells: list[Column], ties: list[str], shards: int = 40, bits: int = BITS) -> DataFrame:
-    """Add ``hilbert``, ``shard`` and ``slot``; shards' counts differ by one at
-    most.  ``df`` must be narrow: all its columns are sorted."""
+    """Add ``hilbert``, ``shard`` and ``slot``, which replace columns of these
+    names; all others stay, whatever they are called.  Shards' counts differ by
+    one at most.  ``df`` must be narrow: all its columns are sorted.  Null cells
+    and ties come first; rows that are equal in all of them follow each other
+    in any order; an empty table gives no rows."""
     curve = F.pandas_udf(lambda *a: pd.Series(hilbert_index(np.column_stack(a), bits)), "long")
     spark = df.sparkSession
     indexed = df.withColumn("hilbert", curve(*cells))
     keys = ["hilbert", *ties]
+    at, part, row, n, before, whole, rank = own = [free(indexed, f"_{x}") for x in ("at", "part", "row", "n", "before", "all", "rank")]
     ordered = indexed.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys)
-    ordered = Scratch(spark).table(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    ordered = ordered.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    ordered = Scratch(spark).table(ordered.withColumn(at, F.monotonically_increasing_id()), "ordered")
+    ordered = ordered.withColumns({part: F.shiftright(at, 33), row: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = ordered.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    sooner = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(part, F.coalesce(F.sum(n).over(sooner), F.lit(0)).alias(before), F.sum(n).over(Window.partitionBy()).alias(whole))
     # One row per range partition: their number is the session's, not the data's.
-    ranked = ordered.join(F.broadcast(parts), "_part").withColumn("_rank", F.col("_before") + F.col("_row"))
-    wide = F.expr(f"_all % {shards}")
-    each = F.expr(f"_all div {shards}")
-    # The first _all % shards shards hold one row more.
-    edge = wide * (each + 1)
-    shard = F.when(F.col("_rank") < edge, F.expr(f"_rank div (_all div {shards} + 1)")).otherwise(wide + F.expr(f"(_rank - (_all % {shards}) * (_all div {shards} + 1)) div greatest(_all div {shards}, 1)"))
+    ranked = ordered.join(F.broadcast(parts), part).withColumn(rank, F.col(before) + F.col(row))
+    # The first ``wide`` shards hold one row more than the others' ``each``.
+    wide, each = F.expr(f"`{whole}` % {shards}"), F.expr(f"`{whole}` div {shards}")
+    edge = f"(`{whole}` % {shards}) * (`{whole}` div {shards} + 1)"
+    shard = F.when(F.col(rank) < F.expr(edge), F.expr(f"`{rank}` div (`{whole}` div {shards} + 1)")).otherwise(wide + F.expr(f"(`{rank}` - {edge}) div greatest(`{whole}` div {shards}, 1)"))
     ranked = ranked.withColumn("shard", shard.cast("int"))
     start = F.col("shard") * each + F.least(F.col("shard"), wide)
-    return ranked.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_at", "_part", "_row", "_before", "_all", "_rank")
+    return ranked.withColumn("slot", (F.col(rank) - start).cast("long")).drop(*own)
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, by: list[str], id_col: str = "doc_id") -> DataFrame:

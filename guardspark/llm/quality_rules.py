@@ -7,7 +7,8 @@ read again.  ``store`` writes the ledger without the texts; policies and
 ablations read that table.  Everything is a column expression.
 
 Defined results: a null text has no words; repeated rows are judged alike;
-further columns stay.
+columns named as a measure, ``fail_bits``, ``measures`` or ``kept`` are
+replaced, all others stay, whatever their names; ids are not read.
 """
 
 from __future__ import annotations
@@ -19,35 +20,40 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.scratch import Scratch
+from guardspark.llm.scratch import Scratch, free
 
 #: White space between words, as a class of a Java pattern.
 WS = r"[\x20\x09-\x0D]"
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_letters", "n_upper", "n_dup_lines", "n_text_lines", "n_repeat_words")
+
+
 def with_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the counts that the rules read."""
+    """Add the counts that the rules read, ``MEASURES``; they replace columns
+    of these names."""
+    words, lines, windows, places = (free(df, f"_{x}") for x in ("words", "lines", "windows", "places"))
     t = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("_w", F.filter(F.split(t, WS + "+", -1), lambda x: x != ""))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
-    df = df.withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(words, F.filter(F.split(t, WS + "+", -1), lambda x: x != ""))
+    df = df.withColumn("n_words", F.size(words).cast("long"))
+    df = df.withColumn(lines, F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # One hash for each window of three words, sorted beside its position, so that equal windows are neighbours.
-    hashes = F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p")))
-    df = df.withColumn("_s", F.when(F.col("n_words") >= 4, F.sort_array(hashes)))
-    at = lambda i: F.get("_s", i)["h"]
-    twice = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.coalesce(at(i) == at(i - 1), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
-    df = df.withColumn("_p", F.sort_array(F.transform(twice, lambda i: F.get("_s", i)["p"])))
+    hashes = F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")))
+    df = df.withColumn(windows, F.when(F.col("n_words") >= 4, F.sort_array(hashes)))
+    at = lambda i: F.get(windows, i)["h"]
+    twice = F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.coalesce(at(i) == at(i - 1), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
+    df = df.withColumn(places, F.sort_array(F.transform(twice, lambda i: F.get(windows, i)["p"])))
     # A window adds the words that the window before it did not reach.
-    covered = F.aggregate("_p", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
+    covered = F.aggregate(places, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
     return df.withColumns({
         "word_chars": (F.char_length(t) - F.regexp_count(t, F.lit(WS))).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
         "n_letters": (F.char_length(t) - F.regexp_count(t, F.lit(r"[^\p{L}]"))).cast("long"),
         "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_text_lines": F.size("_lines").cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_text_lines": F.size(lines).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    }).drop("_w", "_lines", "_s", "_p")
+    }).drop(words, lines, windows, places)
 
 
 @dataclass(frozen=True)

@@ -152,3 +152,20 @@ def test_ablation_query_reads_the_ledger(spark, sf):
     for r in quality_rules.quality_ablation(spark, sf).collect():
         own, mask = quality_rules.BIT[r.rule], quality_rules.POLICIES[r.version]
         assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(x & own != 0 for x in bits), sum(x & mask == own for x in bits), sum(x & (mask - own) == 0 for x in bits))
+
+
+OWN = "_at string, _part string, _row string, _n string, _before string, _all string, _rank string, _w string, _p string, _words string, _lines string, n_words string"
+
+
+def test_inner_names_take_nothing_from_the_input(spark):
+    """Shards and quality rules: columns called as their inner ones stay."""
+    names = [c.split()[0] for c in OWN.split(", ")]
+    rows = [(i, f"some text {i} " * (i % 7), *(f"{c}{i}" for c in names)) for i in range(90)] + [(None, None, *names)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {OWN}")
+    placed = h.hilbert_shards(df, [h.size_cell(F.length("text")), h.category_cell(F.col("_at"))], ["doc_id"], shards=4)
+    got = {r.doc_id: r for r in placed.collect()}
+    assert len(got) == 91 and sorted(collections.Counter(r.shard for r in got.values()).values()) == [22, 23, 23, 23]
+    assert all(r[c] == (f"{c}{i}" if i is not None else c) for i, r in got.items() for c in names)
+    judged = {r.doc_id: r for r in quality_rules.apply_policy(quality_rules.ledger(df)).collect()}
+    assert all(r[c] == (f"{c}{i}" if i is not None else c) for i, r in judged.items() for c in names[:-1])
+    assert all(r.n_words == (3 * (i % 7) if i is not None else 0) for i, r in judged.items())
