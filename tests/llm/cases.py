@@ -14,3 +14,9 @@ def awkward(spark):
 
 def empty(spark):
     return spark.createDataFrame([], DDL)
+
+
+def nameless(spark):
+    """Rows without an id, equal and different ones, among others."""
+    texts = ["one text without an id", "one text without an id", None, "", "another text of quite a few words that has no id"]
+    return awkward(spark).unionByName(spark.createDataFrame([(None, t, "en", None, 1) for t in texts], DDL))
