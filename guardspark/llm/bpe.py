@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.scratch import shuffle_width
+from guardspark.llm.scratch import lean, lean_group, shuffle_width
 
 #: White space of the tokenizer's patterns, as a class.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -244,9 +244,9 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     texts, specials = df.select(id_col, text_col), special_tokens(text)
     size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // BUCKET + 1)
-    lists = texts.mapInArrow(_coder(id_type, buckets, specials, True), schema).groupBy("bucket").applyInArrow(_encoder(source), schema)
-    chunks = texts.mapInArrow(_coder(id_type, buckets, specials, False), schema).unionByName(lists)
-    return chunks.groupBy("chunk").applyInArrow(_assembler(id_type, id_col, source), f"{id_col} {kind}, ids array<int>, decoded string")
+    lists = texts.mapInArrow(lean(_coder(id_type, buckets, specials, True)), schema).groupBy("bucket").applyInArrow(lean_group(_encoder(source)), schema)
+    chunks = texts.mapInArrow(lean(_coder(id_type, buckets, specials, False)), schema).unionByName(lists)
+    return chunks.groupBy("chunk").applyInArrow(lean_group(_assembler(id_type, id_col, source)), f"{id_col} {kind}, ids array<int>, decoded string")
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

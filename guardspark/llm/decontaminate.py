@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.llm.bitmaps import bitmap, member
-from guardspark.llm.scratch import Scratch
+from guardspark.llm.scratch import lean, Scratch
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -186,7 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     seeds = items.select("no", F.size("item_words").alias("size"), "n", F.posexplode("seeds").alias("at", "seed"))
     seed_bits = spark.sparkContext.broadcast(bitmap(seeds, "seed", BITMAP_BITS))
     kind = docs.schema[doc_col].dataType.simpleString()
-    found = docs.select(doc_col, text_col).mapInArrow(_stretches(lengths, seed_bits), f"doc {kind}, doc_words array<bigint>, seeds array<bigint>")
+    found = docs.select(doc_col, text_col).mapInArrow(lean(_stretches(lengths, seed_bits)), f"doc {kind}, doc_words array<bigint>, seeds array<bigint>")
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
     places = scratch.table(seeds.groupBy("seed", "no", "size", "n").agg(F.collect_list("at").alias("at")), "seeds")
     pairs = found.select("row", F.explode("seeds").alias("seed")).join(places, "seed").groupBy("row", "no", "size", "n").agg(F.collect_list("at").alias("at"))
@@ -195,7 +195,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     reach = F.aggregate(starts, F.struct((-F.col("n")).alias("last"), F.lit(0).alias("sum")), lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.col("n"), p - a["last"])).alias("sum")), lambda a: a["sum"])
     pairs = scratch.table(pairs.where(reach >= F.lit(coverage) * F.col("size")).select("row", "no"), "pairs")
     run, schema = _tiler(kind, items.schema["item"].dataType.simpleString())
-    tiled = pairs.join(found.select("row", "doc", "doc_words"), "row").join(items.select("no", "item", "item_words", "n"), "no").mapInArrow(run, schema)
+    tiled = pairs.join(found.select("row", "doc", "doc_words"), "row").join(items.select("no", "item", "item_words", "n"), "no").mapInArrow(lean(run), schema)
     return tiled.where(F.col("coverage") >= coverage)
 
 

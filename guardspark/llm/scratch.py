@@ -9,10 +9,13 @@ executor never loses them.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -74,6 +77,37 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function for ``mapInArrow`` whose task hands freed memory back to the
+    machine when it ends: its worker lives on through later stages."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return out
+
+
+def lean_group(run):
+    """The same for a function of ``applyInArrow``."""
+
+    def out(table):
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    return out
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.llm.linear import Sparse, fit, sigmoid
-from guardspark.llm.scratch import Scratch, free
+from guardspark.llm.scratch import free, lean, Scratch
 
 DIM = 1 << 14
 #: Distinct texts that training takes at most: those with the lowest hashes.
@@ -237,7 +237,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     scorer read of each text, written to a scratch table; and the name of the
     column that holds it."""
     name = free(docs, "measured")
-    udf = F.pandas_udf(_measure_all, "pattern int, places binary, values binary", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(lean(_measure_all), "pattern int, places binary, values binary", F.PandasUDFType.SCALAR_ITER)
     read = docs.withColumns({name: udf(text_col), f"{name}_hash": F.pmod(F.xxhash64(text_col), F.lit(1 << 30))})
     columns = docs.columns if keep is None else keep
     whole = F.struct(f"{name}.*", F.col(f"{name}_hash").alias("hash")).alias(name)
