@@ -138,7 +138,7 @@ def _coder(id_type: pa.DataType, buckets: int, specials: list[str], lists: bool)
             check = zlib.crc32(b"".join(units))
             if lists:
                 used, first = np.unique(bucket[order], return_index=True)
-                data = [_pack(END.join([units[i] for i in order[a:b].tolist()])) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
+                data = [_pack(END.join([units[i] for i in order[a:b].tolist()])) for a, b in zip(first, [*first[1:], len(order)][: len(first)], strict=True)]
                 own, n_units = None, None
             else:
                 new = np.empty(len(units), np.uint32)
