@@ -196,7 +196,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     pairs = scratch.table(pairs.where(reach >= F.lit(coverage) * F.col("size")).select("row", "no"), "pairs")
     run, schema = _tiler(kind, items.schema["item"].dataType.simpleString())
     tiled = pairs.join(found.select("row", "doc", "doc_words"), "row").join(items.select("no", "item", "item_words", "n"), "no").mapInArrow(lean(run), schema)
-    return tiled.where(F.col("coverage") >= coverage)
+    out = scratch.table(tiled.where(F.col("coverage") >= coverage), "contaminated")
+    scratch.drop(items, found, places, pairs)
+    return out
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
