@@ -1,7 +1,9 @@
 """The two text functions that Spark lacks, as Arrow-batched UDFs.
 
 Both are fed nulls for rows that need no work, so ASCII texts never reach
-Python as strings.
+Python as strings.  They are marked as not deterministic, which keeps the
+optimizer from moving them into the arguments of later functions in Python:
+such a mixture can't be planned.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def _nfkd(texts: pd.Series) -> pd.Series:
 def nfkd(texts: Column) -> Column:
     """Compatibility decomposition of an array of texts."""
     foreign = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]"))
-    return F.coalesce(_nfkd(F.when(foreign, texts)), texts)
+    return F.coalesce(_nfkd.asNondeterministic()(F.when(foreign, texts)), texts)
 
 
 #: What a stream may grow to is not more than this many times its length.
@@ -61,4 +63,4 @@ def inflated_ratios(texts: Column) -> Column:
     """How much longer each text is once inflated; null where it is no zlib
     stream.  Only texts with a stream's first byte are looked at."""
     stream = F.exists(texts, lambda t: t.rlike(r"^x[\x01\x5E\x9C\xDA]") | t.rlike(r"^[\x08\x18\x28\x38\x48\x58\x68\x78]"))
-    return F.coalesce(_inflated(F.when(stream, texts)), F.transform(texts, lambda t: F.lit(None).cast("double")))
+    return F.coalesce(_inflated.asNondeterministic()(F.when(stream, texts)), F.transform(texts, lambda t: F.lit(None).cast("double")))

@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 from guardspark.config import EngineConfig
 from guardspark.functions.required import candidates
 from guardspark.functions.rules import RULES, Rule, language, mitigation
-from guardspark.schemas import FINDINGS, SEVERITY_VERDICT, strictest
+from guardspark.schemas import FINDINGS, SEVERITY_VERDICT, once, strictest
 
 PII_RULES = tuple(r for r in RULES if r.category == "T-EXF")
 #: Characters of evidence on both sides of a match.
@@ -69,18 +69,23 @@ def search(patterns: tuple[str, ...], text: str, limit: float) -> list[tuple[int
 
 
 _FOUND = pa.list_(pa.struct([("rule", pa.int32()), ("evidence", pa.string()), ("late", pa.bool_())]))
-_SEARCHED = "struct<found: array<struct<rule: int, evidence: string, late: boolean>>, ms: double>"
+_SEARCHED = "struct<found: array<struct<rule: int, evidence: string, late: boolean>>, ms: double, error: string>"
 
 
 def _searcher(patterns: tuple[str, ...], limit: float):
     @F.arrow_udf(_SEARCHED)
     def found(texts: pa.Array) -> pa.Array:
-        out, took = [], []
+        out, took, errors = [], [], []
         for row in texts.to_pylist():
-            began = time.perf_counter()
-            out.append(None if row is None else [{"rule": i, "evidence": e, "late": x} for t in row if t for i, e, x in search(patterns, t, limit)])
+            began, said = time.perf_counter(), None
+            try:
+                hits = None if row is None else [{"rule": i, "evidence": e, "late": x} for t in row if t for i, e, x in search(patterns, t, limit)]
+            except Exception as e:  # the row's own: it never ends the job
+                hits, said = [], f"Scanner pattern failed: {e!r}"
+            out.append(hits)
             took.append(1000 * (time.perf_counter() - began))
-        return pa.StructArray.from_arrays([pa.array(out, _FOUND), pa.array(took)], names=["found", "ms"])
+            errors.append(said)
+        return pa.StructArray.from_arrays([pa.array(out, _FOUND), pa.array(took), pa.array(errors, pa.string())], names=["found", "ms", "error"])
 
     return found.asNondeterministic()  # a search can time out here and not there
 
@@ -129,10 +134,12 @@ def rule_findings(text: str, rules: Iterable[Rule] = RULES, mode: str = "compat"
     return text_findings(F.array(F.col(text)), rules, mode, limit)
 
 
-def with_layer(df: DataFrame, name: str, findings: str) -> DataFrame:
-    """A layer's struct from its findings.  The verdict is a plain column
-    first: a struct of references is free to be taken apart again."""
-    df = df.withColumn("_verdict", strictest(F.transform(findings, lambda f: f["verdict"])))
+def with_layer(df: DataFrame, name: str, findings: str, error: str | None = None) -> DataFrame:
+    """A layer's struct from its findings; a row with an ``error`` is blocked.
+    The verdict is a plain column first: a struct of references is free to be
+    taken apart again."""
+    verdict = strictest(F.transform(findings, lambda f: f["verdict"]))
+    df = df.withColumn("_verdict", verdict if error is None else F.when(F.col(error).isNotNull(), "block").otherwise(verdict))
     return df.withColumn(name, F.struct(F.col("_verdict").alias("verdict"), F.col(findings).alias("findings"))).drop("_verdict")
 
 
@@ -141,12 +148,13 @@ def layer_of(findings: Column) -> Column:
 
 
 def pattern(df: DataFrame, cfg: EngineConfig, rules: Iterable[Rule] = RULES) -> DataFrame:
-    """From ``scan_texts`` to ``pattern``, verdict and findings, and
-    ``pattern_ms``, the time that its search took."""
+    """From ``scan_texts`` to ``pattern``, verdict and findings, with
+    ``pattern_ms``, the time that its search took, and ``pattern_error``: a
+    search that fails blocks its row, without a finding."""
     rules = tuple(rules)
     df = df.withColumn("_search", searched(F.col("scan_texts"), rules, cfg.rules_mode, cfg.regex_timeout))
-    df = df.withColumns({"_found": whole_findings(F.col("_search")["found"], rules), "pattern_ms": F.col("_search")["ms"]})
-    return with_layer(df, "pattern", "_found").drop("_found", "_search")
+    df = df.withColumns({"_found": once(whole_findings(F.col("_search")["found"], rules)), "pattern_ms": F.col("_search")["ms"], "pattern_error": F.col("_search")["error"]})
+    return with_layer(df, "pattern", "_found", "pattern_error").drop("_found", "_search")
 
 
 def redacted(text: str, limit: float = LIMIT) -> str:

@@ -45,7 +45,7 @@ def scanned(text: Column, name: str, scan: Scanner) -> Column:
         return pd.DataFrame([one(t) for t in texts], columns=["verdict", "findings", "error"])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, LAYER)(text)
+    return F.pandas_udf(run, LAYER).asNondeterministic()(text)  # each text is scanned once
 
 
 class Registry:
