@@ -2,6 +2,7 @@ import random
 import sys
 import time
 
+import ahocorasick
 import pytest
 import regex
 
@@ -121,6 +122,27 @@ def test_long_runs_end_soon():
                 assert time.thread_time() - began < 1, (rule, c)
 
 
+def test_rulers_do_not_hit_at_every_place():
+    """What the automaton reads of a ruler is as short as its strings, and the
+    candidates are those of the whole text."""
+    seen = required.candidates(PATTERNS)
+    plain = lambda text: {s for _, s in _plain(seen).iter(required.form(text))}
+    for c in "=-~`|":
+        for text in (c * 20_000, f"a {c * 20_000} system", f"{c * 500}\n{c * 300} end {c * 200} now"):
+            short = seen._shortened(required.form(text))
+            assert {s for _, s in _plain(seen).iter(short)} == plain(text)
+            assert len(short) < 1000 or c == "|"
+
+
+def _plain(seen):
+    """The automaton with strings as values."""
+    out = ahocorasick.Automaton()
+    for s in seen.automaton.keys():
+        out.add_word(s, s)
+    out.make_automaton()
+    return out
+
+
 def test_a_search_that_gives_up_blocks(spark):
     slow = "=" * 20_000 + " systems"  # no closing word: a search would take hours
     texts = ["before", None, slow, "mail a.b@example.org"]
