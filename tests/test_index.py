@@ -86,3 +86,16 @@ def test_search_errors_block(spark, tmp_path):
     for broken in (good.where("index < 0"), mixed, good.withColumn("embedding", F.expr("array(CAST('NaN' AS float), 0f)"))):
         got = first(broken)
         assert {got[r] for r in ("r0", "r2", "r5")} == {("block", "SEM-CORP-001")} and {got[r] for r in ("r1", "r3", "r4")} == {("block", "SEM-EMB-001")}
+
+
+def test_many_blocks_are_dealt_out_and_travel_as_floats(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    q, c = ([(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(n)] for n in (11, 90))
+    q, c = (spark.createDataFrame(x, VECTORS).repartition(7) for x in (q, c))
+    want = sorted((r.q, r["index"]) for r in q.crossJoin(c.select(F.col("index").alias("c"), F.col("embedding").alias("e"))).where("aggregate(zip_with(embedding, e, (x, y) -> double(x) * double(y)), 0d, (a, x) -> a + x) >= 0.5").select(F.col("index").alias("q"), F.col("c").alias("index")).collect())
+    for few in ("corpus", "queries"):
+        got = semantic.top_matches(q.withColumnRenamed("index", "q"), c, "q", 0.5, 1000, few)
+        assert sorted((r.q, r["index"]) for r in got.collect()) == want and len(want) > 50
+    sizes = semantic._blocks(c, "index", 3).select(F.length("data").alias("bytes"), F.size("ids").alias("n")).collect()
+    assert all(r.bytes == 4 * 4 * r.n for r in sizes)
