@@ -2,7 +2,12 @@
 
 A text is the set of its shingles of five words; two texts are near copies if
 their sets have a Jaccard similarity of 0.8 or more.  Equal sets become one
-node first.  Candidates come from MinHash: 24 keys of five minima each, so that
+node first.  The near ones meet by the SimHash of their set and its Golay keys
+(``simhash``): fingerprints of 2 or fewer differing bits, and equal ones, are
+candidates, verified on the whole sets.  At a similarity of 0.8 a SimHash
+differs in some 10 bits, so this finds the groups of close copies only; what
+lies in one component by then is not compared again.  Candidates between
+components come from MinHash: 24 keys of five minima each, so that
 a pair of similarity 0.8 shares a key with a probability of 0.9999 and any more
 similar pair with a higher one.  A fingerprint of 2,048 further minima, one
 bit each, is compared within the join: a pair of similarity 0.8 differs in 205
@@ -36,9 +41,13 @@ from pyspark.sql import functions as F
 from guardspark.llm.bitmaps import bitmap, member
 from guardspark.llm.components import components
 from guardspark.llm.scratch import lean, Scratch
+from guardspark.llm.simhash import golay_links, majority
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 24, 5
+#: Bits in which SimHashes may differ.  Keys for 3 take five times the room, and
+#: the minima find such pairs too.
+BITS_APART = 2
 #: Bits of a node's fingerprint, kept as 64-bit numbers.
 BITS = 2048
 #: All pairs of runs up to this length are compared in the first round.
@@ -118,9 +127,10 @@ def _sets(id_col: str, words: int):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [shingles(t.as_py(), words) for t in part.column(1)]
+                fp = pa.array([majority(h) for h in found], pa.int64())
                 sig = [xxhash.xxh3_128_digest(h.tobytes()) for h in found]
                 keys, bits = zip(*map(sketch, found), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.binary()), pa.array(keys, longs), pa.array(bits, longs), pa.array([h.view(np.int64) for h in found], longs)], names=[id_col, "sig", "keys", "bits", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.binary()), fp, pa.array(keys, longs), pa.array(bits, longs), pa.array([h.view(np.int64) for h in found], longs)], names=[id_col, "sig", "fp", "keys", "bits", "shingles"])
 
     return run
 
@@ -150,6 +160,16 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
     return both.select(F.least("no", "no_a").alias("a"), F.greatest("no", "no_a").alias("b"))
 
 
+def _golay_pairs(nodes: DataFrame, least: DataFrame) -> DataFrame:
+    """Pairs of nodes whose SimHash is equal, or near by its Golay keys: each
+    node with the ``least`` one of its SimHash, and these by the links of theirs."""
+    equal = nodes.select("fp", "no").join(least, "fp").where("no <> least").select(F.col("least").alias("a"), F.col("no").alias("b"))
+    found = golay_links(least, BITS_APART).distinct()
+    for x in "ab":
+        found = found.join(least.select(F.col("fp").alias(x), F.col("least").alias(f"at_{x}")), x)
+    return equal.union(found.select(F.least("at_a", "at_b"), F.greatest("at_a", "at_b")))
+
+
 def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without rows that are surely not among ``rows``."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(rows.select(F.xxhash64("rep").alias("k")), "k", NODE_BITS))
@@ -171,30 +191,43 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     that links of at least ``similarity`` reach."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(id_col, text_col).mapInArrow(lean(_sets(id_col, words)), f"{id_col} {kind}, sig binary, keys array<bigint>, bits array<bigint>, shingles array<bigint>")
+    docs = df.select(id_col, text_col).mapInArrow(lean(_sets(id_col, words)), f"{id_col} {kind}, sig binary, fp long, keys array<bigint>, bits array<bigint>, shingles array<bigint>")
     docs = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "sets", arrow_rows=ROWS)
     # One node for equal sets; one of their rows stands for them.
-    nodes = docs.groupBy("sig").agg(F.min(id_col).alias("first"), F.min(F.struct("row", F.size("shingles").alias("n"), "keys", "bits")).alias("r"))
-    nodes = scratch.table(nodes.select("sig", "first", F.col("r.row").alias("rep"), "r.n", "r.keys", "r.bits", F.col("r.row").alias("no")), "nodes")
-    keyed = nodes.select("no", F.posexplode("keys").alias("band", "key"))
-    runs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("run"), F.min("no").alias("least")).where("run > 1")
-    keyed = scratch.table(keyed.join(runs, "key").select("key", "no", "band", F.col("no").alias("root"), ((F.col("run") <= RUN) | (F.col("no") == F.col("least"))).alias("pivot"), (F.col("run") > RUN).alias("goes_on")), "keyed")
-    sketches = nodes.select("no", "n", "keys", *(F.col("bits")[i].alias(c) for i, c in enumerate(WORDS_OF_BITS)))
-    links = roots = None
-    turn, done = 0, []
-    while True:
-        pairs = scratch.table(_candidates(keyed.join(sketches, "no"), similarity), "pairs")
+    nodes = docs.groupBy("sig").agg(F.min(id_col).alias("first"), F.min(F.struct("row", F.size("shingles").alias("n"), "fp", "keys", "bits")).alias("r"))
+    nodes = scratch.table(nodes.select("sig", "first", F.col("r.row").alias("rep"), "r.n", "r.fp", "r.keys", "r.bits", F.col("r.row").alias("no")), "nodes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar."""
+        pairs = scratch.table(pairs, "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = scratch.table(_wanted(docs.select("row", "shingles"), ends).join(ends, F.col("row") == F.col("rep"), "left_semi"), "ends")
+        sets = scratch.table(_wanted(docs.select("row", "shingles"), ends), "ends")  # with a few that no pair asks for
         a, b = (sets.select(F.col("row").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         new = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(lean(_similar(similarity)), "a long, b long")
         new = scratch.table(new, "similar", arrow_rows=ROWS)
-        done.append(new)
         scratch.drop(pairs, sets)
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            if roots is not None:
-                scratch.drop(roots)
+        return new
+
+    least = scratch.table(nodes.groupBy("fp").agg(F.min("no").alias("least")), "simhashes")
+    links = verified(_golay_pairs(nodes, least))
+    scratch.drop(least)
+    roots, done = components(links, scratch), [links]
+    keyed = nodes.select("no", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("run")).where("run > 1")
+    keyed = keyed.join(shared, "key").join(roots.select(F.col("a").alias("no"), F.col("b").alias("root")), "no", "left")
+    keyed = scratch.table(keyed.select("key", "no", "band", F.coalesce("root", "no").alias("root"), "run"), "shared")
+    # A run within one component holds nothing to compare.
+    runs = keyed.groupBy("key").agg(F.min("no").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met, keyed = keyed, scratch.table(keyed.join(runs, "key").select("key", "no", "band", "root", ((F.col("run") <= RUN) | (F.col("no") == F.col("least"))).alias("pivot"), (F.col("run") > RUN).alias("goes_on")), "keyed")
+    scratch.drop(met)
+    sketches = nodes.select("no", "n", "keys", *(F.col("bits")[i].alias(c) for i, c in enumerate(WORDS_OF_BITS)))
+    turn = 0
+    while True:
+        new = verified(_candidates(keyed.join(sketches, "no"), similarity))
+        done.append(new)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            scratch.drop(roots)
             roots = components(links, scratch)
         # Long runs go on without their pivots where the rest lies in several components.
         rest = keyed.where("goes_on AND NOT pivot").select("key", "no", "band")

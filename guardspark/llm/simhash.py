@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.llm.components import components
-from guardspark.llm.scratch import Scratch, shuffle_width
+from guardspark.llm.scratch import Scratch, lean, shuffle_width
 
 #: Generator polynomial of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -82,8 +82,11 @@ def golay_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, None] ^ errors[s]) >> 11, np.arange(6) < used[s][:, None]
 
 
-def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of some fingerprints: positions in ``fp`` and keys."""
+def fuzzy_keys(fp: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of some fingerprints: positions in ``fp`` and keys.  Where at
+    most two bits differ, a segment is equal and another differs in one bit or
+    none; if so, they do for A and B, B and C, or C and A in this order, and
+    keys of these three kinds are enough: some 16."""
     fp = fp.view(np.uint64)
     parts = [((fp >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64) for low, n in SEGMENTS]
     coded = [golay_indices(p) for p in parts]
@@ -94,6 +97,11 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at.append(row)
         keys.append((payload[mask] << 3) | kind)
 
+    if bits <= 2:
+        for equal, near in ((0, 1), (1, 2), (2, 0)):
+            index, used = coded[near]
+            add(equal, (parts[equal][:, None] << 12) | index, used)
+        return np.concatenate(at), np.concatenate(keys)
     (a, in_a), (b, in_b) = coded[0], coded[1]
     both = ((a[:, :, None] << 12) | b[:, None, :]).reshape(len(fp), 36)
     mask = (in_a[:, :, None] & in_b[:, None, :]).reshape(len(fp), 36)
@@ -121,6 +129,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     else:
         digest, join = xxhash.xxh64_intdigest, b" ".join
         hashes = np.array([digest(join(s), SEED) for s in zip(*(tokens[i:] for i in range(words)), strict=False)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some hashes, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -140,13 +153,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        all_ = batch.column(0).to_numpy(zero_copy_only=False)
-        for i in range(0, len(all_), 4096):
-            fp = all_[i : i + 4096]
-            at, keys = fuzzy_keys(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at])], names=["key", "fp"])
+def _keyer(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(all_), 4096):
+                fp = all_[i : i + 4096]
+                at, keys = fuzzy_keys(fp, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at])], names=["key", "fp"])
+
+    return run
 
 
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -208,17 +224,24 @@ def _linker(bits: int):
     return run
 
 
+def golay_links(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """``a`` and ``b``: links of distinct fingerprints ``fp`` that differ in
+    ``bits`` or fewer, as far as their components need them."""
+    spark = fps.sparkSession
+    keyed = fps.select("fp").repartition(shuffle_width(spark)).mapInArrow(lean(_keyer(bits)), "key long, fp long")
+    sorted_ = keyed.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
+    return sorted_.mapInArrow(lean(_linker(bits)), "a long, b long")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` for every row of ``df``: the
     smallest id that links of ``bits`` or fewer differing bits reach."""
     if not 0 <= bits <= 3:
         raise ValueError("the keys find at most 3 differing bits")
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
     docs = scratch.table(fingerprints(df, id_col, text_col, words), "fingerprints")
     fps = scratch.table(docs.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    keyed = fps.select("fp").repartition(shuffle_width(spark)).mapInArrow(_with_keys, "key long, fp long")
-    sorted_ = keyed.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
-    roots = components(sorted_.mapInArrow(_linker(bits), "a long, b long"), scratch)
+    roots = components(golay_links(fps, bits), scratch)
     rooted = fps.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
     rooted = scratch.table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

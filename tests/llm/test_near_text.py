@@ -75,6 +75,22 @@ def test_long_runs_of_several_rounds(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_text.near_texts(df).collect()} == brute(docs)
 
 
+def test_golay_keys_alone_find_close_copies(spark, sf, monkeypatch):
+    """Long texts of which a word or two differ are linked by their SimHashes,
+    before any minima are compared; what is less similar is left to these."""
+    docs = varied(8, 1500)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    whole = {r.doc_id: r.component_id for r in near_text.near_texts(df).collect()}
+    assert whole == brute(docs)
+    asked, candidates = [], near_text._candidates
+    monkeypatch.setattr(near_text, "_candidates", lambda rows, s: asked.append(candidates(rows, s).count()) or candidates(rows, s).limit(0))
+    some = {r.doc_id: r.component_id for r in near_text.near_texts(df).collect()}
+    linked = [i for i, c in some.items() if c != i]
+    assert len(linked) >= 12 and all(whole[i] == whole[some[i]] for i in linked)
+    # Pairs linked so are not compared again: all pairs of the groups are 80.
+    assert asked[0] < 60
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = near_text.near_texts(docs).collect()

@@ -71,3 +71,15 @@ def test_awkward_rows(spark):
 def test_more_bits_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.near_copies(empty(spark), bits=4)
+
+
+def test_three_kinds_of_keys_find_two_bits():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, 40, np.int64)
+    for f in fp:
+        pairs = [(i, j) for i in range(64) for j in range(i, 64)]
+        others = np.array([f ^ np.int64(np.uint64((1 << i) | (1 << j)).view(np.int64)) for i, j in pairs], np.int64)
+        own = set(simhash.fuzzy_keys(np.array([f]), 2)[1].tolist())
+        at, keys = simhash.fuzzy_keys(others, 2)
+        assert set(at[np.isin(keys, list(own))].tolist()) == set(range(len(others)))
+        assert len(own) <= 18
