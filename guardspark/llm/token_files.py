@@ -1,23 +1,28 @@
 """Token-id files, coded by an adaptive context-mixing range coder.
 
-Ids of consecutive documents form a segment, cut into blocks.  Every block is
-coded by itself, from the same starting state, and carries a checksum.  Three
-orders predict the next id: the last id seen after the same two ids, the last
-seen after the same one, and the frequencies of single ids, which start from
-the segment's and follow the block's own.  Confidence counters give each
-order's chance to be right; a gated logistic mixture with weights learned on
-the way turns them into the probability of the order-2 prediction, what is left
-goes to the order-1 prediction and to the frequencies, and one range-coder step
-codes the id.  All arithmetic is on integers, so every machine decodes alike.
-
-Up to 512 blocks of a segment are coded in step, as lanes of arrays, which is
-what makes an adaptive coder feasible in numpy; blocks share nothing but the
-tables of the segment's head.
-
-A segment's bytes: ``GSTK``, version, block size, numbers of documents, ids and
-blocks (little-endian, 32 bits each), three zstd frames (alphabet, weights,
-document lengths) with their sizes, the directory (for each block the number of
-its bytes, their CRC-32 and that of its ids) and the blocks.
+Ids of consecutive documents form a segment.  Its symbols are ids and units: a
+unit is a piece of text that is frequent in the segment, with all its ids.
+Three orders predict the next symbol: the last one seen after the same two
+symbols, the last seen after the same one, and the segment's frequencies.
+Confidence counters give each order's chance to be right; a logistic mixture,
+gated by the confidence of order 2, turns them into the probability of the
+order-2 prediction, what is left goes to the order-1 prediction and to the
+frequencies, and one range-coder step codes the symbol.  Counters and weights
+are learned on the way.  All arithmetic is on integers, so every machine
+decodes alike.
+
+The symbols are cut into up to ``LANES`` blocks that are coded in step, as lanes
+of arrays, which is what makes an adaptive coder feasible in numpy.  Lanes share
+predictions, counters and weights, so all learn from each.  What the mixture
+gives depends on few numbers (two confidences, whether both orders agree, the
+order of magnitude of a frequency), so it is kept as a table of all of them,
+made anew from counters and weights after every ``LEARN`` symbols.
+
+A segment's bytes: ``GSTK``, version, block size, numbers of documents, ids,
+symbols and blocks (little-endian, 32 bits each), five zstd frames (ids of the
+symbols, how many ids each has, how often it occurs, document lengths, CRC-32
+of each ``CHECKED`` ids) with their sizes, the directory (for each block the
+number of its bytes and their CRC-32) and the blocks.
 
 Defined results: null and empty texts give the end id alone; documents are
 written in ascending id, null ids first; repeated rows are written again;
@@ -26,11 +31,14 @@ further columns are dropped; an empty table gives no segment.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +47,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardspark.llm.bpe import load, special_tokens
-from guardspark.llm.scratch import Scratch, shuffle_width
-
-LANES = 512
-#: Ids in a block at most and at least, and in a segment about.
-BLOCK, LEAST_BLOCK, SEGMENT = 16_384, 1024, 512 * 16_384
-#: Bits of the frequencies and of the mixture.
-T0, SEL = 18, 12
-ORDER1, ORDER2 = 12, 13  # bits of the prediction tables
-TOP, BOTTOM = 1 << 48, 1 << 40
+from guardspark.llm.scratch import Scratch, lean, shuffle_width
+
+LANES = 2048
+#: Symbols in a block at least, and ids in a segment about.
+LEAST_BLOCK, SEGMENT = 1024, 512 * 16_384
+#: Occurrences that make a piece a unit, and units of a segment at most.
+LEAST_UNIT, UNITS = 8, 60_000
+#: Bits of the frequencies, of the mixture and of the order-2 table.
+T0, SEL, ORDER2 = 19, 12, 18
+#: Symbols after which counters, weights and the mixture follow.
+LEARN = 16_384
+#: Ids under one checksum.
+CHECKED = 1 << 16
 END_ID = 1
 REMEMBERED = 400_000
 MAGIC = b"GSTK"
@@ -63,203 +75,259 @@ def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 SQUASH, STRETCH = _logistic_tables()
+#: A context of the mixture: magnitude of the frequency and confidence of the
+#: order-2 prediction, confidence of the order-1 prediction, agreement.
+_C = np.arange(1 << 13)
+MAGNITUDE, Q2, Q1, AGREE = _C >> 9, _C >> 5 & 15, _C >> 1 & 15, (_C & 1).astype(bool)
+CHANCE = STRETCH[np.clip((3 << (np.arange(16) + 2)) >> (T0 - 12), 1, 4095)][MAGNITUDE]
+#: Change of a confidence, missed (first 16) or hit.
+CHANGE = np.concatenate([-(np.arange(16) - (np.arange(16) >> 1)), np.arange(16) < 15]).astype(np.int64)
+NOTHING = -256
 
 
 class _Model:
-    """The state of all lanes.  A prediction and its confidence share a number:
-    id * 16 + confidence, 0 for none."""
-
-    def __init__(self, lanes: int, weights: np.ndarray):
-        self.a, self.lanes = len(weights), lanes
-        lane = np.arange(lanes)
-        self.lane, self.row = lane, lane * self.a
-        self.at1, self.at2, self.at16 = lane << ORDER1, lane << ORDER2, lane << 4
-        self.t1, self.t2 = np.zeros(lanes << ORDER1, np.int32), np.zeros(lanes << ORDER2, np.int32)
-        self.right1 = np.tile(np.arange(16) * 3000 + 8000, lanes)
-        self.right2 = self.right1.copy()
-        self.w = [np.full(lanes, x) for x in (40_000, 20_000, 10_000)]
-        self.prior = weights.astype(np.int64)
-        self.seen = np.zeros(lanes * self.a, np.int64)
-        self.s1, self.s2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.frequencies(None)
-
-    def frequencies(self, since: np.ndarray | None) -> None:
-        """Frequencies of each lane: start (in one ascending array) and width
-        of each id.  ``since``: the ids that came since the last call."""
-        if since is not None:
-            self.seen += np.bincount((since + self.row).ravel(), minlength=len(self.seen))
-        w = self.prior + 24 * self.seen.reshape(self.lanes, self.a)
-        f = 1 + w * ((1 << T0) - self.a) // w.sum(axis=1, keepdims=True)
-        f[:, -1] += (1 << T0) - f.sum(axis=1)
-        self.f = f.ravel()
-        self.start = np.cumsum(self.f) - self.f  # lane after lane, each with 1 << T0 in all
-        self.chance = STRETCH.take(np.clip(self.f >> (T0 - 12), 1, 4095))
+    """The state that all lanes share, and the last symbols of each.  A
+    prediction, its magnitude and its confidence share a number: symbol * 256 +
+    magnitude * 16 + confidence, ``NOTHING`` for none."""
+
+    def __init__(self, lanes: int, counts: np.ndarray):
+        a = len(counts)
+        if a > 1 << (T0 - 1):
+            raise ValueError(f"a segment of {a} different symbols is not supported")
+        self.f = 1 + counts.astype(np.int64) * ((1 << T0) - a) // max(int(counts.sum(dtype=np.int64)), 1)
+        self.f[np.argmax(self.f)] += (1 << T0) - self.f.sum()
+        self.start = np.cumsum(self.f) - self.f
+        magnitude = np.clip(np.searchsorted(1 << np.arange(T0 + 1), self.f, "right") - 4, 0, 15)
+        self.fresh = (np.arange(a) << 8) + (magnitude << 4) + 1
+        self.t1, self.t2 = np.full(a, NOTHING), np.full(1 << ORDER2, NOTHING)
+        self.s1, self.k2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.n1, self.n2 = np.full(16, 32), np.full(16, 32)
+        self.h1 = self.h2 = (np.arange(16) * 3000 + 8000) * 32 >> 16
+        self.w = [np.full(16, x) for x in (40_000, 20_000, 10_000)]
+        self.log, self.logged = np.zeros(LEARN + lanes, np.int64), 0
+        self.mix()
+
+    def mix(self) -> None:
+        """Shares of the three outcomes (order 2, order 1, frequencies), of
+        4096, in every context."""
+        a1, a2 = (self.h1 << 16) // (self.n1 + 1), (self.h2 << 16) // (self.n2 + 1)
+        has1, has2 = Q1 > 0, Q2 > 0
+        x1 = STRETCH[a1 >> 4][Q1] * has1
+        self.x = STRETCH[a2 >> 4][Q2], np.where(AGREE, x1, -x1), CHANCE
+        dot = sum(w[Q2] * x for w, x in zip(self.w, self.x, strict=True)) >> 16
+        self.mixed = SQUASH[np.clip(dot + 2048, 0, 4095)]
+        o2 = np.where(has2, np.minimum(self.mixed, 3900), 1)
+        o1 = np.clip((4096 - o2) * a1[Q1] >> 16, 1, 4032 - o2) * (has1 & ~(AGREE & has2))
+        cut = np.stack([np.zeros_like(o2), o2, o2 + o1, np.full_like(o2, 4096)], axis=1)
+        self.low = cut.ravel()  # at context * 4 + outcome
+        self.share = np.diff(cut, axis=1, append=4097).ravel()
+
+    def learn(self) -> None:
+        """Counters and weights follow the outcomes since the last call."""
+        seen = np.bincount(self.log[: self.logged], minlength=4 << 13).reshape(-1, 4)
+        self.logged = 0
+        n, hit2 = seen.sum(axis=1), seen[:, 0]
+        hit1 = seen[:, 1] + hit2 * (AGREE & (Q1 > 0))
+        by = lambda q, x: np.bincount(q, x, 16).astype(np.int64)  # noqa: E731  sums far below 2 ** 53 are exact
+        self.n1, self.h1, self.n2, self.h2 = self.n1 + by(Q1, n), self.h1 + by(Q1, hit1), self.n2 + by(Q2, n), self.h2 + by(Q2, hit2)
+        for many, hits in ((self.n1, self.h1), (self.n2, self.h2)):
+            old = many > 1 << 17
+            many[old] >>= 1
+            hits[old] >>= 1
+        error = ((hit2 << 12) - n * self.mixed) * (Q2 > 0)
+        times = by(Q2, n)
+        for w, x in zip(self.w, self.x, strict=True):
+            w += (by(Q2, error * x) // np.maximum(times, 1)) * 14 * np.minimum(times, 256) >> 16
+        self.mix()
 
     def predict(self, n: int) -> None:
-        """Predictions and the shares of the three outcomes, of 4096."""
-        h = self.s1[:n] * 40_503
-        self.i1 = self.at1[:n] + ((h >> 3) & ((1 << ORDER1) - 1))
-        self.i2 = self.at2[:n] + (((h * 65_537 + self.s2[:n] * 40_503) >> 5) & ((1 << ORDER2) - 1))
-        v1, v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.p1, self.q1, self.p2, self.q2 = v1 >> 4, v1 & 15, v2 >> 4, v2 & 15
-        self.has1, self.has2 = self.q1 > 0, self.q2 > 0
-        self.r1, self.r2 = self.at16[:n] + self.q1, self.at16[:n] + self.q2
-        self.a1, self.a2 = self.right1.take(self.r1), self.right2.take(self.r2)
-        agree = self.p1 == self.p2
-        x1 = STRETCH.take(self.a1 >> 4)
-        self.x = STRETCH.take(self.a2 >> 4), np.where(agree, x1, -x1) * self.has1, self.chance.take(self.row[:n] + self.p2)
-        w = self.w
-        dot = (w[0][:n] * self.x[0] + w[1][:n] * self.x[1] + w[2][:n] * self.x[2]) >> 16
-        self.mixed = SQUASH.take(dot + 2048, mode="clip")
-        self.o2 = np.where(self.has2, np.minimum(self.mixed, 3900), 1)
-        o1 = np.minimum(((4096 - self.o2) * self.a1) >> 16, 4032 - self.o2)
-        self.o1 = o1 * (self.has1 & ~(agree & self.has2))
-        self.o12 = self.o1 + self.o2
-        self.o0 = 4096 - self.o12
-
-    def interval(self, n: int, s: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of an id, of 1 << (T0 + SEL)."""
-        place = self.row[:n] + s
-        start = (self.o12 << T0) + (self.start.take(place) - (self.lane[:n] << T0)) * self.o0
-        width = self.f.take(place) * self.o0
-        return np.where(hit2, 0, np.where(hit1, self.o2 << T0, start)), np.where(hit2, self.o2 << T0, np.where(hit1, self.o1 << T0, width))
-
-    def update(self, n: int, s: np.ndarray) -> None:
-        """The ids that came."""
-        hit1, hit2 = (s == self.p1) & self.has1, (s == self.p2) & self.has2
-        self.right1[self.r1] = self.a1 + ((hit1 * 65_535 - self.a1) >> 5)
-        self.right2[self.r2] = self.a2 + ((hit2 * 65_535 - self.a2) >> 5)
-        error = ((hit2 << 12) - self.mixed) * self.has2 * 14
-        for w, x in zip(self.w, self.x, strict=True):
-            w[:n] += (x * error + 0x8000) >> 16
-        for t, i, p, q, hit in ((self.t1, self.i1, self.p1, self.q1, hit1), (self.t2, self.i2, self.p2, self.q2, hit2)):
-            t[i] = np.where(hit, (p << 4) + np.minimum(q + 1, 15), np.where(q <= 1, (s << 4) + 1, (p << 4) + (q >> 1)))
-        self.s2[:n] = self.s1[:n]
+        """Predictions and contexts of the first ``n`` lanes."""
+        if self.logged >= LEARN:
+            self.learn()
+        self.i1 = self.s1[:n]
+        self.k1 = self.i1 * 0x9E3779B1
+        self.i2 = ((self.k1 + self.k2[:n]) >> 13) & ((1 << ORDER2) - 1)
+        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.p1, self.p2 = self.v1 >> 8, self.v2 >> 8
+        self.q1, self.q2 = self.v1 & 15, self.v2 & 15
+        c = (self.v2 & 255) << 4
+        c |= self.q1
+        c <<= 1
+        c |= self.p1 == self.p2
+        c <<= 2
+        self.c4 = c
+
+    def interval(self, outcome: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of symbols, of 1 << (T0 + SEL)."""
+        j = self.c4 + outcome
+        self.log[self.logged : self.logged + len(j)] = j
+        self.logged += len(j)
+        share, other = self.share.take(j), outcome == 2
+        start = self.start.take(s)
+        start *= other
+        start *= share
+        start += self.low.take(j) << T0
+        share *= np.where(other, self.f.take(s), 1 << T0)
+        return start, share
+
+    def update(self, s: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """The symbols that came.  Of lanes with one context the last counts."""
+        fresh = self.fresh.take(s)
+        for t, i, v, q, hit in ((self.t1, self.i1, self.v1, self.q1, hit1), (self.t2, self.i2, self.v2, self.q2, hit2)):
+            q += hit * 16
+            v += CHANGE.take(q)
+            t[i] = np.where(q < 2, fresh, v)
+        n = len(s)
+        self.k2[:n] = (self.k1 >> 3) * 5
         self.s1[:n] = s
 
 
-#: Steps after which frequencies follow the block's own ids.
-REBUILD = {512, 2048, 8192}
-LAST = np.uint64((1 << (T0 + SEL)) - 1)
+LOW_HALF, BITS = np.uint64((1 << 32) - 1), np.uint64(32)
+
+
+def _narrow(low: np.ndarray, rng: np.ndarray, r: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Take an interval.  Lanes whose range became small, and the 32 bits that
+    each of them puts out: its range is cut where these bits would change."""
+    low += start.view(np.uint64) * r
+    np.multiply(r, width.view(np.uint64), out=rng)
+    go = np.flatnonzero(rng <= LOW_HALF)
+    lo = low.take(go)
+    rest = lo & LOW_HALF
+    rng[go] = np.minimum(rng.take(go), LOW_HALF - rest + np.uint64(1)) << BITS
+    low[go] = rest << BITS
+    return go, lo >> BITS
+
 
+def _shape(n_symbols: int) -> tuple[int, int]:
+    """Block size and number of blocks."""
+    block = max(-(-n_symbols // LANES), LEAST_BLOCK)
+    return block, -(-n_symbols // block)
 
-def _encode_lanes(symbols: np.ndarray, weights: np.ndarray, block: int) -> list[bytes]:
-    lanes = -(-len(symbols) // block)
+
+def _encode_lanes(symbols: np.ndarray, counts: np.ndarray, block: int, lanes: int) -> list[bytes]:
     tail = len(symbols) - (lanes - 1) * block
-    grid = np.zeros(lanes * block, np.int64)
+    grid = np.zeros(lanes * block, np.int32)
     grid[: len(symbols)] = symbols
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    m = _Model(lanes, weights)
+    m = _Model(lanes, counts)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, at = np.zeros((lanes, 2 * block + 8), np.uint16), np.zeros(lanes, np.int64)
-    last = 0
+    row = block + 2
+    out, at = np.zeros(lanes * row, np.uint32), np.arange(lanes) * row
     for t in range(block):
         n = lanes if t < tail else lanes - 1
         if not n:
             break
-        if t in REBUILD and t < tail:
-            m.frequencies(grid[last:t])
-            last = t
         m.predict(n)
-        s = grid[t, :n]
-        hit2 = (s == m.p2) & m.has2
-        hit1 = (s == m.p1) & (m.o1 > 0) & ~hit2
-        start, width = m.interval(n, s, hit1, hit2)
-        lo, r = low[:n], rng[:n]
-        r >>= np.uint64(T0 + SEL)
-        lo += start.view(np.uint64) * r
-        r *= width.view(np.uint64)
-        _shift(lo, r, lambda go, lo=lo: _put(out, at, go, lo))
-        m.update(n, s)
-    for _ in range(4):
-        _put(out, at, m.lane, low)
-        low <<= np.uint64(16)
-    return [out[i, : at[i]].tobytes() for i in range(lanes)]
-
-
-def _put(out: np.ndarray, at: np.ndarray, go: np.ndarray, low: np.ndarray) -> None:
-    out[go, at[go]] = (low[go] >> np.uint64(48)).astype(np.uint16)
-    at[go] += 1
-
-
-def _shift(low: np.ndarray, rng: np.ndarray, move) -> None:
-    """Put out 16 bits wherever they are settled, or the range became small."""
-    settled, small = (low ^ (low + rng)) < np.uint64(TOP), rng < np.uint64(BOTTOM)
-    go = np.flatnonzero(settled | small)
-    settled = settled[go]
-    while len(go):
-        cut = go[~settled]
-        rng[cut] = (np.uint64(0) - low[cut]) & np.uint64(BOTTOM - 1)
-        move(go)
-        lo, r = low[go] << np.uint64(16), rng[go] << np.uint64(16)
-        low[go], rng[go] = lo, r
-        settled = (lo ^ (lo + r)) < np.uint64(TOP)
-        on = settled | (r < np.uint64(BOTTOM))
-        go, settled = go[on], settled[on]
-
-
-def _decode_lanes(blocks: list[bytes], n_symbols: int, weights: np.ndarray, block: int) -> np.ndarray:
+        s = grid[t, :n].astype(np.int64)
+        hit1, hit2 = s == m.p1, s == m.p2
+        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+        go, word = _narrow(low[:n], rng[:n], rng[:n] >> np.uint64(T0 + SEL), *m.interval(outcome, s))
+        i = at.take(go)
+        out[i] = word
+        at[go] = i + 1
+        m.update(s, hit1, hit2)
+    for _ in range(2):
+        out[at] = low >> BITS
+        low <<= BITS
+        at += 1
+    return [out[i * row : end].tobytes() for i, end in enumerate(at.tolist())]
+
+
+def _decode_lanes(blocks: list[bytes], n_symbols: int, counts: np.ndarray, block: int) -> np.ndarray:
     lanes = len(blocks)
     tail = n_symbols - (lanes - 1) * block
-    words = np.zeros((lanes, max(len(b) // 2 for b in blocks) + 4), np.uint16)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, np.uint16)
-    m = _Model(lanes, weights)
-    low, rng, code, at = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64), np.zeros(lanes, np.int64)
-
-    def take(go: np.ndarray) -> None:
-        code[go] = (code[go] << np.uint64(16)) | words[go, at[go]].astype(np.uint64)
-        at[go] += 1
-
-    for _ in range(4):
-        take(m.lane)
-    grid = np.zeros((block, lanes), np.int64)
-    last = 0
+    words = np.frombuffer(b"".join(blocks), "<u4")
+    sizes = np.array([len(b) // 4 for b in blocks])
+    at = np.cumsum(sizes) - sizes
+    m = _Model(lanes, counts)
+    of_slot = np.repeat(np.arange(len(m.f), dtype=np.int32), m.f)
+    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    code = words.take(at).astype(np.uint64) << BITS | words.take(at + 1)
+    at += 2
+    grid = np.zeros((block, lanes), np.int32)
     for t in range(block):
         n = lanes if t < tail else lanes - 1
         if not n:
             break
-        if t in REBUILD and t < tail:
-            m.frequencies(grid[last:t])
-            last = t
         m.predict(n)
-        lo, r = low[:n], rng[:n]
-        r >>= np.uint64(T0 + SEL)
-        value = np.minimum((code[:n] - lo) // r, LAST).view(np.int64)
-        hit2 = value < m.o2 << T0
-        hit1 = ~hit2 & (value < m.o12 << T0)
-        s = np.where(hit2, m.p2, m.p1).astype(np.int64)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        slot = (value[rest] - (m.o12[rest] << T0)) // m.o0[rest]
-        s[rest] = np.searchsorted(m.start, slot + (rest << T0), "right") - 1 - rest * m.a
-        start, width = m.interval(n, s, hit1, hit2)
-        lo += start.view(np.uint64) * r
-        r *= width.view(np.uint64)
-        _shift(lo, r, take)
+        r = rng[:n] >> np.uint64(T0 + SEL)
+        value = ((code[:n] - low[:n]) // r).view(np.int64)
+        share = value >> T0
+        outcome = (share >= m.low.take(m.c4 + 1)).astype(np.int64)
+        outcome += share >= m.low.take(m.c4 + 2)
+        j = m.c4 + outcome
+        value -= m.low.take(j) << T0
+        value //= m.share.take(j)
+        s = of_slot.take(value).astype(np.int64)
+        s = np.where(outcome == 2, s, np.where(outcome == 0, m.p2, m.p1))
+        go, _ = _narrow(low[:n], rng[:n], r, *m.interval(outcome, s))
+        i = at.take(go)
+        code[go] = code.take(go) << BITS | words.take(i)
+        at[go] = i + 1
         grid[t, :n] = s
-        m.update(n, s)
+        m.update(s, s == m.p1, s == m.p2)
     return grid.T.ravel()[:n_symbols]
 
 
 def _frame(a: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=6).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(a.astype("<u4").tobytes())
+
+
+def _spelled(numbers: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The items ``flat[first[i] : first[i] + size[i]]`` of all numbers i."""
+    out = []
+    for k in range(0, len(numbers), 1 << 19):
+        some = numbers[k : k + (1 << 19)]
+        n = size.take(some)
+        ends = np.cumsum(n)
+        place = np.repeat(first.take(some) - ends + n, n)
+        place += np.arange(len(place))
+        out.append(flat.take(place))
+    return np.concatenate(out) if out else flat[:0]
 
 
 def encode_segment(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """Ids of documents, one after the other, and their lengths, as bytes."""
-    alphabet, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    weights = np.maximum(1, counts.astype(np.int64) * 60_000 // max(len(ids), 1)).astype(np.uint16)
-    block = int(np.clip(-(-len(ids) // LANES), LEAST_BLOCK, BLOCK))
-    blocks: list[bytes] = []
-    for a in range(0, len(symbols), LANES * block):
-        blocks += _encode_lanes(symbols[a : a + LANES * block], weights, block)
-    plain = ids.astype("<u4")
-    checks = [zlib.crc32(plain[i * block : (i + 1) * block].tobytes()) for i in range(len(blocks))]
-    frames = [_frame(np.diff(alphabet, prepend=0).astype("<u4")), _frame(weights.astype("<u2")), _frame(lengths.astype("<u4"))]
-    head = MAGIC + struct.pack("<IIIII", 1, block, len(lengths), len(ids), len(blocks)) + struct.pack("<III", *map(len, frames))
-    return b"".join([head, *frames, np.array([list(map(len, blocks)), list(map(zlib.crc32, blocks)), checks], "<u4").tobytes(), *blocks])
+    alphabet, numbers = np.unique(ids, return_inverse=True)
+    return encode_pieces(numbers, np.arange(len(alphabet) + 1), alphabet, lengths)
+
+
+def encode_pieces(numbers: np.ndarray, first: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The same of documents whose ids come in pieces: piece i has the ids
+    ``flat[first[i] : first[i + 1]]``."""
+    size, first = np.diff(first), first[:-1]
+    counts = np.bincount(numbers, minlength=len(size))
+    unit = (counts >= LEAST_UNIT) & (size > 1)
+    if unit.sum() > UNITS:
+        best = np.flatnonzero(unit)
+        best = best[np.argsort(-counts[best] * (size[best] - 1), kind="stable")[:UNITS]]
+        unit = np.zeros(len(size), bool)
+        unit[best] = True
+    units, alone = np.flatnonzero(unit), np.flatnonzero((counts > 0) & ~unit)
+    alphabet, places = np.unique(_spelled(alone, first, size, flat), return_inverse=True)
+    # Pieces as symbols: a unit is one, the others have one for each id.
+    n = np.where(unit, 1, size)
+    of = np.concatenate([places, len(alphabet) + np.arange(len(units))]).astype(np.int32)
+    at = np.zeros(len(size), np.int64)
+    at[alone], at[units] = np.cumsum(n[alone]) - n[alone], len(places) + np.arange(len(units))
+    symbols = _spelled(numbers, at, n, of)
+    often = np.bincount(symbols, minlength=len(alphabet) + len(units))
+    block, n_blocks = _shape(len(symbols))
+    blocks = _encode_lanes(symbols, often, block, n_blocks) if n_blocks else []
+    spelling = np.concatenate([alphabet, _spelled(units, first, size, flat)])
+    sizes = np.concatenate([np.ones(len(alphabet), np.int64), size[units]])
+    n_ids, checks = _checks(spelling, sizes, symbols)
+    frames = [_frame(x) for x in (spelling, sizes, often, lengths, np.array(checks, np.int64))]
+    head = MAGIC + struct.pack("<6I", 2, block, len(lengths), n_ids, len(symbols), n_blocks) + struct.pack("<5I", *map(len, frames))
+    return b"".join([head, *frames, np.array([list(map(len, blocks)), list(map(zlib.crc32, blocks))], "<u4").tobytes(), *blocks])
+
+
+def _checks(spelling: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> tuple[int, list[int]]:
+    """Number of ids and the CRC-32 of each ``CHECKED``."""
+    ids = _spelled(symbols, np.cumsum(sizes) - sizes, sizes, spelling.astype("<u4"))
+    return len(ids), [zlib.crc32(ids[i : i + CHECKED]) for i in range(0, len(ids), CHECKED)]
 
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -268,53 +336,155 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    version, block, n_docs, n_ids, n_blocks, *sizes = struct.unpack_from("<8I", data, 4)
-    if version != 1:
+    version, block, n_docs, n_ids, n_symbols, n_blocks, *sizes = struct.unpack_from("<11I", data, 4)
+    if version != 2:
         raise ValueError(f"token segments of version {version} are unknown")
-    at, frames = 36, []
+    at, frames = 48, []
     for size in sizes:
-        frames.append(zstandard.ZstdDecompressor().decompress(data[at : at + size]))
+        frames.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size]), "<u4"))
         at += size
-    alphabet, weights, lengths = np.cumsum(np.frombuffer(frames[0], "<u4"), dtype=np.int64), np.frombuffer(frames[1], "<u2"), np.frombuffer(frames[2], "<u4")
-    lens, coded, checks = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(3, -1)
-    at += 12 * n_blocks
+    spelling, size, often, lengths, checks = frames
+    lens, coded = np.frombuffer(data, "<u4", 2 * n_blocks, at).reshape(2, -1)
+    at += 8 * n_blocks
     edges = at + np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
     blocks = [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     for i, b in enumerate(blocks):
         if zlib.crc32(b) != coded[i]:
             raise ValueError(f"block {i} is damaged")
-    parts = [_decode_lanes(blocks[i : i + LANES], min(n_ids - i * block, LANES * block), weights, block) for i in range(0, n_blocks, LANES)]
-    ids = alphabet[np.concatenate(parts)].astype("<u4") if parts else np.zeros(0, "<u4")
-    for i in range(n_blocks):
-        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != checks[i]:
-            raise ValueError(f"block {i} does not give its ids")
+    symbols = _decode_lanes(blocks, n_symbols, often, block) if blocks else np.zeros(0, np.int32)
+    size = size.astype(np.int64)
+    ids = _spelled(symbols, np.cumsum(size) - size, size, spelling)
+    for i, check in enumerate(checks.tolist()):
+        if zlib.crc32(ids[i * CHECKED : (i + 1) * CHECKED]) != check:
+            raise ValueError(f"ids from {i * CHECKED} on are not those that were written")
+    if len(ids) != n_ids:
+        raise ValueError(f"{len(ids)} ids came back of {n_ids}")
     return ids, lengths
 
 
+#: What the tokenizer does before its merges, where ``PIECES`` can do it.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+STEPS = ["NFC", {"Regex": "\\s+"}, "Lowercase"]
+#: Lower-cased text of ASCII and of Latin-1 letters, of which NFC changes nothing.
+PLAIN = re.compile("[\t-\r -~\xc0-\xff]*")
+PIECES = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+ENDING = "</w>"
+
+
+class _Numbers(dict):
+    """A number for each piece, in the order of their first use."""
+
+    def __missing__(self, piece: str | int) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
+def _of_pieces(model: dict) -> str | None:
+    """The tokenizer for text that is split already, one space between pieces;
+    none if ``PIECES`` does not split as the tokenizer does."""
+    steps = [x.get("pattern", x["type"]) for x in (model.get("normalizer") or {}).get("normalizers", [])]
+    pre = (model.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != STEPS or [x["type"] for x in pre] != ["Split", "ByteLevel"] or pre[0]["pattern"] != {"Regex": SPLIT} or not pre[0]["invert"] or pre[1]["use_regex"] or model["model"].get("end_of_word_suffix") != ENDING:
+        return None
+    return json.dumps(model | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, pre[1]]}, "added_tokens": []})
+
+
 class Encoder:
-    """A tokenizer that drops white space, word by word with a bounded memory."""
+    """A tokenizer that drops white space, piece by piece with a bounded
+    memory: text is split as the tokenizer splits it before its merges, or
+    where that is not plain at white space, and every distinct piece is encoded
+    by the tokenizer once.  ``flat`` and ``first`` spell the pieces."""
 
     #: Characters that Python splits at and the tokenizer does not.
     odd = re.compile("[\x1c-\x1f]")
 
     def __init__(self, source: str, end: int):
-        self.tok, self.end = load(source), array("I", [end]).tobytes()
-        self.cut = re.compile("(" + "|".join(map(re.escape, special_tokens(source))) + ")")
-        self.known: dict[str, bytes] = {}
+        from tokenizers import Tokenizer
+
+        self.tok, self.end = load(source), end
+        self.cut = re.compile("|".join(map(re.escape, special_tokens(source))) or "(?!)")
+        inner = _of_pieces(json.loads(source))
+        self.inner = Tokenizer.from_str(inner) if inner else None
+        names = {i: t for t, i in self.tok.get_vocab().items()}
+        #: Ids that end a piece: each piece ends with one and has no other.
+        self.last = np.array([names.get(i, "").endswith(ENDING) for i in range(max(names) + 1)])
+        self.keep(None)
+
+    def keep(self, some: np.ndarray | None) -> None:
+        """Forget all pieces but these numbers, which become 0, 1, ..."""
+        if some is None or len(some) > REMEMBERED:
+            self.known, self.flat, self.first = _Numbers(), array("I"), array("q", [0])
+            return
+        keys = list(self.known)
+        first, flat = self.spelling()
+        sizes = np.diff(first)
+        self.known = _Numbers(zip(map(keys.__getitem__, some.tolist()), range(len(some)), strict=True))
+        self.flat = array("I", _spelled(some, first[:-1], sizes, flat).tobytes())
+        self.first = array("q", np.concatenate([[0], np.cumsum(sizes[some])]).tobytes())
+
+    def _split(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that the tokenizer splits no further, and how many
+        each has.  They go to it many at once."""
+        joined = self.inner.encode_batch_fast([" ".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)], add_special_tokens=False)
+        ids = [np.array(e.ids, np.uint32) for e in joined]
+        ends = [np.flatnonzero(self.last.take(x)) for x in ids]
+        if any(len(x) != min(64, len(pieces) - 64 * i) or x[-1] != len(y) - 1 for i, (x, y) in enumerate(zip(ends, ids, strict=True))):
+            raise ValueError("the tokenizer ends pieces in another way than this encoder")
+        return np.concatenate(ids), np.concatenate([np.diff(x, prepend=-1) for x in ends])
+
+    def _learn(self, new: list, plain: bool) -> None:
+        """Spell pieces: strings, or ids that stand for themselves."""
+        if plain:
+            ids, sizes = self._split(new)
+        else:
+            words = [w for w in new if isinstance(w, str)]
+            coded = iter(self.tok.encode_batch_fast(words, add_special_tokens=False))
+            spelled = [next(coded).ids if isinstance(w, str) else [w] for w in new]
+            ids, sizes = np.array([i for x in spelled for i in x], np.uint32), np.array([len(x) for x in spelled], np.int64)
+        self.first.frombytes((np.cumsum(sizes) + self.first[-1]).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The pieces of each text and the end id, by number."""
+        out: list = [None] * len(texts)
+        kinds: dict[bool, list[tuple[int, list]]] = {True: [], False: []}
+        for i, t in enumerate(texts):
+            if self.odd.search(t) or self.cut.search(t):
+                kinds[False].append((i, self.tok.encode(t, add_special_tokens=False).ids))
+            elif self.inner and PLAIN.fullmatch(t):
+                kinds[True].append((i, PIECES.findall(t.lower())))
+            else:
+                kinds[False].append((i, t.split()))
+        try:
+            if self.end not in self.known:
+                self.known.update({self.end: len(self.known)})
+                self._learn([self.end], False)
+            for plain, some in kinds.items():
+                at = len(self.known)
+                for i, p in some:
+                    out[i] = np.fromiter(map(self.known.__getitem__, [*p, self.end]), np.int32, len(p) + 1)
+                if at < len(self.known):
+                    self._learn(list(islice(reversed(self.known), len(self.known) - at))[::-1], plain)
+        except BaseException:
+            self.keep(None)  # the worker's next task may not meet pieces without ids
+            raise
+        return out
+
+    def spelling(self) -> tuple[np.ndarray, np.ndarray]:
+        """``first`` and ``flat`` as they are now."""
+        return np.array(self.first, np.int64), np.array(self.flat, np.uint32)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as 32-bit numbers."""
-        whole = {i for i, t in enumerate(texts) if self.odd.search(t) or self.cut.search(t)}
-        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*words) - self.known.keys()) if words else []
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, words[i]))) + self.end for i, t in enumerate(texts)]
+        numbers = self.numbers(texts)
+        first, flat = self.spelling()
+        return [_spelled(x, first[:-1], np.diff(first), flat).tobytes() for x in numbers]
+
+
+@lru_cache(1)
+def _encoder(source: str, end: int) -> Encoder:
+    """One for a worker and its tasks."""
+    return Encoder(source, end)
 
 
 FILES = "part int, segment int, n_tokens long, docs array<{id}>, data binary"
@@ -322,29 +492,35 @@ FILES = "part int, segment int, n_tokens long, docs array<{id}>, data binary"
 
 def _writer(id_type: pa.DataType, source, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, segment = Encoder(source.value, end), TaskContext.get().partitionId(), 0
-        docs, ids, size = [], [], 0
+        encoder, part, segment = _encoder(source.value, end), TaskContext.get().partitionId(), 0
+        docs, pieces, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([docs], pa.list_(id_type)), pa.array([encode_segment(flat, lengths)], pa.binary())], names=["part", "segment", "n_tokens", "docs", "data"])
+            first, flat = encoder.spelling()
+            sizes, numbers = np.diff(first), np.concatenate(pieces)
+            lengths = np.add.reduceat(sizes.take(numbers), np.cumsum([0, *map(len, pieces[:-1])]))
+            data = encode_pieces(numbers, first, flat, lengths)
+            # Pieces keep their numbers for a segment; then those that came once go.
+            if len(sizes) > REMEMBERED // 2:
+                encoder.keep(np.flatnonzero(np.bincount(numbers, minlength=len(sizes)) > 1))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([lengths.sum()], pa.int64()), pa.array([docs], pa.list_(id_type)), pa.array([data], pa.binary())], names=["part", "segment", "n_tokens", "docs", "data"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                some = b.slice(k, 512)
-                for i, x in zip(some.column(0).to_pylist(), encoder.batch([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    docs.append(i)
-                    ids.append(x)
-                    size += len(x) // 4
-                    if size >= SEGMENT:
-                        yield flush()
-                        segment += 1
-                        docs, ids, size = [], [], 0
+            for k in range(0, b.num_rows, 128):
+                some = b.slice(k, 128)
+                new = encoder.numbers([t or "" for t in some.column(1).to_pylist()])
+                docs += some.column(0).to_pylist()
+                pieces += new
+                first = np.array(encoder.first)
+                size += sum(int((first.take(x + 1) - first.take(x)).sum()) for x in new)
+                if size >= SEGMENT or len(encoder.known) > 2 * REMEMBERED:
+                    yield flush()
+                    segment += 1
+                    docs, pieces, size = [], [], 0
         if docs:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def write_tokens(df: DataFrame, scratch: Scratch, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END_ID) -> DataFrame:

@@ -72,3 +72,29 @@ def test_awkward_rows(spark):
     got = sorted((r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in t.read_tokens(files).collect())
     assert got == want([(r.doc_id, r.text) for r in rows.collect()])
     assert t.read_tokens(t.write_tokens(empty(spark), Scratch(spark), PATH)).count() == 0
+
+
+def test_frequent_pieces_are_coded_in_one_step_and_asked_for_once():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("bcdgklmnprst"), 9)) for _ in range(200)]
+    texts = [" ".join(w.title() + "," if k % 3 else w for k, w in zip(rng.integers(0, 9, 400), rng.choice(words, 400), strict=True)) for _ in range(40)]
+    encoder = t.Encoder(open(PATH, encoding="utf-8").read(), 1)
+    ids = encoder.batch(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [[*TOK.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert len(encoder.known) <= len(words) + 2  # not once more for each way of writing a word
+    numbers, (first, flat) = encoder.numbers(texts), encoder.spelling()
+    data = t.encode_pieces(np.concatenate(numbers), first, flat, np.array([len(x) // 4 for x in ids]))
+    back, lengths = t.decode_segment(data)
+    assert back.tobytes() == b"".join(ids) and lengths.sum() == len(back)
+    assert int.from_bytes(data[20:24], "little") < 0.5 * len(back)  # symbols, each one step of the coder
+
+
+def test_a_worker_keeps_the_pieces_that_come_again(monkeypatch):
+    encoder = t.Encoder(open(PATH, encoding="utf-8").read(), 1)
+    one, two = encoder.batch(["one two one two", "it's 12 é! <|endoftext|> \x1c漢 Σας"])
+    encoder.keep(np.array([encoder.known["two"], encoder.known["12" if "12" in encoder.known else "2"]]))
+    assert len(encoder.known) == 2
+    assert encoder.batch(["one two one two", "it's 12 é! <|endoftext|> \x1c漢 Σας"]) == [one, two]
+    monkeypatch.setattr(t, "REMEMBERED", 1)
+    encoder.keep(np.arange(3))
+    assert not encoder.known and encoder.batch(["one two one two"]) == [one]
