@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from guardspark.llm.bpe import load, special_tokens
 from guardspark.llm.scratch import Scratch, lean, shuffle_width
 
-LANES = 2048
+LANES = 4096
 #: Symbols in a block at least, and ids in a segment about.
 LEAST_BLOCK, SEGMENT = 1024, 512 * 16_384
 #: Occurrences that make a piece a unit, and units of a segment at most.
@@ -371,6 +371,64 @@ PIECES = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\t-\r
 ENDING = "</w>"
 
 
+#: By Latin-1 byte: lower case, and whether it is white space (0), a letter (1),
+#: a digit (2) or else (3).
+LOWER = np.array([ord(chr(i).lower()) if len(chr(i).lower().encode("latin-1", "ignore")) == 1 else i for i in range(256)], np.uint8)
+KIND = np.array([0 if i in b"\t\n\v\f\r " else 1 if re.match("[a-z\xdf-\xf6\xf8-\xff]", chr(x)) else 2 if 48 <= i < 58 else 3 for i, x in enumerate(LOWER.tolist())], np.uint8)
+#: The first bytes of eight, by their number.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def split_plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``PIECES`` finds in lower-cased plain texts: places and lengths of
+    the pieces, their number up to each text's end, and the bytes."""
+    coded = [t.encode("latin-1") for t in texts]
+    buf = LOWER.take(np.frombuffer(b"\n".join([*coded, b" " * 17]), np.uint8))
+    kind = KIND.take(buf)
+    change = np.diff(kind, prepend=np.uint8(0)) != 0
+    change |= kind == 2
+    # A run of other characters that is one ' or begins with it, before s, t, m, d, re, ve or ll.
+    quote = np.flatnonzero((buf == 39) & change)
+    x, y = buf.take(quote + 1), buf.take(quote + 2)
+    two = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+    three = (((x == 114) | (x == 118)) & (y == 101)) | ((x == 108) & (y == 108))
+    change[quote[two | three] + 1] = False
+    after = np.concatenate([quote[two] + 2, quote[three] + 3])
+    change[after[kind[after] == 1]] = True
+    edges = np.flatnonzero(change)
+    piece = kind.take(edges) > 0
+    p, n = edges[piece], np.diff(edges, append=len(buf))[piece]
+    return p, n, np.searchsorted(p, np.cumsum([len(c) + 1 for c in coded], dtype=np.int64)), buf
+
+
+class _Slots:
+    """Numbers of pieces of up to 16 bytes, by these bytes, in a table with one
+    place for each value of a hash; the first piece keeps the place."""
+
+    BITS = 20
+
+    def __init__(self):
+        self.keys = np.zeros((1 << self.BITS, 2), np.uint64)
+        self.number = np.full(1 << self.BITS, -1, np.int32)
+
+    def find(self, p: np.ndarray, n: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, places, and numbers (-1 where the place has another piece)."""
+        eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+        keys = np.stack([eight[p] & FIRST.take(np.minimum(n, 8)), eight[np.minimum(p + 8, len(eight) - 1)] & FIRST.take(np.clip(n - 8, 0, 8))], axis=1)
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) + keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        at = (h >> np.uint64(64 - self.BITS)).view(np.int64)
+        there = self.keys.take(at, axis=0)
+        same = (there[:, 0] == keys[:, 0]) & (there[:, 1] == keys[:, 1]) & (n <= 16)
+        return keys, at, np.where(same, self.number.take(at), -1)
+
+    def put(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray, number: np.ndarray) -> None:
+        free = np.flatnonzero((self.number.take(at) < 0) & (n <= 16))
+        at, first = np.unique(at[free], return_index=True)
+        self.keys[at], self.number[at] = keys[free[first]], number[free[first]]
+
+
 class _Numbers(dict):
     """A number for each piece, in the order of their first use."""
 
@@ -389,6 +447,18 @@ def _of_pieces(model: dict) -> str | None:
     return json.dumps(model | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, pre[1]]}, "added_tokens": []})
 
 
+@lru_cache(1)  # a worker parses a tokenizer once
+def _parsed(source: str):
+    """The tokenizer for text that is split already, and of each id whether it
+    ends a piece: each piece ends with one such and has no other."""
+    from tokenizers import Tokenizer
+
+    inner, names = _of_pieces(json.loads(source)), load(source).get_vocab()
+    last = np.zeros(max(names.values()) + 1, bool)
+    last[[i for t, i in names.items() if t.endswith(ENDING)]] = True
+    return Tokenizer.from_str(inner) if inner else None, last
+
+
 class Encoder:
     """A tokenizer that drops white space, piece by piece with a bounded
     memory: text is split as the tokenizer splits it before its merges, or
@@ -399,25 +469,21 @@ class Encoder:
     odd = re.compile("[\x1c-\x1f]")
 
     def __init__(self, source: str, end: int):
-        from tokenizers import Tokenizer
-
         self.tok, self.end = load(source), end
         self.cut = re.compile("|".join(map(re.escape, special_tokens(source))) or "(?!)")
-        inner = _of_pieces(json.loads(source))
-        self.inner = Tokenizer.from_str(inner) if inner else None
-        names = {i: t for t, i in self.tok.get_vocab().items()}
-        #: Ids that end a piece: each piece ends with one and has no other.
-        self.last = np.array([names.get(i, "").endswith(ENDING) for i in range(max(names) + 1)])
+        self.inner, self.last = _parsed(source)
         self.keep(None)
 
     def keep(self, some: np.ndarray | None) -> None:
         """Forget all pieces but these numbers, which become 0, 1, ..."""
         if some is None or len(some) > REMEMBERED:
             self.known, self.flat, self.first = _Numbers(), array("I"), array("q", [0])
+            self.slots = _Slots()
             return
         keys = list(self.known)
         first, flat = self.spelling()
         sizes = np.diff(first)
+        self.slots = _Slots()
         self.known = _Numbers(zip(map(keys.__getitem__, some.tolist()), range(len(some)), strict=True))
         self.flat = array("I", _spelled(some, first[:-1], sizes, flat).tobytes())
         self.first = array("q", np.concatenate([[0], np.cumsum(sizes[some])]).tobytes())
@@ -434,6 +500,8 @@ class Encoder:
 
     def _learn(self, new: list, plain: bool) -> None:
         """Spell pieces: strings, or ids that stand for themselves."""
+        if not new:
+            return
         if plain:
             ids, sizes = self._split(new)
         else:
@@ -447,29 +515,49 @@ class Encoder:
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The pieces of each text and the end id, by number."""
         out: list = [None] * len(texts)
-        kinds: dict[bool, list[tuple[int, list]]] = {True: [], False: []}
+        plain, rest = [], []
         for i, t in enumerate(texts):
             if self.odd.search(t) or self.cut.search(t):
-                kinds[False].append((i, self.tok.encode(t, add_special_tokens=False).ids))
+                rest.append((i, self.tok.encode(t, add_special_tokens=False).ids))
             elif self.inner and PLAIN.fullmatch(t):
-                kinds[True].append((i, PIECES.findall(t.lower())))
+                plain.append(i)
             else:
-                kinds[False].append((i, t.split()))
+                rest.append((i, t.split()))
         try:
             if self.end not in self.known:
                 self.known.update({self.end: len(self.known)})
                 self._learn([self.end], False)
-            for plain, some in kinds.items():
-                at = len(self.known)
-                for i, p in some:
-                    out[i] = np.fromiter(map(self.known.__getitem__, [*p, self.end]), np.int32, len(p) + 1)
-                if at < len(self.known):
-                    self._learn(list(islice(reversed(self.known), len(self.known) - at))[::-1], plain)
+            end = self.known[self.end]
+            if plain:
+                flat, ends = self._plain([texts[i] for i in plain])
+                flat = np.insert(flat, ends, end)
+                for i, x in zip(plain, np.split(flat, ends[:-1] + np.arange(1, len(ends))), strict=True):
+                    out[i] = x
+            at = len(self.known)
+            for i, p in rest:
+                out[i] = np.fromiter(map(self.known.__getitem__, [*p, self.end]), np.int32, len(p) + 1)
+            self._learn(self._since(at), False)
         except BaseException:
             self.keep(None)  # the worker's next task may not meet pieces without ids
             raise
         return out
 
+    def _since(self, at: int) -> list:
+        """The pieces from number ``at`` on."""
+        return list(islice(reversed(self.known), len(self.known) - at))[::-1]
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces, and how many there are up to each text's end."""
+        p, n, ends, buf = split_plain(texts)
+        keys, places, number = self.slots.find(p, n, buf)
+        todo = np.flatnonzero(number < 0)
+        text, at = buf.tobytes().decode("latin-1"), len(self.known)
+        first = p[todo]
+        number[todo] = np.fromiter((self.known[text[a:b]] for a, b in zip(first.tolist(), (first + n[todo]).tolist(), strict=True)), np.int32, len(todo))
+        self._learn(self._since(at), True)
+        self.slots.put(keys[todo], places[todo], n[todo], number[todo])
+        return number, ends
+
     def spelling(self) -> tuple[np.ndarray, np.ndarray]:
         """``first`` and ``flat`` as they are now."""
         return np.array(self.first, np.int64), np.array(self.flat, np.uint32)
