@@ -19,10 +19,11 @@ order of magnitude of a frequency), so it is kept as a table of all of them,
 made anew from counters and weights after every ``LEARN`` symbols.
 
 A segment's bytes: ``GSTK``, version, block size, numbers of documents, ids,
-symbols and blocks (little-endian, 32 bits each), five zstd frames (ids of the
-symbols, how many ids each has, how often it occurs, document lengths, CRC-32
-of each ``CHECKED`` ids) with their sizes, the directory (for each block the
-number of its bytes and their CRC-32) and the blocks.
+symbols and blocks, CRC-32 of the frames (little-endian, 32 bits each), five
+zstd frames (ids of the symbols, how many ids each has, how often it occurs,
+document lengths, CRC-32 of each ``CHECKED`` symbols) with their sizes, the
+directory (for each block the number of its bytes and their CRC-32) and the
+blocks.
 
 Defined results: null and empty texts give the end id alone; documents are
 written in ascending id, null ids first; repeated rows are written again;
@@ -53,12 +54,12 @@ LANES = 4096
 #: Symbols in a block at least, and ids in a segment about.
 LEAST_BLOCK, SEGMENT = 1024, 512 * 16_384
 #: Occurrences that make a piece a unit, and units of a segment at most.
-LEAST_UNIT, UNITS = 8, 60_000
+LEAST_UNIT, UNITS = 4, 60_000
 #: Bits of the frequencies, of the mixture and of the order-2 table.
 T0, SEL, ORDER2 = 19, 12, 18
 #: Symbols after which counters, weights and the mixture follow.
-LEARN = 16_384
-#: Ids under one checksum.
+LEARN = 32_768
+#: Symbols under one checksum.
 CHECKED = 1 << 16
 END_ID = 1
 REMEMBERED = 400_000
@@ -318,28 +319,24 @@ def encode_pieces(numbers: np.ndarray, first: np.ndarray, flat: np.ndarray, leng
     blocks = _encode_lanes(symbols, often, block, n_blocks) if n_blocks else []
     spelling = np.concatenate([alphabet, _spelled(units, first, size, flat)])
     sizes = np.concatenate([np.ones(len(alphabet), np.int64), size[units]])
-    n_ids, checks = _checks(spelling, sizes, symbols)
+    checks = [zlib.crc32(symbols[i : i + CHECKED]) for i in range(0, len(symbols), CHECKED)]
     frames = [_frame(x) for x in (spelling, sizes, often, lengths, np.array(checks, np.int64))]
-    head = MAGIC + struct.pack("<6I", 2, block, len(lengths), n_ids, len(symbols), n_blocks) + struct.pack("<5I", *map(len, frames))
+    head = MAGIC + struct.pack("<7I", 3, block, len(lengths), int(sizes @ often), len(symbols), n_blocks, zlib.crc32(b"".join(frames))) + struct.pack("<5I", *map(len, frames))
     return b"".join([head, *frames, np.array([list(map(len, blocks)), list(map(zlib.crc32, blocks))], "<u4").tobytes(), *blocks])
 
 
-def _checks(spelling: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> tuple[int, list[int]]:
-    """Number of ids and the CRC-32 of each ``CHECKED``."""
-    ids = _spelled(symbols, np.cumsum(sizes) - sizes, sizes, spelling.astype("<u4"))
-    return len(ids), [zlib.crc32(ids[i : i + CHECKED]) for i in range(0, len(ids), CHECKED)]
-
-
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """What ``encode_segment`` was given; raises if a block is damaged."""
     import zstandard
 
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    version, block, n_docs, n_ids, n_symbols, n_blocks, *sizes = struct.unpack_from("<11I", data, 4)
-    if version != 2:
+    version, block, n_docs, n_ids, n_symbols, n_blocks, check, *sizes = struct.unpack_from("<12I", data, 4)
+    if version != 3:
         raise ValueError(f"token segments of version {version} are unknown")
-    at, frames = 48, []
+    at, frames = 52, []
+    if zlib.crc32(data[at : at + sum(sizes)]) != check:
+        raise ValueError("the head of a token segment is damaged")
     for size in sizes:
         frames.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size]), "<u4"))
         at += size
@@ -352,12 +349,12 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if zlib.crc32(b) != coded[i]:
             raise ValueError(f"block {i} is damaged")
     symbols = _decode_lanes(blocks, n_symbols, often, block) if blocks else np.zeros(0, np.int32)
+    for i, check in enumerate(checks.tolist()):
+        if zlib.crc32(symbols[i * CHECKED : (i + 1) * CHECKED]) != check:
+            raise ValueError(f"symbols from {i * CHECKED} on are not those that were written")
     size = size.astype(np.int64)
     ids = _spelled(symbols, np.cumsum(size) - size, size, spelling)
-    for i, check in enumerate(checks.tolist()):
-        if zlib.crc32(ids[i * CHECKED : (i + 1) * CHECKED]) != check:
-            raise ValueError(f"ids from {i * CHECKED} on are not those that were written")
-    if len(ids) != n_ids:
+    if not len(ids) == n_ids == lengths.sum(dtype=np.int64):
         raise ValueError(f"{len(ids)} ids came back of {n_ids}")
     return ids, lengths
 
@@ -623,7 +620,7 @@ def write_tokens(df: DataFrame, scratch: Scratch, path: str, id_col: str = "doc_
     return scratch.table(ordered.mapInArrow(_writer(to_arrow_type(kind), source, end), FILES.format(id=kind.simpleString())), "tokens", compression="uncompressed")
 
 
-def _reader(id_type: pa.DataType, id_col: str):
+def _reader(id_type: pa.DataType, id_col: str, then):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, docs, data in zip(b.column("base").to_pylist(), b.column("docs"), b.column("data"), strict=True):
@@ -632,21 +629,22 @@ def _reader(id_type: pa.DataType, id_col: str):
                 flat = docs.values
                 for k in range(0, len(lengths), 2000):
                     e = ends[k : k + 2001]
-                    lists = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(ids[e[0] : e[-1]].astype(np.int32)))
+                    lists = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(ids[e[0] : e[-1]].view(np.int32)))
                     yield pa.RecordBatch.from_arrays([flat.slice(k, len(e) - 1).cast(id_type), pa.array(base + e[:-1]), lists], names=[id_col, "start", "ids"])
 
-    return run
+    return lean(lambda batches: then(run(batches)) if then else run(batches))
 
 
-def read_tokens(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``start`` (ids of all documents before) and ``ids``."""
+def read_tokens(files: DataFrame, id_col: str = "doc_id", then=None, schema: str | None = None) -> DataFrame:
+    """``id_col``, ``start`` (ids of all documents before) and ``ids``; or, of
+    ``schema``, what ``then`` makes of these in the tasks that read them."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = files.schema["docs"].dataType.elementType
     sizes = files.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n"))  # one row per segment
     before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, ["part", "segment"]).select("base", "docs", "data").mapInArrow(_reader(to_arrow_type(kind), id_col), f"{id_col} {kind.simpleString()}, start long, ids array<int>")
+    return files.join(bases, ["part", "segment"]).select("base", "docs", "data").mapInArrow(_reader(to_arrow_type(kind), id_col, then), schema or f"{id_col} {kind.simpleString()}, start long, ids array<int>")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -661,4 +659,4 @@ def op2_token_files(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     files = write_tokens(docs, Scratch(spark), public_tokenizers.path("word_bpe_49k.json"))
-    return read_tokens(files).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(files, then=_crc, schema="doc_id long, start long, n_tokens long, ids_crc32 long")
