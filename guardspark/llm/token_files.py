@@ -63,6 +63,8 @@ LEARN = 32_768
 CHECKED = 1 << 16
 END_ID = 1
 REMEMBERED = 400_000
+#: Characters of plain texts that are split at once, besides a longer text.
+TOGETHER = 1 << 21
 MAGIC = b"GSTK"
 
 
@@ -525,10 +527,11 @@ class Encoder:
                 self.known.update({self.end: len(self.known)})
                 self._learn([self.end], False)
             end = self.known[self.end]
-            if plain:
-                flat, ends = self._plain([texts[i] for i in plain])
+            after = np.cumsum([len(texts[i]) for i in plain]) // TOGETHER
+            for some in np.split(np.array(plain, np.int64), np.flatnonzero(np.diff(after)) + 1) if plain else ():
+                flat, ends = self._plain([texts[i] for i in some])
                 flat = np.insert(flat, ends, end)
-                for i, x in zip(plain, np.split(flat, ends[:-1] + np.arange(1, len(ends))), strict=True):
+                for i, x in zip(some, np.split(flat, ends[:-1] + np.arange(1, len(ends))), strict=True):
                     out[i] = x
             at = len(self.known)
             for i, p in rest:

@@ -110,7 +110,9 @@ def test_plain_text_is_split_as_by_the_pattern(texts):
     assert ends.tolist() == np.cumsum([len(x) for x in want], dtype=int).tolist()
 
 
-def test_pieces_of_every_length_keep_their_ids():
+@pytest.mark.parametrize("together", [1 << 21, 700, 1])
+def test_pieces_of_every_length_keep_their_ids(together, monkeypatch):
+    monkeypatch.setattr(t, "TOGETHER", together)
     rng = np.random.default_rng(9)
     texts = [" ".join("".join(rng.choice(list("ab"), k)) for k in rng.integers(1, 40, 60)) for _ in range(30)]
     encoder = t.Encoder(open(PATH, encoding="utf-8").read(), 1)
